@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, token_output
+from . import common, language, packing, pii, quality, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,12 +21,34 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.index(spark, path)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    known = labels.where(common.outside_fold("doc_id", 5, 0))
+    model = quality.fit(docs.where(common.outside_fold("doc_id", 5, 0)), known)
+    scored = quality.predict(docs, model)
+    return scored.select("doc_id", common.is_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents")).drop("scores")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(common.outside_fold("doc_id", 4, 2)))
+    found = language.predict(docs, model)
+    return found.select("doc_id", common.is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1, with_ids=False)
 
 
 QUERIES = {
     "op2_token_output": op2_token_output,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_pii": op6_pii,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
