@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, packing, pii, quality, token_output
+from . import common, html, language, packing, pii, quality, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.is_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents")).drop("scores")
 
@@ -47,6 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
     "op6_pii": op6_pii,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
