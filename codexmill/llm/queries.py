@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, language, packing, pii, quality, token_output
+from . import common, decontamination, html, language, packing, pii, quality, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontamination.build_index(_table(spark, sf_dir, "documents"))
+    found = decontamination.match(index, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"),
+    )
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-output")
     token_output.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=2)
@@ -49,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_output": op2_token_output,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
@@ -57,4 +67,23 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT doc_id, CASE WHEN ws IS NULL THEN 0 ELSE len(ws) END AS n_words, ws FROM w),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+sizes AS (SELECT DISTINCT least(len(ws), 13) AS k FROM iw WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(ws[i : i + least(len(ws), 13) - 1], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 12))) AS i FROM iw WHERE len(ws) > 0)),
+grams AS (SELECT doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, sizes WHERE len(ws) >= k)),
+occ AS (SELECT doc_id, grams.k, i, item_id FROM grams JOIN win ON grams.g = win.g AND grams.k = win.k),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= n_words AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": _OP1_SQL,
+}
