@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html, language, packing, pii, quality, token_output
+from . import common, decontamination, html, language, minhash, packing, pii, quality, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,6 +42,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents")).drop("scores")
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_pii": op6_pii,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
