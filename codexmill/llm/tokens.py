@@ -6,55 +6,105 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Pieces that one worker remembers; when there are more, those of the texts at hand stay.
 MEMO_PIECES = 600_000
 #: Longer pieces are encoded each time.
 MEMO_CHARS = 48
+#: What may end a piece and be encoded apart from the letters before it.
+_MARKS = ",.;:!?"
+#: Words of letters below this code point (Latin, Greek, Cyrillic) are letters in any version of Unicode.
+_BEYOND = "\u0530"
 
-_NEXT_TO_SPACE = re.compile(r"\s | \s|^ | $")
+_UNEVEN = re.compile(r"\s[ \n]|[ \n]\s|^[ \n]|[ \n]$")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of each piece.
 
-    Holds for byte-level BPE whose pre-tokenizer attaches one space to the word after it: there no
-    token spans the place before a space that stands alone between two other characters, and what
-    precedes that place doesn't influence what follows. So the text is cut there, each different
-    piece is encoded once by the library, and the ids are joined. Ids are little-endian uint32.
+    Holds for byte-level BPE whose pre-tokenizer attaches one space to the word after it, and splits
+    letters from what isn't one: there no token spans the place before a space or line feed that stands
+    alone between two other characters, nor that between a letter and a mark, and what precedes such a
+    place doesn't influence what follows. So the text is cut there, each different piece is encoded once
+    by the library, and the ids are joined. Ids are little-endian uint32.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        # a second one for pieces of letters alone, whose bytes are spelled as the vocabulary spells them
+        self._letters = Tokenizer.from_file(path)
+        self._letters.encode_special_tokens = True
+        self._letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._spelling = {b: spelled.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        for b in range(128, 256):  # taken from characters whose UTF-8 form has the byte, lead or continuation
+            try:
+                text = bytes([b, 0xA0 if b != 0xF4 else 0x80] + [0x80] * (b >= 0xE0) + [0x80] * (b >= 0xF0)).decode() if b >= 0xC2 else bytes([0xC3, b]).decode() if b < 0xC0 else ""
+            except UnicodeDecodeError:
+                text = ""
+            if text:
+                self._spelling[b] = spelled.pre_tokenize_str(text)[0][0][0 if b >= 0xC2 else 1]
+        self._size = np.array([len(self._letters.id_to_token(i) or "") for i in range(self._letters.get_vocab_size())], np.int64)
         self._memo: dict[str, bytes] = {}
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _fresh_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it."""
+        if not words:
+            return []
+        space = self._spelling[32]
+        spelled = [space + (x if x.isascii() else x.encode().decode("latin-1").translate(self._spelling)) for x in words]
+        ids = np.array(self._letters.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self._size[ids]), np.cumsum([len(x) for x in spelled])) + 1
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't known yet; those that are too long to be remembered are returned only."""
+        memo, words, others, marked = self._memo, set(), [], []
+        for x in unknown:
+            if x in memo:
+                continue
+            word = x.rstrip(_MARKS)
+            if not word.isalpha() or max(word) >= _BEYOND or len(x) > MEMO_CHARS:
+                others.append(x)
+                continue
+            if word not in memo:
+                words.add(word)
+            if word != x:
+                marked.append((x, word))
+        once = {}
+        for x, ids in zip(others, self._fresh([x if x[:1] == "\n" else " " + x for x in others]), strict=True):
+            (memo if len(x) <= MEMO_CHARS else once)[x] = ids
+        new = list(words)
+        memo.update(zip(new, self._fresh_words(new), strict=True))
+        ends = list({x[len(word) :] for x, word in marked})
+        after = dict(zip(ends, self._fresh(ends), strict=True))
+        for x, word in marked:
+            memo[x] = memo[word] + after[x[len(word) :]]
+        return once
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [_LONE_SPACE.split(x) if _NEXT_TO_SPACE.search(x) else x.split(" ") for x in texts]
+        cut = [_LONE_SPACE.split(x) if _UNEVEN.search(x) else x.replace("\n", " \n").split(" ") for x in texts]
         unknown = set()
         for pieces in cut:
             unknown.update(pieces[1:])
         if len(self._memo) > MEMO_PIECES:
             self._memo = {x: self._memo[x] for x in unknown if x in self._memo}
-        memo = self._memo
-        new = [x for x in unknown if x not in memo]
-        ids = self._fresh([" " + x for x in new])
-        large = {}
-        for piece, x in zip(new, ids, strict=True):
-            (memo if len(piece) <= MEMO_CHARS else large)[piece] = x
+        once = self._learn(unknown)
         heads = self._fresh([pieces[0] for pieces in cut])
-        if large:
-            both = {**memo, **large}
-            return [head + b"".join(map(both.__getitem__, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
-        return [head + b"".join(map(memo.__getitem__, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
+        known = {**self._memo, **once} if once else self._memo
+        return [head + b"".join(map(known.__getitem__, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
