@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
+#: So many ids, of some 30 bytes in a hash table, are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +69,16 @@ def outside_fold(id_col: str, n: int, k: int) -> Column:
     return F.coalesce(fold(id_col, n) != k, F.lit(False))
 
 
+def by_id(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is (left_semi), or isn't (left_anti), among `ids`; null equals null.
+
+    The ids are broadcast if they are few enough, else both sides are shuffled by id.
+    """
+    ids = scratch(ids.select(F.col(id_col).cast("long").alias("__id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[id_col].eqNullSafe(side["__id"]), how)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `limit` bytes together, one row at least."""
     if batch.num_rows == 0:

@@ -273,3 +273,9 @@ def match(index: DataFrame, tests: DataFrame, n: int = WINDOW, slop: int = 0, it
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     """Hit in at least one word and in at least a twentieth of them."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+
+
+def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. Rows without an id go if one of them is."""
+    found = match(build_index(docs, id_col, text_col), tests).where(contaminated())
+    return common.by_id(docs, found.withColumnRenamed("doc_id", id_col), "left_anti", id_col)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +166,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language, with all their columns; those that are `und` go. No shuffle.
+
+    The language column, if there is one, gets the prediction where it is null and stays as it is elsewhere.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fills = lang_col in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in common.text_slices(batch, "__bytes", 1 << 20):
+                texts = [x or b"" for x in part.column("__bytes").to_pylist()]
+                known = pa.array([bool(model.languages) and has_letter(x) for x in texts], pa.bool_())
+                rows = part.drop_columns(["__bytes"])
+                if fills and model.languages:
+                    at = rows.schema.get_field_index(lang_col)
+                    best, _ = model.decode(model.margins(texts))
+                    names = pa.array([model.languages[b] for b in best], pa.string())
+                    rows = rows.set_column(at, rows.schema.field(at), pc.coalesce(rows.column(at), names))
+                yield rows.filter(known)
+
+    return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(run, docs.schema)

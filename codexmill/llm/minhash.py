@@ -228,3 +228,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     own_or = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, own_or.isNull()).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that near_duplicates keeps, with all their columns: one id of each group, all without shingles.
+
+    Rows without an id stay if one of them is kept.
+    """
+    kept = near_duplicates(docs, percent, id_col, text_col).where("kept")
+    return common.by_id(docs, kept.withColumnRenamed("doc_id", id_col), "left_semi", id_col)

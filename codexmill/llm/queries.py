@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, html, language, minhash, packing, pii, quality, scoring, token_output
+from . import ann, common, decontamination, html, language, minhash, packing, pii, quality, scoring, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,6 +50,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents")).drop("scores")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = scoring.Model(docs.where(common.outside_fold("doc_id", 5, 1)))
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_pii": op6_pii,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
