@@ -1,0 +1,283 @@
+"""Chunking, graph, retrieval and call trees against plain versions of their rules."""
+
+import json
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from codexmill import config
+from codexmill.functions import text as T
+from codexmill.operators import calltree, chunking, graph, retrieval
+from codexmill.sources import parser, store
+
+# ------------------------------------------------------------------ settings
+
+
+def test_presets_are_immutable_copies():
+    changed = config.custom("precise", chunk_size=9, nothing=1)
+    assert changed.chunk_size == 9 and config.preset("precise").chunk_size == 3
+    assert config.preset("unknown") == config.preset("default") and config.for_project_type("Novel") == config.preset("long_text") and config.for_project_type("?") == config.preset("code_project")
+    assert set(config.PRESETS) == {"default", "code_project", "long_text", "academic", "tech_docs", "precise", "large_context", "token_based"}
+    assert config.custom("long_text", split_by="word", chunk_size=10, chunk_overlap=1).floored().chunk_size == 1500
+    with pytest.raises(ValueError):
+        config.ChunkConfig(chunk_size=5, chunk_overlap=5)
+
+
+# ------------------------------------------------------------------ windows
+
+
+def plain_windows(words, size, overlap):
+    return [" ".join(words[i : i + size]) for i in range(0, len(words), size - overlap)]
+
+
+def plain_split(code, limit, overlap):
+    words = code.split()
+    if len(words) <= limit:
+        return [code]
+    step, out = max(1, limit - min(overlap, limit - 1)), []
+    for i in range(0, len(words), step):
+        out.append(" ".join(words[i : i + limit]))
+        if i + limit >= len(words):
+            break
+    return out
+
+
+def test_windows(spark):
+    texts = [None, "", "   ", "a", *(" ".join(f"w{i}" for i in range(n)) for n in (4, 5, 6, 9, 10, 11, 37)), "x  y\n\tz u v w"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for size, overlap in ((5, 2), (5, 0), (3, 2)):
+        got = [r[0] for r in df.select(chunking.pieces(F.col("t"), config.ChunkConfig("word", size, overlap))).collect()]
+        assert [g or [] for g in got] == [plain_windows((t or "").split(), size, overlap) for t in texts]
+    for limit, overlap in ((5, 2), (4, 9), (10, 1), (1, 0)):
+        got = [r[0] for r in df.where("t IS NOT NULL").select(chunking.split_code(F.col("t"), limit, overlap)).collect()]
+        assert got == [plain_split(t, limit, overlap) for t in texts if t is not None]
+
+
+def test_other_units(spark):
+    row = lambda text, c: spark.createDataFrame([(text,)], "t string").select(chunking.pieces(F.col("t"), c)).first()[0]
+    assert row("a.b.c.", config.ChunkConfig("sentence", 2, 1)) == ["a.b", "b.c", "c."]
+    assert row("abcdef", config.ChunkConfig("char", 4, 1)) == ["abcd", "def"]
+    assert row("p1\n\np2\n \np3", config.ChunkConfig("passage", 2, 1)) == ["p1\n\np2", "p2\n\np3", "p3"]
+    assert row("one\ftwo", config.ChunkConfig("page", 1, 0)) == ["one", "two"]
+    assert row("f(x, y)", config.ChunkConfig("token", 4, 0)) == ["f ( x ,", "y )"]
+
+
+def test_chunk_files(spark):
+    long = "word " * 60
+    files = spark.createDataFrame([("a/b.py", 10, long), ("a/.git", 10, long), ("build/x.py", 10, long), ("a/c.py", 10, "short"), ("a/d.py", 99 << 20, long), ("a/e.py", 5, None)], "path string, size long, text string")
+    rows = chunking.chunk_files(files, config.preset("code_project")).collect()
+    assert [(r.original_file, r.chunk_order, r.chunk_size, r.metadata.file_extension) for r in rows] == [("a/b.py", 0, 60, ".py")]
+    empty = chunking.statistics(chunking.chunk_files(files.where("false"), config.preset())).first()
+    assert tuple(empty) == (0, 0, 0.0)
+
+
+def test_cleaning(spark):
+    clean = lambda t: spark.createDataFrame([(t,)], "t string").select(T.clean_long_text(F.col("t"))).first()[0]
+    assert clean(" a \r\n\r\n \r\nb\rc") == "a\n\nb\nc"
+    assert clean("x\n# T") == "x\n\n\n# T" and clean("see Chapter 2 now") == "see \n\nChapter 2 now"
+
+
+def test_paths_and_names(spark):
+    df = spark.createDataFrame([("a\\b\\c.SOL", "m.K.f"), ("x.t.sol", "f"), ("q/.hidden", ""), (None, None)], "p string, n string")
+    rows = df.select(T.unix_path(F.col("p")), T.language_of(F.col("p")), T.is_parsed(F.col("p")), T.extension(F.col("p")), T.stem(F.col("p")), T.short_name(F.col("n")), T.prefix(F.col("n"))).collect()
+    assert tuple(rows[0]) == ("a/b/c.SOL", "solidity", False, ".SOL", "c", "f", "m.K") and tuple(rows[1])[1:3] == ("solidity", False)
+    assert rows[2][3] == "" and rows[3] == (None,) * 7
+    same = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(T.same_path_end(F.col("a"), F.col("b"))).first()[0]
+    assert same("r/a/f.py", "q/a/f.py") and not same("r/a/f.py", "q/b/f.py") and same("f.py", "q/b/f.py") and not same("", "f.py") and not same("g.py", "f.py")
+
+
+# ------------------------------------------------------------------ call resolution
+
+
+def plain_resolve(functions, call, caller_file, caller_class):
+    """First hit over dictionaries filled in order of definition."""
+    by_name, by_class, by_file, by_short = {}, {}, {}, {}
+    for f in functions:
+        by_name[f["name"]] = f["node_id"]
+        short = f["name"].rsplit(".", 1)[-1]
+        by_short.setdefault(short, []).append(f["node_id"])
+        by_file[f["path"], short] = f["node_id"]
+        if f["class"]:
+            by_class[f["class"], short] = f["node_id"]
+            if "." in f["name"]:
+                by_class[f["name"].rsplit(".", 1)[0], short] = f["node_id"]
+    tail = lambda c: c.rsplit(".", 1)[-1]
+    if call in by_name:
+        return by_name[call], "1"
+    if call.startswith("self.") and caller_class:
+        rest = call[5:]
+        if (caller_class, rest) in by_class:
+            return by_class[caller_class, rest], "2a"
+        for (c, m), v in by_class.items():
+            if m == rest and tail(c) == tail(caller_class):
+                return v, "2b"
+    parts = call.split(".")
+    if len(parts) == 2:
+        if tuple(parts) in by_class:
+            return by_class[tuple(parts)], "3a"
+        for (c, m), v in by_class.items():
+            if m == parts[1] and tail(c) == parts[0]:
+                return v, "3b"
+    short = parts[-1]
+    if caller_class and (caller_class, short) in by_class:
+        return by_class[caller_class, short], "4"
+    if (caller_file, short) in by_file:
+        return by_file[caller_file, short], "5"
+    if len(by_short.get(short, [])) == 1:
+        return by_short[short][0], "6"
+    return f"External:{call}", None
+
+
+def test_resolution_against_dictionaries(spark):
+    rng = random.Random(8)
+    functions, calls = [], []
+    for i in range(60):
+        module, cls = rng.choice(["m", "n", "_cpp", "_go"]), rng.choice(["", "K", "L"])
+        owner = "CppModule" if module == "_cpp" else "GoPackage" if module == "_go" else ".".join(x for x in (module, cls) if x) if rng.random() < 0.9 else ""
+        name = ".".join(x for x in (module, cls if module in "mn" else "", rng.choice("fghij")) if x)
+        functions.append({"seq": i, "name": name, "path": rng.choice(["a.py", "b.py"]), "class": owner or None, "short": name.rsplit(".", 1)[-1], "node_id": f"id{i}"})
+    functions.append({"seq": 60, "name": "m.K.solo", "path": "c.py", "class": None, "short": "solo", "node_id": "id60"})
+    for i in range(600):
+        caller = rng.choice(functions)
+        text = rng.choice(["self.{m}", "{m}", "{k}.{m}", "{mod}.{k}.{m}", "CppModule.{m}", "GoPackage.{m}", "zz", "x.y.solo", " {m}", ""]).format(m=rng.choice("fghijq"), k=rng.choice("KLmn"), mod=rng.choice("mn"))
+        calls.append((i, caller["path"], caller["class"], text))
+    f = spark.createDataFrame(functions, "seq long, name string, path string, class string, short string, node_id string")
+    got = {r.call_id: (r.target_id, r.strategy) for r in graph.resolve_calls(f, spark.createDataFrame(calls, "call_id long, caller_file string, caller_class string, call string")).collect()}
+    want = {i: plain_resolve(functions, t, p, c) for i, p, c, t in calls}
+    assert got == want and {s for _, s in want.values()} >= {"1", "2a", "2b", "3a", "3b", "4", "5", "6", None}
+
+
+def record(seq, name, path, cls="", calls=(), line=None, content=""):
+    return (seq, name, content or f"body {name}", path, cls, line if line is not None else seq, line if line is not None else seq, list(calls))
+
+
+RECORD = "seq long, name string, content string, file_path string, contract_name string, line_number int, start_line int, calls array<string>"
+
+
+@pytest.fixture(scope="module")
+def project(spark):
+    rows = [record(1, "a.K.f", "a.py", "a.K", ["self.g", "self.g", "h", "print"]), record(2, "a.K.g", "a.py", "a.K", ["self.f", "self.g"]), record(3, "b.h", "p\\b.py", "", ["a.K.f"], content="say, \"hi\"\n[CODE]\n  x")]
+    return spark.createDataFrame(rows, RECORD)
+
+
+def test_build_and_enrich(spark, project):
+    nodes, edges = graph.build(project)
+    kinds = sorted((r.type, r.name) for r in nodes.collect())
+    assert kinds == [("Class/Contract", "a.K"), ("External", "print"), ("File", "a.py"), ("File", "b.py"), ("Function", "a.K.f"), ("Function", "a.K.g"), ("Function", "b.h")]
+    f, g, h = "Function:a.py:a.K.f:1", "Function:a.py:a.K.g:2", "Function:p/b.py:b.h:3"
+    assert sorted((r.src, r.dst) for r in edges.where("relation = 'CALLS'").collect()) == [(f, "External:print"), (f, g), (f, h), (g, f), (h, f)]
+    chunks = {r.node_id: r for r in graph.enrich(project, nodes, edges).collect()}
+    assert (chunks[f].defined_in, list(chunks[f].calls), list(chunks[f].called_by)) == ("a.K", ["a.K.g", "b.h", "print"], ["a.K.g", "b.h"])
+    assert chunks[h].defined_in == "b.py"
+    texts = graph.to_text(graph.enrich(project, nodes, edges))
+    back = {r.node_id: r for r in graph.from_text(texts.select("text")).collect()}
+    assert all((back[i].code, list(back[i].calls), back[i].defined_in, back[i].chunk_order) == (c.code, list(c.calls), c.defined_in, 0) for i, c in chunks.items())
+    assert tuple(graph.counts(nodes, edges).first()) == (7, 9)
+    orphan = spark.createDataFrame([record(9, "z", "z.py", "C", ["q"])], RECORD)
+    r = graph.enrich(orphan, nodes, edges).first()
+    assert (r.defined_in, list(r.calls), list(r.called_by)) == ("C", ["q"], [])
+
+
+def test_expansion(spark):
+    edges = spark.createDataFrame([("A", "B", "CALLS", 1), ("B", "A", "CALLS", 2), ("A", "A", "CALLS", 3), ("C", "A", "CALLS", 4), ("A", "External:p", "CALLS", 5), ("B", "D", "CALLS", 6), ("D", "E", "CALLS", 7), ("F", "A", "DEFINES", 8)], "src string, dst string, relation string, seq long")
+    seeds = spark.createDataFrame([("A", 0)], "node_id string, seed_seq int")
+    assert sorted((r.node_id, r.relationship) for r in graph.expand(edges, seeds).collect()) == [("B", "CALLS"), ("C", "CALLED_BY")]
+    assert [r.node_id for r in graph.expand(edges, seeds, spark.createDataFrame([("B",)], "node_id string")).collect()] == ["C"]
+    assert sorted((r.node_id, r.depth) for r in graph.expand_to_depth(edges, seeds, 9).collect()) == [("B", 1), ("C", 1), ("D", 2), ("E", 3)]
+    assert graph.expand_to_depth(edges, seeds, 0).count() == 0
+    chunks = spark.createDataFrame([("B", 1, "two"), ("B", 0, "one")], "node_id string, chunk_order int, text string")
+    functions = spark.createDataFrame([("C", "", 1)], "node_id string, content string, seq long")
+    nodes = spark.createDataFrame([("C", "own"), ("B", "own"), ("D", "")], "node_id string, content string")
+    found = graph.with_content(graph.expand_to_depth(edges, seeds, 2), chunks, functions, nodes)
+    assert sorted((r.node_id, r.content) for r in found.collect()) == [("B", "one\ntwo"), ("C", "")]
+
+
+# ------------------------------------------------------------------ call trees
+
+
+def test_call_trees_by_text_and_list(spark):
+    rows = [("K.pay", "function pay() { K.check (x); send(1) }", ["K.check"]), ("K.check", "return k.CHECK(1)", ["pay"]), ("send", "resend(2)", []), ("operator ()", "operator ()(", [])]
+    f = spark.createDataFrame(rows, "name string, content string, calls array<string>")
+    import re
+
+    want = {(a, b) for a, body, _ in rows for b, _, _ in rows if a != b and re.search(re.escape(b.lower()) + r"\s*\(", body.lower())}
+    assert {(r.caller, r.callee) for r in calltree.called_by_text(f).collect()} == want
+    assert {(r.caller, r.callee) for r in calltree.called_by_list(f).collect()} == set()
+    stats = calltree.statistics(calltree.counts(f, calltree.relationships(f))).first().asDict()
+    assert stats["total_functions"] == 4 and stats["max_downstream_count"] == 2 and stats["isolated_functions"] == 1
+
+
+def test_trees(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "caller string, callee string")
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
+    rows = calltree.call_trees(names.where("name = 'a'"), pairs, 5).collect()
+    assert sorted(">".join(r.path) for r in rows) == ["a", "a>b", "a>b>c", "a>c"]
+    tree = calltree.nested(rows, "a")
+    assert calltree.render(tree) == "a\n  b\n    c\n  c"
+    assert [r.name for r in calltree.entry_points(names, pairs).collect()] == ["d"] == [r.name for r in calltree.leaves(names, pairs).collect()]
+    assert sorted((r.direction, r.name, r.depth) for r in calltree.dependency_graph("b", names, pairs, 2).collect()) == [("downstream", "a", 2), ("downstream", "c", 1), ("upstream", "a", 1), ("upstream", "c", 2)]
+    empty = spark.createDataFrame([], "caller string, callee string, call_type string, language string")
+    assert [tuple(r) for r in calltree.graph_statistics(empty).collect()] == [("total_edges", 0)]
+
+
+# ------------------------------------------------------------------ retrieval
+
+
+def test_nearest_and_prompt(spark):
+    v = spark.createDataFrame([("it's\\1", [1.0, 0.0]), ("b", [0.0, 1.0]), ("a", [0.0, 1.0]), ("n", None)], "node_id string, vector array<float>")
+    found = retrieval.nearest(v, [0.0, 1.0], 2)
+    assert [(r.node_id, r.distance) for r in found.collect()] == [("a", 0.0), ("b", 0.0)]
+    assert "TakeOrderedAndProject" in found._jdf.queryExecution().toString()
+    assert retrieval.by_id(v, "it's\\1").count() == 1
+    for primary, secondary in ((["x", "y"], ["z"]), ([], [])):
+        one = spark.createDataFrame([(primary, secondary)], "p array<string>, s array<string>").select(retrieval.assembled(F.col("p"), F.col("s"), F.lit("q?"))).first()[0]
+        assert one == retrieval.assemble(primary, secondary, "q?")
+    assert retrieval.assemble_minimal(["x"], "q").endswith("No related code found.\n\nQuestion: q")
+
+
+# ------------------------------------------------------------------ parser
+
+SOURCES = {
+    "t.sol": ("contract Bank { /* function no() {} */ function put(uint a, uint b) external payable onlyOwner returns (bool) { token.transfer(a); log(b); return true; } function get() public view {} }", [("Bank.put", "external", ["transfer", "log"]), ("Bank.get", "public", [])]),
+    "m.rs": ("pub(crate) fn go(x: u8) -> Result<u8> { a::b::f(x); self.y.z(); instructions::run(); }\nfn hid() {}", [("m.go", "public", ["b.f", "self.y.z", "run.run"]), ("m.hid", "private", [])]),
+    "c.cpp": ('static inline int add(int a) const { if (a) { return ns::f(a); } return g("h(") ; }\nint decl(int);', [("_cpp.add", "public", ["g"])]),
+    "w.move": ("module x { public fun open(a: u64): u64 { other::f(a) } #[test] fun check() { g() } native fun n(); }", [("w.open", "public", ["other.f"]), ("w.check", "private", ["g"]), ("w.n", "public", [])]),
+    "s.go": ("func Up(a int) error { low(a); fmt.Println(a) }\nfunc low(a int) {}\nfunc (r T) M() {}", [("_go.Up", "public", ["low"]), ("_go.low", "private", [])]),
+    "p.py": ("@dec\nasync def top(a, b: int, *c, d: int = 1):\n    await x.y(a)\n\nclass K:\n    def __init__(self):\n        def inner():\n            pass\n        self.m(inner())\n    def _h(self): 'doc'\n", [("p.top", "public", ["x.y"]), ("p.K.__init__", "magic", ["self.m", "inner"]), ("p.K.inner", "public", []), ("p.K._h", "private", [])]),
+}
+
+
+@pytest.mark.parametrize("path", SOURCES)
+def test_parser(path):
+    text, want = SOURCES[path]
+    assert [(r["name"], r["visibility"], r["calls"]) for r in parser.parse(path, text)] == want
+
+
+def test_parser_details():
+    put = parser.parse("t.sol", SOURCES["t.sol"][0])[0]
+    assert (put["parameters"], put["return_type"], put["modifiers"], put["contract_name"]) == (["uint a", "uint b"], "bool", ["payable", "onlyOwner"], "Bank")
+    top = parser.parse("p.py", SOURCES["p.py"][0])[0]
+    assert (top["line_number"], top["modifiers"], top["parameters"]) == (2, ["dec", "async"], ["a", "b: int"])
+    assert parser.parse("x.py", "def broken(") == [] and parser.parse("x.txt", "function f() {}") == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=200), st.sampled_from(list(SOURCES)))
+def test_parser_never_raises(text, path):
+    parser.parse(path, text)
+
+
+# ------------------------------------------------------------------ exchange
+
+
+def test_node_link_round_trip(spark, project, tmp_path):
+    nodes, edges = graph.build(project)
+    (tmp_path / "g.json").write_text(store.node_link_document(nodes, edges))
+    n, e = store.read_node_link(spark, str(tmp_path / "g.json"))
+    assert sorted(map(str, n.select(sorted(n.columns)).collect())) == sorted(map(str, nodes.select(sorted(n.columns)).collect())) and e.count() == edges.count()
+    assert set(json.loads((tmp_path / "g.json").read_text())) >= {"nodes", "links"}
+    with pytest.raises(FileNotFoundError):
+        store.read_node_link(spark, str(tmp_path / "no.json"))
