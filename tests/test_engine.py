@@ -114,7 +114,7 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     names, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(names) and len(names) >= 45
+    assert set(sql) <= set(names) and len(names) >= 44
 
 
 def test_entry_without_the_training_data_subpackage(tmp_path):
