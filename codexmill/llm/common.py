@@ -40,10 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(jpath)  # only what exists can be marked for deletion
+    store.deleteOnExit(jpath)
+    return f"{folder}/data"
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
