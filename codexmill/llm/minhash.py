@@ -1,16 +1,17 @@
 """Near-duplicates: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 Texts with the same set of shingles form a class, which is compared once. Classes that share a band of
-their signatures are candidates; the bands' stars give candidate groups, and each group is compared in
-blocks of bounded size. A pair's signatures are compared batch by batch, and it is dropped as soon as
-the posterior probability that its similarity reaches the threshold falls below the miss probability.
-What survives is verified on full sets. Pairs already connected need no check, since only components
-are asked for; every component is that of all links.
+their signatures are candidates. A pair's signatures are compared batch by batch, and it is dropped as
+soon as the posterior probability that its similarity reaches the threshold falls below the miss
+probability. The surviving pairs' groups are verified on full sets, in blocks of bounded size. Pairs
+already connected need no check, since only components are asked for; every component is that of all
+links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ WORDS, HASHES, ROWS, BANDS = 5, 128, 5, 25
 BATCH, MISS = 32, 1e-6
 #: A block holds about so many classes, and about so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 21
+#: Rows of band buckets that share a task.
+BIN_ROWS = 1 << 16
 #: Tables of ids up to this size are broadcast to find their texts.
 BROADCAST_BYTES = 32 << 20
 #: Words that a worker remembers the hash of.
@@ -104,6 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "signature"])
 
 
+@cache
 def fewest_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> dict[int, int]:
     """For each number n of compared hashes the fewest matches m that keep a pair.
 
@@ -122,43 +126,75 @@ def fewest_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, b
     return out
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+class _Overlaps:
+    """Intersection sizes of one set with many others at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        different, self.places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.marked = np.zeros(len(different), np.uint8)
+
+    def of(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.places[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.marked[own] = 1
+        out = np.empty(len(others), np.int64)
+        ends = np.cumsum(self.sizes[others])
+        a = 0
+        while a < len(others):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + (1 << 20), side="right")))
+            sizes = self.sizes[others[a:b]]
+            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            at = np.repeat(self.starts[others[a:b]] - firsts, sizes) + np.arange(sizes.sum())
+            out[a:b] = np.add.reduceat(self.marked[self.places[at]], firsts, dtype=np.int64)
+            a = b
+        self.marked[own] = 0
+        return out
+
+
+def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, percent: int, keep: dict[int, int]) -> list[tuple[int, int]]:
+    """Verified links that connect what all links connect. side: 0 or 1, then only pairs across are compared.
+
+    No set is empty. A set is first verified against the likeliest member of each group that the links so far
+    have made, then against all likely members of the groups that it still isn't linked with.
+    """
+    batches = [np.ascontiguousarray(signatures[:, n - BATCH : n]) for n in keep]
+    overlaps = _Overlaps(sets)
+    sizes, label, out = overlaps.sizes, np.arange(len(sets)), []
+    members = {i: [i] for i in range(len(sets))}
+    across = None if side is None else np.flatnonzero(side == 1)
 
+    def verify(i: int, others: np.ndarray) -> None:
+        both = overlaps.of(i, others)
+        for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)].tolist():
+            a, b = int(label[i]), int(label[j])
+            if a != b:
+                out.append((i, j))
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                label[members[b]] = a
+                members[a] += members.pop(b)
 
-def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, percent: int, miss: float = MISS) -> list[tuple[int, int]]:
-    """Verified links that connect what all links connect. side: 0 or 1, then only pairs across are compared."""
-    keep = fewest_matches(percent / 100, miss)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    parent, label, out = list(range(len(sets))), np.arange(len(sets)), []
-    members = {i: [i] for i in range(len(sets))}
-    for i in range(len(sets)):
-        rest = np.arange(i + 1, len(sets)) if side is None else np.flatnonzero(side == 1) if side[i] == 0 else np.zeros(0, np.int64)
+    for i in range(len(sets)) if side is None else np.flatnonzero(side == 0).tolist():
+        rest = np.arange(i + 1, len(sets)) if across is None else across
         rest = rest[(label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         matched = np.zeros(len(rest), np.int64)
-        for n, fewest in keep.items():
+        for part, fewest in zip(batches, keep.values(), strict=True):
             if not len(rest):
                 break
-            matched += (signatures[rest, n - BATCH : n] == signatures[i, n - BATCH : n]).sum(1)
+            matched += (part[rest] == part[i]).sum(1)
             rest, matched = rest[matched >= fewest], matched[matched >= fewest]
-        for j in rest[np.argsort(-matched, kind="stable")].tolist():
-            if label[i] == label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                out.append((i, j))
-                a, b = int(label[i]), int(label[j])
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                label[members[b]] = a
-                members[a] += members.pop(b)
+        if len(rest):
+            rest = rest[np.argsort(-matched, kind="stable")]
+            first = np.sort(np.unique(label[rest], return_index=True)[1])
+            verify(i, rest[first])
+            rest = np.delete(rest, first)
+            verify(i, rest[label[rest] != label[i]])
     return out
 
 
-def _verifier(percent: int):
+def _verifier(percent: int, keep: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
         names = table.column("class").to_pylist()
         side = table.column("side").to_numpy()
@@ -166,7 +202,7 @@ def _verifier(percent: int):
         sets = [np.frombuffer(table.column("shingles")[i].as_py(), "<u8") for i in order.tolist()]
         signatures = np.stack([np.frombuffer(table.column("signature")[i].as_py(), "<u4") for i in order.tolist()])
         side = side[order]
-        found = links(sets, signatures, None if (side == 0).all() else side, percent)
+        found = links(sets, signatures, None if (side == 0).all() else side, percent, keep)
         return pa.table({"a": pa.array([names[order[i]] for i, _ in found], pa.binary()), "b": pa.array([names[order[j]] for _, j in found], pa.binary())})
 
     return run
@@ -182,12 +218,88 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["class", "root", "blocks", "signature", "shingles"])
 
 
-def _candidate_groups(classes: DataFrame) -> DataFrame:
-    """class, root for classes that share a band with another: groups that hold every banded pair."""
+def _sieve_bucket(short: np.ndarray, side: np.ndarray | None, keep: dict[int, int]) -> list[tuple[int, int]]:
+    """Pairs that survive the pruning and connect what all surviving pairs connect."""
+    label, out = np.arange(len(short)), []
+    members = {i: [i] for i in range(len(short))}
+    across = None if side is None else np.flatnonzero(side == 1)
+    for i in range(len(short)) if side is None else np.flatnonzero(side == 0).tolist():
+        rest = np.arange(i + 1, len(short)) if across is None else across
+        rest = rest[label[rest] != label[i]]
+        matched = np.zeros(len(rest), np.int64)
+        for n, fewest in keep.items():
+            if not len(rest):
+                break
+            matched += (short[rest, n - BATCH : n] == short[i, n - BATCH : n]).sum(1)
+            rest, matched = rest[matched >= fewest], matched[matched >= fewest]
+        for j in rest[np.unique(label[rest], return_index=True)[1]].tolist() if len(rest) else ():
+            out.append((i, j))
+            a, b = int(label[i]), int(label[j])
+            if len(members[a]) < len(members[b]):
+                a, b = b, a
+            label[members[b]] = a
+            members[a] += members.pop(b)
+    return out
+
+
+def _siever(keep: dict[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy()
+        order = np.lexsort((table.column("side").to_numpy(), keys))
+        keys, side = keys[order], table.column("side").to_numpy()[order]
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, HASHES)[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends = np.concatenate([starts[1:], [len(keys)]])
+        plain = table.column("i").to_numpy()[0] == table.column("j").to_numpy()[0]
+        first, second = [], []
+        if plain:  # buckets of two, most of all, at once
+            two = starts[ends - starts == 2]
+            likely = np.ones(len(two), bool)
+            matched = np.zeros(len(two), np.int64)
+            for n, fewest in keep.items():
+                matched += (short[two, n - BATCH : n] == short[two + 1, n - BATCH : n]).sum(1)
+                likely &= matched >= fewest
+            first, second = two[likely].tolist(), (two[likely] + 1).tolist()
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > 2 or b - a == 2 and not plain:
+                for i, j in _sieve_bucket(short[a:b], None if plain else side[a:b], keep):
+                    first.append(a + i)
+                    second.append(a + j)
+        names = table.column("class").combine_chunks()
+        left, right = (names.take(pa.array(order[np.array(x, np.int64)])) for x in (first, second))
+        return pa.table({"a": left, "b": right})
+
+    return run
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lowest byte of each hash: equal hashes stay equal, and few others become so."""
+    for batch in batches:
+        full = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
+        short = full.astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("keys"), pa.array([x.tobytes() for x in short], pa.binary())], ["class", "keys", "short"])
+
+
+def _candidate_groups(classes: DataFrame, keep: dict[int, int]) -> DataFrame:
+    """class, root for classes that some banded pair which isn't pruned connects with another.
+
+    A band's bucket is compared in blocks of bounded size; small buckets share a task. Each gives a forest of
+    its surviving pairs, no more rows than it has, so groups hold every survivor though few are written.
+    """
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    banded = classes.select("class", F.explode(keys).alias("key"))
-    stars = banded.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    edges = banded.join(stars, "key").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    banded = classes.select("class", "signature", keys.alias("keys")).select("class", F.explode("keys").alias("key"))
+    sizes = common.scratch(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-total // BIN_ROWS))
+    kept = banded.join(sizes, "key").groupBy("class").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+    with_signatures = kept.join(classes.select("class", "signature"), "class")
+    rows = with_signatures.mapInArrow(_shorten, "class binary, keys array<struct<key: bigint, n: bigint>>, short binary").select("class", "short", F.inline("keys"))
+    blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.pmod(F.col("key"), F.lit(bins)).alias("bin"), "key", "class", "short", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+    )
+    edges = dealt.groupBy("bin", "i", "j").applyInArrow(_siever(keep), "a binary, b binary")
     return components.connected_components(edges).select(F.col("node").alias("class"), "root")
 
 
@@ -204,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     signed = common.scratch(source.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, class binary, signature binary"), "signatures")
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = common.scratch(classes, "classes")
-    groups = common.scratch(_candidate_groups(classes), "groups")
+    keep = fewest_matches(percent / 100)  # worked out once, on the driver
+    groups = common.scratch(_candidate_groups(classes, keep), "groups")
 
     members = groups.join(classes.select("class", "text_hash", "n_shingles"), "class")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -219,7 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     dealt = loaded.withColumn("own", own).withColumn("other", other).select(
         "class", "root", "signature", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
     )
-    edges = dealt.groupBy("root", "i", "j").applyInArrow(_verifier(percent), "a binary, b binary")
+    edges = dealt.groupBy("root", "i", "j").applyInArrow(_verifier(percent, keep), "a binary, b binary")
     linked = components.connected_components(edges)
 
     rooted = classes.select("class", "doc_id").join(linked, classes["class"] == linked["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
