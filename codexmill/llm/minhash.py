@@ -33,7 +33,9 @@ BIN_ROWS = 1 << 16
 #: Tables of ids up to this size are broadcast to find their texts.
 BROADCAST_BYTES = 32 << 20
 #: Words that a worker remembers the hash of.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Bytes of text that are shingled at a time; words and hashes of a text take some ten times its bytes.
+TEXT_BYTES = 1 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20)
@@ -97,7 +99,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in common.text_slices(batch, "text"):
+        for part in common.text_slices(batch, "text", TEXT_BYTES):
             sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()])
             columns = [
                 part.column("doc_id"), part.column("text_hash"), pa.array([len(x) for x in sets], pa.int64()),
@@ -210,7 +212,7 @@ def _verifier(percent: int, keep: dict[int, int]):
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in common.text_slices(batch, "text"):
+        for part in common.text_slices(batch, "text", TEXT_BYTES):
             sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()])
             columns = [part.column(k) for k in ("class", "root", "blocks")]
             columns.append(pa.array([signature(x).astype("<u4").tobytes() for x in sets], pa.binary()))

@@ -73,6 +73,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, largest: int = 2048, with
                     names.append("ids")
                 next_id += n
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.rest()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

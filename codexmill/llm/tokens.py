@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import re
 from array import array
 
@@ -52,6 +53,16 @@ class PieceEncoder:
                 self._spelling[b] = spelled.pre_tokenize_str(text)[0][0][0 if b >= 0xC2 else 1]
         self._size = np.array([len(self._letters.id_to_token(i) or "") for i in range(self._letters.get_vocab_size())], np.int64)
         self._memo: dict[str, bytes] = {}
+        self._recent: set[str] = set()
+
+    def rest(self) -> None:
+        """Give memory back, as a worker lives on after its task: only the latest texts' pieces stay.
+
+        They are copied, so that the memory which they share with the others becomes free as a whole.
+        """
+        kept = {x: self._memo[x] for x in self._recent if x in self._memo}
+        self._memo = pickle.loads(pickle.dumps(kept))
+        self._recent = set()
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -102,6 +113,7 @@ class PieceEncoder:
         if len(self._memo) > MEMO_PIECES:
             self._memo = {x: self._memo[x] for x in unknown if x in self._memo}
         once = self._learn(unknown)
+        self._recent = unknown
         heads = self._fresh([pieces[0] for pieces in cut])
         known = {**self._memo, **once} if once else self._memo
         return [head + b"".join(map(known.__getitem__, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
