@@ -198,6 +198,11 @@ SELECT a.name AS caller, b.name AS callee FROM f a JOIN f b ON a.name <> b.name
 WITH RECURSIVE late AS ({_LATE}), t(root, depth, node, path) AS (
   SELECT CAST(p_partkey AS VARCHAR), 0, CAST(p_partkey AS VARCHAR), [CAST(p_partkey AS VARCHAR)] FROM part WHERE p_partkey % 500 = 0
   UNION ALL SELECT root, depth + 1, callee, list_append(path, callee) FROM t JOIN late ON caller = node WHERE depth < 3 AND NOT list_contains(path, callee))
+SELECT root, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM t""",
+    "call_tree_paths_all": f"""
+WITH RECURSIVE late AS ({_LATE}), t(root, depth, node, path) AS (
+  SELECT CAST(p_partkey AS VARCHAR), 0, CAST(p_partkey AS VARCHAR), [CAST(p_partkey AS VARCHAR)] FROM part
+  UNION ALL SELECT root, depth + 1, callee, list_append(path, callee) FROM t JOIN late ON caller = node WHERE depth < 3 AND NOT list_contains(path, callee))
 SELECT root, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM t""",
     "dependency_graph": f"""
 WITH RECURSIVE late AS ({_LATE}),

@@ -302,6 +302,13 @@ def call_tree_paths(spark, sf_dir):
     return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
 
 
+@query
+def call_tree_paths_all(spark, sf_dir):
+    """Simple paths of up to three calls from every part."""
+    paths = calltree.call_trees(_parts(spark, sf_dir), _late_pairs(spark, sf_dir), 3)
+    return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
+
+
 @query
 def dependency_graph(spark, sf_dir):
     return calltree.dependency_graph("0", _parts(spark, sf_dir), _late_pairs(spark, sf_dir), 2)
