@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from codexmill.functions import text as T
 
 
-def called_by_text(functions: DataFrame) -> DataFrame:
+def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
     """caller, callee: whose content holds another's full name before a parenthesis, in any case.
 
     A match ends in a run without white space or parenthesis, right before the parenthesis, so a content is
     cut into these runs and names are found among the runs' ends by an equi-join: no pair of functions that
     don't share one is formed. Of a run's ends only those as long as some name are kept. Names that hold
-    white space or a parenthesis themselves, which no language here gives, are matched as patterns.
+    white space or a parenthesis themselves, which no language here gives, are matched as patterns. Callers are
+    given by `key`, which tells functions of one name apart; a function doesn't call its own name.
     """
-    f = functions.select("name", F.lower("content").alias("content")).where("name IS NOT NULL AND name <> ''").distinct()
+    f = functions.select(F.col(key).alias("caller"), "name", F.lower("content").alias("content")).where("name IS NOT NULL AND name <> ''")
     names = f.select(F.col("name").alias("callee"), F.lower("name").alias("low")).distinct()
     odd = F.rlike("callee", F.lit(r"[\s(]"))
     lengths = names.where(~odd).agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
-    runs = f.select(F.col("name").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1))).alias("run"))
-    ends = runs.crossJoin(F.broadcast(lengths)).select("caller", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("run")), lambda n: F.substring("run", F.length("run") - n + 1, n))).alias("low"))
-    exact = ends.distinct().join(names, "low").select("caller", "callee")
-    loose = f.join(names.where(odd), F.contains(F.col("content"), F.col("low")) & T.called_in(F.col("callee"), F.col("content"))).select(F.col("name").alias("caller"), "callee")
-    return exact.union(loose).where("caller <> callee").distinct()
+    runs = f.select("caller", "name", F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1)).alias("runs"))
+    of = lambda run: F.transform(F.filter("lengths", lambda n: n <= F.length(run)), lambda n: F.substring(run, F.length(run) - n + 1, n))
+    ends = runs.crossJoin(F.broadcast(lengths)).select("caller", "name", F.explode(F.array_distinct(F.flatten(F.transform("runs", of)))).alias("low"))
+    exact = ends.join(names, "low").select("caller", "name", "callee")
+    loose = f.join(names.where(odd), F.contains(F.col("content"), F.col("low")) & T.called_in(F.col("callee"), F.col("content"))).select("caller", "name", "callee")
+    return exact.union(loose).where("name <> callee").select("caller", "callee").distinct()
 
 
 def called_by_list(functions: DataFrame) -> DataFrame:

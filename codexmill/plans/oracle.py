@@ -193,6 +193,10 @@ SELECT count(*) AS total_functions, count(*) FILTER (up > 0) AS functions_with_u
 WITH d AS (SELECT doc_id, regexp_split_to_array({_strip("text")}, '\s+')[1] AS name, replace(text, '. ', '(. ') AS content FROM documents),
 f AS (SELECT name, lower(arg_min(content, doc_id)) AS content FROM d WHERE length(name) > 3 GROUP BY name)
 SELECT a.name AS caller, b.name AS callee FROM f a JOIN f b ON a.name <> b.name AND contains(a.content, lower(b.name)) AND regexp_matches(a.content, regexp_escape(lower(b.name)) || '\s*\(')""",
+    "call_text_search_all": rf"""
+WITH f AS (SELECT doc_id, regexp_split_to_array({_strip("text")}, '\s+')[1] AS name, lower(replace(text, '. ', '(. ')) AS content FROM documents)
+SELECT DISTINCT a.doc_id AS caller, b.name AS callee FROM f a JOIN (SELECT DISTINCT name FROM f WHERE name <> '') b ON a.name <> '' AND a.name <> b.name AND contains(a.content, lower(b.name))
+  AND regexp_matches(a.content, regexp_escape(lower(b.name)) || '\s*\(')""",
     "call_list_lookup": _CODE + "SELECT DISTINCT fn.short AS caller, cshort AS callee FROM k JOIN fn ON fn.seq = k.src WHERE cshort IN (SELECT short FROM fn) AND fn.short <> cshort",
     "call_tree_paths": f"""
 WITH RECURSIVE late AS ({_LATE}), t(root, depth, node, path) AS (

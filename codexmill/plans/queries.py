@@ -287,6 +287,14 @@ def call_text_search(spark, sf_dir):
     return calltree.called_by_text(f.groupBy("name").agg(F.min_by("content", "doc_id").alias("content")))
 
 
+@query
+def call_text_search_all(spark, sf_dir):
+    """Each document is a function of its own, known by its doc_id and named by its first word, however short."""
+    d = frames.table(spark, sf_dir, "documents")
+    f = d.select("doc_id", F.regexp_extract("text", r"\S+", 0).alias("name"), F.replace(F.col("text"), F.lit(". "), F.lit("(. ")).alias("content"))
+    return calltree.called_by_text(f, "doc_id")
+
+
 @query
 def call_list_lookup(spark, sf_dir):
     """Suppliers under their short names, with the calls of the call table."""

@@ -27,3 +27,12 @@ def test_call_trees_of_all_parts(spark):
     got = [(r.root, r.depth, r.path) for r in QUERIES["call_tree_paths_all"](spark, DATA).collect()]
     assert sorted(got) == sorted((p[0], len(p) - 1, ">".join(p)) for p in want)
     assert {r for r, _, _ in got} == set(parts)
+
+
+def test_text_search_keeps_every_document(spark):
+    rows = [(1, "go", "go now(. "), (2, "go", "go and pay(. "), (3, "pay", "pay or go (x"), (4, "a", "a pay(. "), (5, "pay", "pay a(. "), (6, None, None), (7, "", " ")]
+    f = spark.createDataFrame(rows, "doc_id long, name string, content string")
+    names = {n for _, n, _ in rows if n}
+    want = {(i, n) for i, own, text in rows if own for n in names if n != own and re.search(re.escape(n) + r"\s*\(", text)}
+    assert {(2, "pay"), (3, "go"), (4, "pay"), (5, "a")} <= want
+    assert {(r.caller, r.callee) for r in calltree.called_by_text(f, "doc_id").collect()} == want
