@@ -2,7 +2,8 @@
 
 Pages of one host are aligned with one of them, the host's reference, by simple tree matching. A
 reference node that most other pages have with the same text is template; a node whose text varies is
-a slot for content. A page's text is that of its article (or main part, or body) without the elements
+a slot for content. What the reference lacks is counted too: the wrapper grows by each text that most pages
+of the host with an element of that path (names and classes from the root) have in it. A page's text is that of its article (or main part, or body) without the elements
 that HTML or their class names as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments, and without the nodes that align with template.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -45,19 +47,27 @@ BOILERPLATE_WORDS = frozenset(
 
 _TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?")
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
     """An element: kids are elements and strings in page order; dropped if it and all below is boilerplate."""
 
-    __slots__ = ("tag", "kids", "dropped", "elements", "shape", "size", "words")
+    __slots__ = ("tag", "kids", "dropped", "kind", "elements", "shape", "size", "words")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped = tag, dropped
+    def __init__(self, tag: str, dropped: bool, kind: str = ""):
+        self.tag, self.dropped, self.kind = tag, dropped, kind or tag
         self.kids: list = []
 
 
+def _kind(tag: str, attributes: str) -> str:
+    """An element's name and classes without numbers, by which pages of one layout agree."""
+    m = _CLASS.search(attributes) if attributes else None
+    return f"{tag}.{_DIGITS.sub('', m[1] or m[2] or m[3] or '')}" if m else tag
+
+
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
@@ -119,7 +129,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(" ")
             continue
-        node = Node(tag, _is_boilerplate(tag, m[3], articles > 0))
+        node = Node(tag, _is_boilerplate(tag, m[3], articles > 0), _kind(tag, m[3]))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             stack[-1].kids.append(node)
         elif tag in RAW:
@@ -287,35 +297,46 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
 
 
 def _chosen(root: Node) -> set[int]:
-    out: set[int] = set()
-    for region in _regions(root):
-        stack = [region]
-        while stack:
-            x = stack.pop()
-            if not x.dropped:
-                out.add(id(x))
-                stack += x.elements
-    return out
+    return {id(x) for x, _ in _placed(root)}
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _placed(root: Node) -> Iterator[tuple[Node, str]]:
+    """The elements of the main text, each with its path."""
+    regions = {id(x) for x in _regions(root)}
+    stack = [(root, "", False)]
+    while stack:
+        x, above, inside = stack.pop()
+        if x.dropped:
+            continue
+        path, inside = f"{above}/{x.kind}", inside or id(x) in regions
+        if inside:
+            yield x, path
+        stack += [(y, path, inside) for y in x.elements]
 
 
 class Reference:
-    """A host's reference page: its tree, its nodes in page order, and which of them are template."""
+    """A host's reference page: its tree, its nodes in page order, which are template, and the texts that are template by path."""
 
-    def __init__(self, html: str, constant: list[int] | None = None):
+    def __init__(self, html: str, constant: list[int] | None = None, grown: list[dict] | None = None):
         self.html, self.tree = html, parse(html)
         self.nodes = list(walk(self.tree))
         self.place = {id(x): i for i, x in enumerate(self.nodes)}
-        main = _chosen(self.tree)
-        wanted = [i for i in constant or [] if i < len(self.nodes) and id(self.nodes[i]) in main]
-        # where most of a page's main text is the same everywhere, the pages are copies, not a template
-        share = sum(len(own_text(self.nodes[i])) for i in wanted) / max(1, sum(len(own_text(x)) for x in self.nodes if id(x) in main))
-        self.constant = frozenset(wanted) if share <= 0.5 else frozenset()
+        self.main = _chosen(self.tree)
+        self.constant = frozenset(constant or ())
+        self.grown = frozenset((x["path"], x["text"]) for x in grown or ())
+        self.paths = frozenset(p for p, _ in self.grown)
 
     def extract(self, html: str | None) -> str:
         tree = parse(html or "")
-        if not self.constant:
-            return text_of(tree)
-        same = {id(y) for x, y in align(self.tree, tree) if self.place[id(x)] in self.constant and own_text(x) == own_text(y)}
+        same: set[int] = set()
+        if self.constant:
+            same = {id(y) for x, y in align(self.tree, tree) if self.place[id(x)] in self.constant and own_text(x) == own_text(y)}
+        if self.grown:
+            same |= {id(x) for x, path in _placed(tree) if own_text(x) and (p := _key(path)) in self.paths and (p, _key(own_text(x))) in self.grown}
         return text_of(tree, same)
 
 
@@ -326,59 +347,90 @@ class _References:
         self.kept: dict = {}
         self.most = most
 
-    def get(self, host: str | None, html: str | None, constant: list[int] | None = None) -> Reference:
+    def get(self, host: str | None, html: str | None, constant: list[int] | None = None, grown: list[dict] | None = None) -> Reference:
         if host not in self.kept:
             if len(self.kept) >= self.most:
                 self.kept.clear()
-            self.kept[host] = Reference(html or "", constant)
+            self.kept[host] = Reference(html or "", constant, grown)
         return self.kept[host]
 
 
+_COUNTED = "host string, place int, path long, text long, held long, same long, chars long"
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by place in the reference (other pages than it), by path and text, by path, and of the host's main texts."""
     references, counts = _References(), {}
+
+    def add(key: tuple, held: int, same: int, chars: int) -> None:
+        row = counts.setdefault(key, [0, 0, 0])
+        row[0] += held
+        row[1] += same
+        row[2] += chars
+
     for batch in batches:
         for host, html, reference in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True):
-            if not html or html == reference:
+            if not html:
                 continue
-            known = references.get(host, reference)
-            main = [(known.place[id(x)], own_text(x) == own_text(y)) for x, y in align(known.tree, parse(html)) if own_text(x)]
-            for place, same in main:
-                pair = counts.setdefault((host, place), [0, 0])
-                pair[0] += 1
-                pair[1] += same
-        if len(counts) > 200_000:
-            yield _counted(counts)
-            counts.clear()
+            tree, seen = parse(html), {}
+            for x, path in _placed(tree):
+                if text := own_text(x):
+                    p = _key(path)
+                    seen[p, None] = 0
+                    seen[p, _key(text)] = seen.get((p, _key(text)), 0) + len(text)
+            for (p, text), chars in seen.items():
+                add((host, None, p, text), 1, 0, chars)
+            add((host, None, None, None), 1, 0, sum(seen.values()))
+            if html != reference:
+                known = references.get(host, reference)
+                for x, y in align(known.tree, tree):
+                    if id(x) in known.main and own_text(x):
+                        same = own_text(x) == own_text(y)
+                        add((host, known.place[id(x)], None, None), 1, same, same * len(own_text(x)))
+            if len(counts) > 200_000:
+                yield _counted(counts)
+                counts.clear()
     yield _counted(counts)
 
 
 def _counted(counts: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([h for h, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.int32()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-        ["host", "place", "held", "same"],
-    )
+    types = [pa.string(), pa.int32(), *[pa.int64()] * 5]
+    rows = [(*k, *c) for k, c in counts.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     references = _References()
     for batch in batches:
-        texts = [references.get(h, r, c).extract(x) for h, x, r, c in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference", "constant")), strict=True)]
+        texts = [references.get(h, r, c, g).extract(x) for h, x, r, c, g in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference", "constant", "grown")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """A row per host: host, reference (html), constant (places of template nodes in it).
+    """A row per host: host, reference (html), constant (places of template nodes in it), grown (template texts by path).
 
     The reference is the host's page with the smallest hash; all its other pages that differ from it are
-    counted, summed per node in each task before the shuffle. Takes rows of host, html.
+    counted, summed per node in each task before the shuffle. A text is template at a path by the same
+    shares, counted over all pages that have text at that path, whatever the reference has. Where either
+    kind of template is over half of the main text of all the host's pages, they are copies, not a template.
+    Takes rows of host, html.
     """
     refs = pages.where("html IS NOT NULL").groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("m")).select("host", F.col("m.html").alias("reference"))
     refs = common.scratch(refs, "references")
-    counted = _with_references(pages, refs).mapInArrow(_compare, "host string, place int, held long, same long")
-    total = counted.groupBy("host", "place").agg(F.sum("held").alias("held"), F.sum("same").alias("same"))
-    fixed = total.where((F.col("held") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("held")))
-    template = fixed.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("constant"))
-    return common.scratch(refs.join(template, refs.host.eqNullSafe(template.host), "left").select(refs.host, "reference", "constant"), "wrappers")
+    counted = _with_references(pages, refs).mapInArrow(_compare, _COUNTED)
+    total = common.scratch(counted.groupBy("host", "place", "path", "text").agg(F.sum("held").alias("held"), F.sum("same").alias("same"), F.sum("chars").alias("chars")).where((F.col("held") > 1) | F.col("text").isNull()), "counts")
+    placed = total.where((F.col("held") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("held")) & F.col("place").isNotNull()).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("constant"), F.sum("chars").alias("standing"))
+    paths = total.where("path IS NOT NULL AND text IS NULL").select(F.col("host").alias("of"), F.col("path").alias("at"), F.col("held").alias("pages"))
+    texts = total.where(F.col("text").isNotNull() & (F.col("held") > LEAST_PAGES))
+    often = texts.join(paths, texts.host.eqNullSafe(paths.of) & (texts.path == paths["at"])).where(F.col("held") - 1 >= SAME_SHARE * (F.col("pages") - 1))
+    grown = often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("grown"), F.sum("chars").alias("spread"))
+    whole = total.where("place IS NULL AND path IS NULL").select("host", F.col("chars").alias("whole"))
+    out = refs
+    for i, side in enumerate((whole, placed, grown)):
+        side = side.withColumnRenamed("host", f"host{i}")
+        out = out.join(side, out.host.eqNullSafe(side[f"host{i}"]), "left")
+    kept = F.coalesce(2 * F.greatest("standing", "spread") <= F.col("whole"), F.lit(False))
+    return common.scratch(out.select("host", "reference", F.when(kept, F.col("constant")).alias("constant"), F.when(kept, F.col("grown")).alias("grown")), "wrappers")
 
 
 def _with_references(pages: DataFrame, refs: DataFrame) -> DataFrame:
