@@ -11,6 +11,7 @@ styles or reader comments, and without the nodes that align with template.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -23,7 +24,8 @@ from . import common
 
 #: A node is template if at least so many other pages hold it, and it has the same text in this share of them.
 LEAST_PAGES, SAME_SHARE = 4, 0.8
-#: Elements nested deeper join the ancestor at this depth, so that hostile pages can't exhaust the stack.
+#: Elements nested deeper give what they hold to the ancestor at this depth, or to the outermost dropped one,
+#: article or main part among them, so that hostile pages can't exhaust the stack.
 MAX_DEPTH = 150
 #: Child lists whose product of lengths exceeds this are aligned greedily in order.
 MATCH_CELLS = 250_000
@@ -88,6 +90,15 @@ def parse(html: str) -> Node:
     """A tree from any text: unclosed and stray tags are tolerated, character references decoded."""
     root = Node("#root", False)
     stack, articles, at, n = [root], 0, 0, len(html)
+    opened: Counter[str] = Counter()  # spares the search for what isn't open
+
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        if len(stack) > MAX_DEPTH:
+            stack[-1].kids.append(" ")
+        del stack[k:]
+
     while at < n:
         start = html.find("<", at)
         m = _TOKEN.match(html, start) if start >= 0 else None
@@ -111,17 +122,17 @@ def parse(html: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].kids.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     articles -= sum(x.tag == "article" for x in stack[k:])
-                    del stack[k:]
+                    leave(k)
                     break
             continue
         closing = {"p"} if tag in CLOSES_P else ENDED_BY.get(tag)
-        if closing:
+        if closing and any(opened[x] for x in closing):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closing:
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k].tag in SCOPE:
                     break
@@ -137,9 +148,16 @@ def parse(html: str) -> Node:
             close = html.find(">", end.end()) if end else -1
             at = n if end is None or close < 0 else close + 1
             stack[-1].kids.append(node)
-        elif len(stack) < MAX_DEPTH:
-            stack[-1].kids.append(node)
+        else:
+            above = stack[-1]
+            role = node.dropped and not above.dropped or tag in ("article", "main") and not opened[tag]
+            if len(stack) < MAX_DEPTH or role:
+                above.kids.append(node)
+            else:  # its end tag closes itself, its kids are the ancestor's
+                above.kids.append(" ")
+                node.kids, node.dropped = above.kids, above.dropped
             stack.append(node)
+            opened[tag] += 1
             articles += tag == "article"
     _measure(root, {})
     return root

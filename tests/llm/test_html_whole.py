@@ -38,3 +38,11 @@ def test_short_reference_leaves_the_template(spark):
     others = [f"<article><h1>T{i}</h1>{standing}{BODY.format(i)}</article>" for i in range(12)]
     got = texts(spark, with_reference(spark, lambda k: f"<article><h1>R{k}</h1>{standing}<p>x</p></article>", others))
     assert not any("standing" in x for x in got.values()) and all(f"More {i} " in got[i] for i in range(12))
+
+
+def test_elements_below_the_depth_limit_close_themselves_and_keep_their_role():
+    deep = "<div>" * 200 + "in<nav>menu<ul><li>x</ul></nav><div class='ad'>buy <b>now</b></div>" + "</div>" * 200
+    assert html.text_of(html.parse(f"<div><article><p>before</p>{deep}<p>after</p></article></div><p>outside</p>")) == "before\nin\nafter"
+    assert html.text_of(html.parse("<div>" * 300 + "<div>a</div><div>b</div>" + "</div>" * 300 + "c")).split() == ["a", "b", "c"]
+    assert html.text_of(html.parse("out" + "<div>" * 200 + "<article><div>in</div></article>" + "</div>" * 200)) == "in"
+    assert html.text_of(html.parse("<article>" * 5000 + "deep" + "</article>" * 5000)) == "deep"
