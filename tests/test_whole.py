@@ -1,11 +1,13 @@
 """Queries that do their operator's whole job, against brute force over the tables or a small fixture."""
 
+import json
 import re
 
 from conftest import DATA
 
 from codexmill.operators import calltree
 from codexmill.plans.queries import QUERIES
+from codexmill.sources import store
 
 
 def test_call_trees_of_all_parts(spark):
@@ -36,3 +38,11 @@ def test_text_search_keeps_every_document(spark):
     want = {(i, n) for i, own, text in rows if own for n in names if n != own and re.search(re.escape(n) + r"\s*\(", text)}
     assert {(2, "pay"), (3, "go"), (4, "pay"), (5, "a")} <= want
     assert {(r.caller, r.callee) for r in calltree.called_by_text(f, "doc_id").collect()} == want
+
+
+def test_json_lists_over_lines(spark, tmp_path):
+    name = next(k for k, v in store.TABLES.items() if "name" in str(v))
+    rows = [{"name": "a"}, {"name": "b"}]
+    for i, text in enumerate((json.dumps(rows), json.dumps(rows, indent=2), "[" + ",\n".join(map(json.dumps, rows)) + "]", "\n".join(map(json.dumps, rows)))):
+        (tmp_path / f"{i}.json").write_text(text)
+        assert sorted(r.name for r in store.read_json(spark, str(tmp_path / f"{i}.json"), name).collect()) == ["a", "b"], text
