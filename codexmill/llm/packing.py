@@ -22,16 +22,19 @@ from . import common, tokens
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
-def piece_lengths(n: int, largest: int) -> list[int]:
-    """The binary lengths that n is the sum of, longest first."""
-    out = [largest] * (n // largest)
-    rest, bit = n % largest, largest >> 1
-    while rest:
-        if rest >= bit:
-            out.append(bit)
-            rest -= bit
-        bit >>= 1
-    return out
+def decompose(counts: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of documents of so many ids, in order: each one's document, start and binary length, longest first."""
+    bits = largest >> 1 >> np.arange(largest.bit_length() - 1)  # the lengths below the largest, falling
+    has = (counts[:, None] & bits) > 0
+    whole = counts // largest
+    per_row = whole + has.sum(1)
+    rows = np.repeat(np.arange(len(counts)), per_row)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    size = np.full(len(rows), largest, np.int64)
+    size[nth >= whole[rows]] = np.broadcast_to(bits, has.shape)[has]
+    stops = np.cumsum(size)
+    before = np.repeat(np.cumsum(counts) - counts, per_row)
+    return rows, stops - size - before, size
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, largest: int = 2048, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,37 +46,36 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, largest: int = 2048, with
     """
     if largest < 1 or largest & (largest - 1):
         raise ValueError("the largest length must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, next_id = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in common.text_slices(batch, "text"):
-                coded = [x + end for x in encoder.encode([x or "" for x in part.column("text").to_pylist()])]
-                row, start, length, crc = [], [], [], []
-                for i, ids in enumerate(coded):
-                    at = 0
-                    for size in piece_lengths(len(ids) // 4, largest):
-                        row.append(i)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
-                        at += size
-                size = np.array(length, np.int64)
-                rows, n = np.array(row, np.int64), len(row)
-                counts = np.array([len(x) // 4 for x in coded], np.int64)
+            for part in common.text_slices(batch, "text", tokens.SLICE_BYTES):
+                ids, counts = encoder.encode(part.column("text"), end_id)
+                rows, start, size = decompose(counts, largest)
+                stops, n = np.cumsum(size), len(size)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((stops - size).tolist(), stops.tolist(), strict=True)]
                 columns = [
-                    part.column("doc_id").take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[rows]),
+                    part.column("doc_id").take(pa.array(rows)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[rows]),
                     pa.array(np.arange(next_id, next_id + n)), pa.array(np.zeros(n, np.int64)), pa.array(np.log2(size).round().astype(np.int32)),
                 ]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
                 if with_ids:
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids.view(np.int32))))
                     names.append("ids")
                 next_id += n
                 yield pa.RecordBatch.from_arrays(columns, names)
-        encoder.rest()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write packed sequences, with their ids, into a folder for each length, of which batches of equal shape are read."""
+    packed.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def read_bucket(spark, path: str, length: int) -> DataFrame:
+    """The sequences of one length; the folders of other lengths aren't read."""
+    return spark.read.parquet(path).where(F.col("bucket") == length.bit_length() - 1)

@@ -26,18 +26,14 @@ BLOOM_FPP = 0.01
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pos = tokens.encoder(path), 0
         for batch in batches:
-            for part in common.text_slices(batch, "text"):
-                ids = [x + end for x in encoder.encode([x or "" for x in part.column("text").to_pylist()])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                places = pa.array(np.arange(pos, pos + len(ids)))
-                pos += len(ids)
+            for part in common.text_slices(batch, "text", tokens.SLICE_BYTES):
+                ids, counts = encoder.encode(part.column("text"), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                places = pa.array(np.arange(pos, pos + len(counts)))
+                pos += len(counts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), places, pa.array(counts), lists], ["doc_id", "pos", "n_tokens", "ids"])
 
     return run
@@ -92,8 +88,9 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     sum over parts (as many rows as parts); within a part, which the range exchange has bounded,
     a window sums in order.
     """
-    rows = read(spark, path).select("part", "doc_id", "pos", "ids").mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long, pos long")
-    totals = read(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    digest = read(spark, path).select("part", "doc_id", "pos", "ids").mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long, pos long")
+    rows = common.scratch(digest, "digests")  # read twice, so that the files are read once
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

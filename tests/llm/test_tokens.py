@@ -1,7 +1,9 @@
 import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import EDGE, LONG, documents
 from hypothesis import given, settings
@@ -19,22 +21,50 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda texts: [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def own(coder, texts):
+    ids, counts = coder.encode(pa.array(texts, pa.string()), 7)
+    stops = np.cumsum(counts)
+    assert len(ids) == counts.sum() and all(ids[k - 1] == 7 for k in stops)
+    return [ids[k - n : k - 1].tolist() for k, n in zip(stops, counts, strict=True)]
+
+
+PARTS = st.one_of(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'s!12aéñБ中x́  \x1c"), st.characters(codec="utf-8")), max_size=60), st.sampled_from(["<|endoftext|>", "<|endof", "wörds", "\n", " "]))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'s!12aéñБ中x́  \x1c"), st.characters(codec="utf-8")), max_size=60), min_size=1, max_size=4))
+@given(st.lists(st.lists(PARTS, max_size=4).map("".join), min_size=1, max_size=4))
 def test_pieces_give_the_library_s_ids(plain, texts):
-    assert [array("I", x).tolist() for x in encoder(PATH).encode(texts)] == plain(texts)
+    assert own(encoder(PATH), texts) == plain(texts)
+
+
+SPECIAL = ["<|endoftext|>", "a b<|endoftext|> c", "<|endoftext|><|endoftext|>", "a <|endoftext|>", "<|endoftext|>\nA b", "x\n<|endoftext|> \n<|endoftext|>y."]
+SHAPES = ["a b c, d.\ne f's 'll don't", "", " ", "\n", "a  b\n\nc", "é" * 300 + " y", "Ünïcode, wörds. \x1c z", "a\nB, c.\nÜb", LONG[:2000], "中文 Б, в.\nГ", *SPECIAL]
+
+
+def test_known_shapes_in_small_runs(plain, monkeypatch):
+    monkeypatch.setattr("codexmill.llm.tokens.GATHER_PIECES", 3)
+    assert own(PieceEncoder(PATH), SHAPES) == plain(SHAPES)
+    assert own(PieceEncoder(PATH), []) == [] and own(PieceEncoder(PATH), [None]) == [[]]
+
+
+def test_special_tokens_are_the_library_s(spark, plain, tmp_path):
+    assert all(50256 in x for x in plain(SPECIAL))
+    docs = documents(spark, SPECIAL)
+    token_output.write(docs, str(tmp_path / "ids"), PATH, end_id=2)
+    assert [list(r.ids)[:-1] for r in token_output.read(spark, str(tmp_path / "ids")).orderBy("doc_id").collect()] == plain(SPECIAL)
+    packed = packing.pack(docs, PATH, end_id=1).orderBy("doc_id", "start").collect()
+    assert [[i for r in packed if r.doc_id == k for i in r.ids][:-1] for k in range(len(SPECIAL))] == plain(SPECIAL)
 
 
-def test_known_shapes_and_a_full_memory(plain, monkeypatch):
-    monkeypatch.setattr("codexmill.llm.tokens.MEMO_PIECES", 3)
-    own = PieceEncoder(PATH)
-    texts = ["a b c, d.\ne f's 'll don't", "", " ", "\n", "a  b\n\nc", "<|endoftext|> x", "é" * 300 + " y", "Ünïcode, wörds. \x1c z", LONG[:2000]]
-    for _ in range(3):
-        assert [array("I", x).tolist() for x in own.encode(texts)] == plain(texts)
+def test_buckets_hold_one_length_each(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    packing.write_buckets(packing.pack(documents(spark, EDGE), PATH, end_id=1), path)
+    for n in (1, 2, 2048):
+        rows = packing.read_bucket(spark, path, n).collect()
+        assert rows and all(len(r.ids) == n == r.length for r in rows)
 
 
 def expected(rows, plain, end):
@@ -92,12 +122,15 @@ def test_packing(spark, plain):
     assert sorted((i is None, i or 0, x) for i, x in docs_of.values()) == want
 
 
-@given(st.integers(1, 20_000))
-def test_piece_lengths(n):
-    lengths = packing.piece_lengths(n, 2048)
-    assert sum(lengths) == n and all(x & (x - 1) == 0 for x in lengths) and lengths == sorted(lengths, reverse=True)
-    small = [x for x in lengths if x < 2048]
-    assert len(set(small)) == len(small)
+@given(st.lists(st.integers(1, 20_000), max_size=6))
+def test_decomposition(counts):
+    rows, starts, sizes = packing.decompose(np.array(counts, np.int64), 2048)
+    for k, n in enumerate(counts):
+        lengths, at = sizes[rows == k].tolist(), starts[rows == k].tolist()
+        assert sum(lengths) == n and all(x & (x - 1) == 0 for x in lengths) and lengths == sorted(lengths, reverse=True)
+        assert at == [sum(lengths[:i]) for i in range(len(lengths))]
+        small = [x for x in lengths if x < 2048]
+        assert len(set(small)) == len(small)
 
 
 def test_ids_are_unsigned(spark):
