@@ -40,9 +40,10 @@ class ChunkConfig:
 
 # The presets, their file lists, and the names that project types have.
 _LONG_TEXT_FILES = (".txt", ".md", ".rst", ".doc", ".docx", ".pdf", ".rtf", ".odt", ".epub", ".mobi", ".html", ".xml")
-_CODE_EXCLUDES = tuple(
-    ".git __pycache__ .pyc .log .tmp .cache node_modules .next dist build .vscode .idea .DS_Store coverage .nyc_output .bin .dll .so .dylib .exe .zip .tar .gz .rar .7z .jar .war .ear .deb .rpm .dmg .iso .img .vdi .vmdk .qcow2".split()
-)
+_CODE_EXCLUDES = (
+    ".git", "__pycache__", ".pyc", ".log", ".tmp", ".cache", "node_modules", ".next", "dist", "build", ".vscode", ".idea", ".DS_Store", "coverage", ".nyc_output",
+    ".bin", ".dll", ".so", ".dylib", ".exe", ".zip", ".tar", ".gz", ".rar", ".7z", ".jar", ".war", ".ear", ".deb", ".rpm", ".dmg", ".iso", ".img", ".vdi", ".vmdk", ".qcow2",
+)
 PRESETS: dict[str, ChunkConfig] = {
     "default": ChunkConfig("word", 800, 200, max_file_size_mb=10.0, exclude_patterns=(".git", "__pycache__", ".pyc", ".log", ".tmp", ".cache")),
     "code_project": ChunkConfig("word", 1000, 250, max_file_size_mb=20.0, exclude_patterns=_CODE_EXCLUDES),
@@ -64,6 +65,11 @@ def preset(name: str = "default") -> ChunkConfig:
     return PRESETS.get(name, PRESETS["default"])
 
 
+def list_presets() -> list[tuple[str, ChunkConfig]]:
+    """The presets' names and settings, in order."""
+    return list(PRESETS.items())
+
+
 def for_project_type(kind: str = "code") -> ChunkConfig:
     """The preset for a kind of project; an unknown kind counts as code."""
     return preset(PROJECT_TYPES.get(kind.lower(), "code_project"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,20 @@ CHAPTERS = (r"第[一二三四五六七八九十\d]+章", r"Chapter\s+\d+", r"^#
 _SPACE = r"(?U)\s+"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it, inside of lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def not_blank(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"(?U)\S"))
+
+
 def words(text: Column) -> Column:
     """The runs between white space, in order."""
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
@@ -111,12 +122,28 @@ def has_chapters(text: Column) -> Column:
 def clean_long_text(text: Column) -> Column:
     """Line feeds only, lines stripped, one blank line for several, and room before chapter headings."""
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n"), strip)
-    plain = F.array_join(F.filter(lines, lambda x, i: (x != "") | (i == 0) | (F.element_at(lines, i) != "")), "\n")
-    spaced = F.regexp_replace(F.regexp_replace(plain, "(" + CHAPTERS[0] + ")", "\n\n$1"), "(" + CHAPTERS[1] + ")", "\n\n$1")
-    spaced = F.regexp_replace(spaced, "(?m)(" + CHAPTERS[2] + ")", "\n\n$1")
-    return F.when(has_chapters(plain), spaced).otherwise(plain)
+    plain = bound(lines, lambda x: F.array_join(F.filter(x, lambda line, i: (line != "") | (i == 0) | (F.element_at(x, i) != "")), "\n"))
+
+    def spaced(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, "(" + CHAPTERS[0] + ")", "\n\n$1"), "(" + CHAPTERS[1] + ")", "\n\n$1")
+        return F.regexp_replace(x, "(?m)(" + CHAPTERS[2] + ")", "\n\n$1")
+
+    return bound(plain, lambda x: F.when(has_chapters(x), spaced(x)).otherwise(x))
+
+
+def paragraph_count(text: Column) -> Column:
+    """Pieces between pairs of line feeds; line ends of other systems count as line feeds."""
+    return F.size(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n\n"))
 
 
-def decode_lenient(content: Column) -> Column:
-    """Bytes as UTF-8 text without what isn't valid."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+def decode_lenient(content: Column, encoding: str = "utf-8") -> Column:
+    """Bytes as text without what isn't valid in the encoding (utf-8, us-ascii, iso-8859-1, utf-16, utf-16be, utf-16le or utf-32)."""
+    name = {"latin1": "iso-8859-1", "latin-1": "iso-8859-1", "ascii": "us-ascii", "utf8": "utf-8"}.get(encoding.lower(), encoding.lower())
+    if name == "utf-8":
+        return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    if name == "us-ascii":
+        # ISO-8859-1 maps each byte to the character of its number, so none is lost before the filter
+        return F.regexp_replace(F.decode(content, "iso-8859-1"), r"[^\x00-\x7f]", "")
+    if name in ("utf-16", "utf-16be", "utf-16le"):
+        content = F.substring(content, F.lit(1), (F.octet_length(content) - F.octet_length(content) % 2).cast("int"))  # half a unit at the end
+    return F.try_validate_utf8(F.decode(content, name))

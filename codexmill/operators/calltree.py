@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
+from codexmill.operators.graph import reach
+from codexmill.sources.scratch import scratch
 
 
 def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
@@ -13,20 +15,24 @@ def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
 
     A match ends in a run without white space or parenthesis, right before the parenthesis, so a content is
     cut into these runs and names are found among the runs' ends by an equi-join: no pair of functions that
-    don't share one is formed. Of a run's ends only those as long as some name are kept. Names that hold
-    white space or a parenthesis themselves, which no language here gives, are matched as patterns. Callers are
-    given by `key`, which tells functions of one name apart; a function doesn't call its own name.
+    don't share one is formed. Of a run's ends only those as long as some name are kept. A name that holds
+    white space or a parenthesis itself is joined by its own last run, and the content is looked through only
+    for what that join gives; names of such marks alone match nothing. Callers are given by `key`, which tells
+    functions of one name apart; a function doesn't call its own name.
     """
     f = functions.select(F.col(key).alias("caller"), "name", F.lower("content").alias("content")).where("name IS NOT NULL AND name <> ''")
-    names = f.select(F.col("name").alias("callee"), F.lower("name").alias("low")).distinct()
-    odd = F.rlike("callee", F.lit(r"[\s(]"))
-    lengths = names.where(~odd).agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
+    last = F.regexp_extract(F.lower("name"), r"([^\s(]+)[\s(]*$", 1)
+    names = f.select(F.col("name").alias("callee"), last.alias("low"), (F.lower("name") != last).alias("odd")).distinct().where("low <> ''")
+    lengths = names.agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
     runs = f.select("caller", "name", F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1)).alias("runs"))
     of = lambda run: F.transform(F.filter("lengths", lambda n: n <= F.length(run)), lambda n: F.substring(run, F.length(run) - n + 1, n))
     ends = runs.crossJoin(F.broadcast(lengths)).select("caller", "name", F.explode(F.array_distinct(F.flatten(F.transform("runs", of)))).alias("low"))
-    exact = ends.join(names, "low").select("caller", "name", "callee")
-    loose = f.join(names.where(odd), F.contains(F.col("content"), F.col("low")) & T.called_in(F.col("callee"), F.col("content"))).select("caller", "name", "callee")
-    return exact.union(loose).where("name <> callee").select("caller", "callee").distinct()
+    found = ends.join(names.where("NOT odd"), "low").select("caller", "name", "callee")
+    if not names.where("odd").isEmpty():
+        likely = ends.join(names.where("odd"), "low").select("caller", "name", "callee").distinct()
+        held = likely.join(f.select("caller", "content"), "caller").where(T.called_in(F.col("callee"), F.col("content")))
+        found = found.union(held.select("caller", "name", "callee"))
+    return found.where("name <> callee").select("caller", "callee").distinct()
 
 
 def called_by_list(functions: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def counts(functions: DataFrame, pairs: DataFrame) -> DataFrame:
     """name, upstream_count, downstream_count of every function."""
     down = pairs.groupBy(F.col("caller").alias("name")).agg(F.count_distinct("callee").alias("downstream_count"))
     up = pairs.groupBy(F.col("callee").alias("name")).agg(F.count_distinct("caller").alias("upstream_count"))
-    every = functions.select("name").distinct()
+    every = names(functions)
     return every.join(up, "name", "left").join(down, "name", "left").na.fill(0, ["upstream_count", "downstream_count"])
 
 
@@ -66,14 +72,24 @@ def leaves(functions: DataFrame, pairs: DataFrame) -> DataFrame:
     return functions.join(pairs.select(F.col("caller").alias("name")), "name", "left_anti")
 
 
-def call_trees(roots: DataFrame, pairs: DataFrame, max_depth: int, direction: str = "downstream") -> DataFrame:
-    """root, depth, path: every simple path from the roots (name) of at most `max_depth` calls. Each level is one join."""
+def call_trees(roots: DataFrame, pairs: DataFrame, max_depth: int | None = None, direction: str = "downstream") -> DataFrame:
+    """root, depth, path: every simple path from the roots (name), of at most `max_depth` calls if that is given.
+
+    Each level is one join. Without a depth, levels are written until one is empty, which the simple paths of a
+    graph with many cycles may take long to reach.
+    """
     a, b = ("caller", "callee") if direction == "downstream" else ("callee", "caller")
     steps = pairs.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
+    steps = steps if max_depth is not None else scratch(steps, "steps")
     level = roots.select(F.col("name").alias("root"), F.lit(0).alias("depth"), F.array("name").alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, depth = level, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         level = level.withColumn("at", F.element_at("path", -1)).join(steps, "at").where(~F.array_contains("path", F.col("next"))).select("root", F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path"))
+        if max_depth is None:
+            level = scratch(level, "paths")
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
     return out
 
@@ -94,14 +110,42 @@ def render(tree: dict, indent: int = 0) -> str:
 
 
 def dependency_graph(target: str, functions: DataFrame, pairs: DataFrame, max_depth: int = 3) -> DataFrame:
-    """direction, name, depth: what a function depends on and what depends on it, nearest first."""
-    root = functions.where(F.col("name") == F.lit(target)).select("name").distinct()
-    out = None
-    for direction in ("upstream", "downstream"):
-        paths = call_trees(root, pairs, max_depth, direction).where("depth > 0")
-        part = paths.groupBy(F.element_at("path", -1).alias("name")).agg(F.min("depth").alias("depth")).select(F.lit(direction).alias("direction"), "name", "depth")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """direction, name, depth: what a function depends on and what depends on it, breadth first."""
+    root = functions.where(F.col("name") == F.lit(target)).select(F.col("name").alias("node_id")).distinct()
+    down = pairs.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    sides = (("upstream", down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), ("downstream", down))
+    parts = [reach(steps, root, max_depth).select(F.lit(direction).alias("direction"), F.col("node_id").alias("name"), "depth") for direction, steps in sides]
+    return parts[0].unionByName(parts[1])
+
+
+def builder_info() -> dict:
+    """What the call-tree builder offers."""
+    return {"type": "relational", "advanced_available": True, "features": {"basic_call_trees": True, "dependency_graph": True, "visualization": False, "mermaid_export": False}}
+
+
+def names(functions: DataFrame) -> DataFrame:
+    """The different function names."""
+    return functions.select("name").distinct()
+
+
+def of_contract(functions: DataFrame, contract: str) -> DataFrame:
+    return functions.where(F.col("contract_name") == F.lit(contract))
+
+
+def by_name(functions: DataFrame, name: str) -> DataFrame:
+    """The first function of a name by seq, if any."""
+    return functions.where(F.col("name") == F.lit(name)).orderBy("seq").limit(1)
+
+
+def print_call_graph(edges: DataFrame, limit: int = 50) -> str:
+    """An overview of call-graph edges as lines: short names, call type, language; at most `limit` of them, in order of names."""
+    total = edges.count()
+    if not total:
+        return "No call graph data"
+    shown = edges.orderBy("caller", "callee", "call_type", "language").limit(limit)
+    rows = shown.select(T.short_name(F.col("caller")).alias("a"), T.short_name(F.col("callee")).alias("b"), "call_type", "language").collect()
+    lines = [f"Call graph ({total} calls)", *(f"{r.a} -> {r.b} [{r.call_type}] ({r.language})" for r in rows)]
+    return "\n".join([*lines, f"... and {total - limit} more"] if total > limit else lines)
 
 
 def graph_statistics(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,21 @@ from codexmill.functions import text as T
 MIN_CHARS = 50
 
 
+def _starts(n: Column, step: int) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
 def windows(units: Column, size: int, overlap: int, joined_by: str) -> Column:
     """Slices of `size` units, each beginning size - overlap after the one before, to the last unit; blank ones are left out."""
-    n = F.size(units)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(units, i + 1, size), joined_by)), lambda x: T.strip(x) != "")
+    cut = lambda u: F.transform(_starts(F.size(u), size - overlap), lambda i: F.array_join(F.slice(u, i + 1, size), joined_by))
+    return F.filter(T.bound(units, cut), T.not_blank)
 
 
 def char_windows(text: Column, size: int, overlap: int) -> Column:
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size))), lambda x: T.strip(x) != "")
+    """The same of characters. Windows begin and end at multiples of one length, of which the text is cut once."""
+    step = math.gcd(size, overlap)
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), 1)
+    return windows(runs, size // step, overlap // step, "")
 
 
 def pieces(text: Column, config: ChunkConfig) -> Column:
@@ -39,7 +45,7 @@ def pieces(text: Column, config: ChunkConfig) -> Column:
     if config.split_by == "char":
         return char_windows(text, size, overlap)
     if config.split_by == "passage":
-        return windows(F.filter(F.split(text, r"\n\s*\n"), lambda x: T.strip(x) != ""), size, overlap, "\n\n")
+        return windows(F.filter(F.split(text, r"\n\s*\n"), T.not_blank), size, overlap, "\n\n")
     if config.split_by == "page":
         return windows(F.split(text, "\f"), size, overlap, "\f")
     return windows(F.regexp_extract_all(text, F.lit(r"(\w+|[^\w\s])"), 1), size, overlap, " ")
@@ -49,10 +55,13 @@ def split_code(code: Column, limit: int = 1000, overlap: int = 100) -> Column:
     """Windows of `limit` words, ending with the one that reaches the end; a text within the limit stays as it is."""
     held = min(overlap, limit - 1)
     step = max(1, limit - held)
-    parts = T.words(code)
-    n = F.size(parts)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1 - held, F.lit(0)), F.lit(step))
-    return F.when(n > limit, F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, limit), " "))).otherwise(F.array(code))
+
+    def cut(parts: Column) -> Column:
+        n = F.size(parts)
+        starts = F.sequence(F.lit(0), F.greatest(n - 1 - held, F.lit(0)), F.lit(step))
+        return F.when(n > limit, F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, limit), " ")))
+
+    return F.coalesce(T.bound(T.words(code), cut), F.array(code))
 
 
 def eligible(path: Column, size: Column, config: ChunkConfig) -> Column:
@@ -81,9 +90,11 @@ def chunk_files(files: DataFrame, config: ChunkConfig) -> DataFrame:
     """
     config = config.floored()
     kept = files.where(eligible(F.col("path"), F.col("size"), config)).where(long_enough(F.col("text")))
-    text = T.strip(F.col("text"))
-    text = T.clean_long_text(text) if config.long_text_mode else text
-    out = kept.select("path", "size", F.posexplode(pieces(text, config)).alias("chunk_order", "chunk_text"))
+
+    def cut(text: Column) -> Column:
+        return pieces(T.clean_long_text(text) if config.long_text_mode else text, config)
+
+    out = kept.select("path", "size", F.posexplode(T.bound(T.strip(F.col("text")), cut)).alias("chunk_order", "chunk_text"))
     measure = T.word_count(F.col("chunk_text")) if config.split_by == "word" else F.length("chunk_text")
     doc = F.substring(F.sha2("path", 256), 1, 16)
     return out.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
+from codexmill.sources.scratch import shared_dir
 
 
 def file_id(path: Column) -> Column:
@@ -25,9 +26,13 @@ def external_id(call: Column) -> Column:
 
 
 def with_ids(functions: DataFrame) -> DataFrame:
-    """Function records with path (forward slashes), node_id, short and class (null if empty)."""
-    path = T.unix_path(F.col("file_path"))
-    line = F.coalesce("line_number", "start_line", F.lit(0))
+    """Function records with path (forward slashes), node_id, short and class (null if empty).
+
+    An empty file_path gives way to absolute_file_path, and a line_number of zero to start_line.
+    """
+    given = F.col("file_path")
+    path = T.unix_path(T.or_else(given, F.coalesce("absolute_file_path", given)) if "absolute_file_path" in functions.columns else given)
+    line = F.coalesce(F.nullif("line_number", F.lit(0)), "start_line", F.lit(0))
     return functions.withColumns({"path": path, "node_id": function_id(path, F.col("name"), line), "short": T.short_name(F.col("name")), "class": F.nullif("contract_name", F.lit(""))})
 
 
@@ -88,16 +93,30 @@ def definitions(functions: DataFrame) -> DataFrame:
         .unionByName(f.where("class IS NOT NULL").select(class_id(F.col("path"), F.col("class")).alias("src"), F.col("node_id").alias("dst"), "seq"))
         .unionByName(f.where("class IS NULL").select(file_id(F.col("path")).alias("src"), F.col("node_id").alias("dst"), "seq"))
     )
-    return found.groupBy("src", "dst").agg(F.min("seq").alias("seq")).select("src", "dst", F.lit("DEFINES").alias("relation"), "seq")
+    return found.groupBy("src", "dst").agg(F.min("seq").alias("seq")).select("src", "dst", F.lit("DEFINES").alias("relation"), "seq", F.lit(0).alias("pos"))
 
 
 def call_edges(functions: DataFrame) -> DataFrame:
-    """CALLS edges of functions with a column `calls`, resolved; no self-loops, repeated calls once."""
+    """CALLS edges of functions with a column `calls`, resolved; no self-loops, repeated calls once.
+
+    seq is the caller's and pos the call's place in it, of the first call.
+    """
     sites = functions.select(F.col("node_id").alias("src"), F.col("path").alias("caller_file"), F.col("class").alias("caller_class"), "seq", F.posexplode("calls").alias("pos", "call")).withColumn("call_id", F.struct("src", "pos"))
     solved = resolve_calls(functions.select("seq", "name", "node_id", "path", "class", "short"), sites.select("call_id", "caller_file", "caller_class", "call"))
-    order = (F.col("seq") * F.lit(1 << 20) + F.col("call_id.pos")).alias("seq")
-    edges = solved.join(sites.select("call_id", "seq"), "call_id").select(F.col("call_id.src").alias("src"), F.col("target_id").alias("dst"), order)
-    return edges.where("src <> dst").groupBy("src", "dst").agg(F.min("seq").alias("seq")).select("src", "dst", F.lit("CALLS").alias("relation"), "seq")
+    edges = solved.join(sites.select("call_id", "seq"), "call_id").select(F.col("call_id.src").alias("src"), F.col("target_id").alias("dst"), F.struct("seq", "call_id.pos").alias("place"))
+    first = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("place").alias("place"))
+    return first.select("src", "dst", F.lit("CALLS").alias("relation"), "place.seq", "place.pos")
+
+
+def call_graph(functions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """caller, callee, call_type, language of all resolved calls: names, `external` or `internal`, the caller's file's language."""
+    f = with_ids(functions)
+    calls = (call_edges(f) if edges is None else edges).where("relation = 'CALLS'")
+    latest = f.groupBy("node_id").agg(F.max_by("name", "seq").alias("name"), F.max("path").alias("path"))
+    callers = latest.select(F.col("node_id").alias("src"), F.col("name").alias("caller"), F.coalesce(T.language_of(F.col("path")), F.lit("")).alias("language"))
+    callees = latest.select(F.col("node_id").alias("dst"), F.col("name").alias("callee"))
+    named = calls.join(callers, "src").join(callees, "dst", "left")
+    return named.select("caller", F.coalesce("callee", F.regexp_replace("dst", "^External:", "")).alias("callee"), F.when(F.startswith("dst", F.lit("External:")), "external").otherwise("internal").alias("call_type"), "language")
 
 
 def build(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,8 +172,8 @@ def parent_scopes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _ordered_names(rows: DataFrame, key: str) -> DataFrame:
-    gathered = F.array_sort(F.collect_list(F.struct("seq", "name")))
-    return rows.groupBy(F.col(key).alias("node_id")).agg(F.transform(gathered, lambda x: x["name"]).alias("names"))
+    gathered = F.array_sort(F.collect_list(F.struct("seq", "pos", "name")))
+    return _with_pos(rows).groupBy(F.col(key).alias("node_id")).agg(F.transform(gathered, lambda x: x["name"]).alias("names"))
 
 
 def callees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -220,48 +239,83 @@ def from_text(texts: DataFrame) -> DataFrame:
     )
 
 
+def _with_pos(edges: DataFrame) -> DataFrame:
+    """Edges of an index that has no places of calls: 0."""
+    return edges if "pos" in edges.columns else edges.withColumn("pos", F.lit(0))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed_seq, node_id, relationship, direction, seq of what seeds (node_id, seed_seq) call and are called by."""
-    calls = edges.where("relation = 'CALLS' AND src <> dst")
-    out = calls.join(seeds.withColumnRenamed("node_id", "src"), "src").select("seed_seq", F.col("dst").alias("node_id"), F.lit("CALLS").alias("relationship"), F.lit(0).alias("direction"), "seq")
-    back = calls.join(seeds.withColumnRenamed("node_id", "dst"), "dst").select("seed_seq", F.col("src").alias("node_id"), F.lit("CALLED_BY").alias("relationship"), F.lit(1).alias("direction"), "seq")
-    return out.unionByName(back)
+    """node_id, relationship, place of what seeds (node_id, place) call and are called by: the seed's place, then direction and order."""
+    calls = _with_pos(edges).where("relation = 'CALLS' AND src <> dst")
+
+    def side(near: str, far: str, relationship: str, direction: int) -> DataFrame:
+        at = F.concat("place", F.array(F.lit(direction).cast("long"), F.coalesce("seq", F.lit(0)).cast("long"), F.coalesce("pos", F.lit(0)).cast("long")))
+        return calls.join(seeds.withColumnRenamed("node_id", near), near).select(F.col(far).alias("node_id"), F.lit(relationship).alias("relationship"), at.alias("place"))
+
+    return side("src", "dst", "CALLS", 0).unionByName(side("dst", "src", "CALLED_BY", 1))
+
+
+def _placed(seeds: DataFrame) -> DataFrame:
+    return seeds.select("node_id", F.array(F.col("seed_seq").cast("long")).alias("place")) if "place" not in seeds.columns else seeds
 
 
 def expand(edges: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """node_id, relationship, place: neighbours once each, in order of seeds, calls before callers.
+    """node_id, relationship, place: neighbours of seeds (node_id, seed_seq) once each, in order of seeds, calls before callers.
 
-    Seeds, excluded nodes and external names are left out.
+    Seeds, excluded nodes and external names are left out. place is an array of numbers by which results are ordered.
     """
-    place = F.struct("seed_seq", "direction", "seq")
-    near = neighbours(edges, seeds).where(~F.startswith("node_id", F.lit("External:")))
-    first = near.groupBy("node_id").agg(F.min_by("relationship", place).alias("relationship"), F.min(place).alias("place"))
+    near = neighbours(edges, _placed(seeds)).where(~F.startswith("node_id", F.lit("External:")))
+    first = near.groupBy("node_id").agg(F.min_by("relationship", "place").alias("relationship"), F.min("place").alias("place"))
     gone = seeds.select("node_id") if exclude is None else seeds.select("node_id").union(exclude.select("node_id"))
     return first.join(gone, "node_id", "left_anti")
 
 
 def with_content(found: DataFrame, chunks: DataFrame, functions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes with content: of their chunks in order, else the function's, else the node's own if not empty; the rest go."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "text"))), lambda x: x["text"])
-    chunk = chunks.groupBy("node_id").agg(F.array_join(parts, "\n").alias("c1"))
-    function = functions.groupBy("node_id").agg(F.max_by("content", "seq").alias("c2"))
-    own = nodes.groupBy("node_id").agg(F.max("content").alias("c3"))
-    out = found.join(chunk, "node_id", "left").join(function, "node_id", "left").join(own, "node_id", "left")
-    return out.withColumn("content", F.coalesce("c1", "c2", F.nullif("c3", F.lit("")))).drop("c1", "c2", "c3").where("content IS NOT NULL")
+    """Found nodes with content: of their chunks in order, else the function's, else the node's own if not empty; the rest go.
 
+    Contents meet the found nodes before anything is gathered, so only those of found nodes are.
+    """
+    none = F.lit(None).cast("string")
+    chunk, last = F.struct("chunk_order", "text"), F.struct("seq", "content")
+    contents = (
+        chunks.select("node_id", chunk.alias("chunk"), F.lit(None).cast("struct<seq: bigint, content: string>").alias("last"), none.alias("own"))
+        .unionByName(functions.select("node_id", F.lit(None).cast("struct<chunk_order: int, text: string>").alias("chunk"), last.alias("last"), none.alias("own")))
+        .unionByName(nodes.select("node_id", F.lit(None).cast("struct<chunk_order: int, text: string>").alias("chunk"), F.lit(None).cast("struct<seq: bigint, content: string>").alias("last"), F.col("content").alias("own")))
+    )
+    parts = F.transform(F.array_sort(F.collect_list("chunk")), lambda x: x["text"])
+    joined = found.join(contents, "node_id").groupBy(*found.columns).agg(F.when(F.count("chunk") > 0, F.array_join(parts, "\n")).alias("c1"), F.max_by("last.content", "last.seq").alias("c2"), F.max("own").alias("c3"))
+    return joined.withColumn("content", F.coalesce("c1", "c2", F.nullif("c3", F.lit("")))).drop("c1", "c2", "c3").where("content IS NOT NULL")
 
-def expand_to_depth(edges: DataFrame, seeds: DataFrame, depth: int = 1, exclude: DataFrame | None = None) -> DataFrame:
-    """node_id, depth of all nodes within `depth` calls in either direction. Levels are checkpointed; an empty one ends it."""
+
+def expand_levels(edges: DataFrame, seeds: DataFrame, depth: int, chunks: DataFrame, functions: DataFrame, nodes: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """node_id, relationship, content, depth, place of nodes within `depth` steps, level by level.
+
+    A level's nodes are reached from the level before; each has its relation to the node that reached it. Nodes
+    without content are neither returned nor passed through. Levels are checkpointed; an empty one ends it.
+    """
     spark = edges.sparkSession
-    result = spark.createDataFrame([], "node_id string, depth int")
-    if depth < 1:
-        return result
-    calls = edges.where("relation = 'CALLS' AND src <> dst")
-    both = calls.select("src", "dst").union(calls.select("dst", "src")).where(~F.startswith("src", F.lit("External:")) & ~F.startswith("dst", F.lit("External:")))
+    result = spark.createDataFrame([], "node_id string, relationship string, content string, depth int, place array<bigint>")
+    front = _placed(seeds)
+    seen = front.select("node_id") if exclude is None else front.select("node_id").union(exclude.select("node_id"))
+    for level in range(1, depth + 1):
+        found = _cut(with_content(expand(edges, front, seen), chunks, functions, nodes))
+        if found.isEmpty():
+            break
+        result = result.unionByName(found.select("node_id", "relationship", "content", F.lit(level).alias("depth"), "place"))
+        front, seen = found.select("node_id", "place"), seen.union(found.select("node_id"))
+    return result
+
+
+def reach(steps: DataFrame, seeds: DataFrame, depth: int, exclude: DataFrame | None = None) -> DataFrame:
+    """node_id, depth of all nodes that `depth` steps (src, dst) or fewer lead to from seeds (node_id), the least each.
+
+    Each level is one join and one anti-join with what was seen; levels are checkpointed, an empty one ends it.
+    """
+    result = steps.sparkSession.createDataFrame([], "node_id string, depth int")
     front = seeds.select("node_id").distinct()
     seen = front if exclude is None else front.union(exclude.select("node_id")).distinct()
     for level in range(1, depth + 1):
-        reached = both.join(front.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct()
+        reached = steps.join(front.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct()
         front = _cut(reached.join(seen, "node_id", "left_anti"))
         if front.isEmpty():
             break
@@ -270,13 +324,16 @@ def expand_to_depth(edges: DataFrame, seeds: DataFrame, depth: int = 1, exclude:
     return result
 
 
+def expand_to_depth(edges: DataFrame, seeds: DataFrame, depth: int = 1, exclude: DataFrame | None = None) -> DataFrame:
+    """node_id, depth of all nodes within `depth` calls in either direction."""
+    calls = edges.where("relation = 'CALLS' AND src <> dst")
+    both = calls.select("src", "dst").union(calls.select("dst", "src")).where(~F.startswith("src", F.lit("External:")) & ~F.startswith("dst", F.lit("External:")))
+    return reach(both, seeds, depth, exclude)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Written to the session's checkpoint folder, so that plans don't grow with the levels."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codexmill-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -25,7 +25,7 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part_edges as CALLS between node ids; seq orders a node's edges by the other part."""
-    return part_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("relation"), F.col("dst").alias("seq"))
+    return part_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("relation"), F.col("dst").alias("seq"), F.lit(0).alias("pos"))
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +60,17 @@ def functions_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as functions with their calls in order of the customers."""
     made = calls(spark, sf_dir).groupBy(F.col("src").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("call_id", "call"))), lambda x: x["call"]).alias("calls"))
     return functions(spark, sf_dir).join(made, "seq", "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+
+
+def traders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, parts and suppliers as functions: name."""
+    named = lambda name, key, mark: table(spark, sf_dir, name).select(F.concat(F.lit(mark), key).alias("name"))
+    return named("customer", "c_custkey", "c").union(named("part", "p_partkey", "p")).union(named("supplier", "s_suppkey", "s"))
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, callee: a customer and the parts of its orders, a part and its suppliers."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    part = F.concat(F.lit("p"), "l_partkey")
+    bought = lines.join(orders, "l_orderkey").select(F.concat(F.lit("c"), "o_custkey").alias("caller"), part.alias("callee"))
+    return bought.union(lines.select(part, F.concat(F.lit("s"), "l_suppkey"))).distinct()

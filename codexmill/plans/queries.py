@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.config import ChunkConfig, preset
+from codexmill.config import ChunkConfig, list_presets, preset
 from codexmill.functions import text as T
 from codexmill.operators import calltree, chunking, graph, retrieval
 from codexmill.plans import frames
@@ -42,7 +42,7 @@ def file_eligible(spark, sf_dir):
 
 def _chunks(spark, sf_dir, config: ChunkConfig, measure: Callable[[Column], Column]) -> DataFrame:
     kept = frames.files(spark, sf_dir).where(chunking.long_enough(F.col("text")))
-    return kept.select("doc_id", "lang", F.posexplode(chunking.pieces(T.strip(F.col("text")), config)).alias("chunk_order", "chunk_text")).withColumn("chunk_size", measure(F.col("chunk_text")).cast("int"))
+    return kept.select("doc_id", "lang", F.posexplode(T.bound(T.strip(F.col("text")), lambda t: chunking.pieces(t, config))).alias("chunk_order", "chunk_text")).withColumn("chunk_size", measure(F.col("chunk_text")).cast("int"))
 
 
 def _word_chunks(spark, sf_dir) -> DataFrame:
@@ -86,6 +86,64 @@ def long_text_clean(spark, sf_dir):
     return frames.files(spark, sf_dir).select("doc_id", T.clean_long_text(text).alias("cleaned"), T.has_chapters(F.col("text")).alias("chapters"))
 
 
+@query
+def paragraph_counts(spark, sf_dir):
+    """Paragraphs before and after the cleaning, of documents whose lines are parted by several line ends."""
+    text = F.replace("text", F.lit("\n"), F.lit("\r\n \r\n\r\n\n"))
+    return frames.files(spark, sf_dir).select("doc_id", T.paragraph_count(text).alias("before"), T.paragraph_count(T.clean_long_text(text)).alias("after"))
+
+
+@query
+def doc_page_chunks(spark, sf_dir):
+    """Lines stand for pages."""
+    pages = frames.files(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
+    return pages.select("doc_id", F.posexplode(chunking.pieces(F.col("text"), ChunkConfig("page", 3, 1))).alias("chunk_order", "chunk_text"))
+
+
+@query
+def doc_token_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir, preset("token_based"), F.length).drop("lang")
+
+
+def _file_chunks(spark, sf_dir) -> DataFrame:
+    return chunking.chunk_files(frames.files(spark, sf_dir).select("path", "size", "text"), preset("code_project"))
+
+
+@query
+def chunk_files(spark, sf_dir):
+    return _file_chunks(spark, sf_dir).select("chunk_id", "original_file", "chunk_text", "parent_doc_id", "chunk_order", "chunk_size", "metadata.file_name", "metadata.file_size", "metadata.file_extension")
+
+
+@query
+def chunks_of_file(spark, sf_dir):
+    """The chunks of document 3's file."""
+    path = frames.files(spark, sf_dir).where("doc_id = 3").first()["path"]
+    return chunking.of_file(_file_chunks(spark, sf_dir), path).select("chunk_id", "chunk_order", "chunk_text")
+
+
+@query
+def chunk_samples(spark, sf_dir):
+    return chunking.samples(_file_chunks(spark, sf_dir), 3, 200)
+
+
+@query
+def presets(spark, sf_dir):
+    rows = [(n, c.split_by, c.chunk_size, c.chunk_overlap, c.batch_size, float(c.max_file_size_mb), len(c.include_extensions or ()), len(c.exclude_patterns or ()), c.long_text_mode) for n, c in list_presets()]
+    return spark.createDataFrame(rows, "name string, split_by string, chunk_size int, chunk_overlap int, batch_size int, max_mb double, n_included int, n_excluded int, long_text boolean")
+
+
+@query
+def path_columns(spark, sf_dir):
+    """Parts of the pages' urls as paths; of even pages with backslashes."""
+    url, even = F.col("url"), F.col("page_id") % 2 == 0
+    path = F.when(even, F.replace(url, F.lit("/"), F.lit("\\"))).otherwise(url)
+    empty = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(url)
+    return frames.table(spark, sf_dir, "pages").select(
+        "page_id", T.unix_path(path).alias("unix"), T.base_name(path).alias("base"), T.stem(path).alias("stem"), T.extension(path).alias("ext"), T.path_suffix(path).alias("suffix"),
+        T.sanitized(url).alias("sanitized"), T.or_else(empty, F.lit("none")).alias("given"), T.short_name(url).alias("short"), T.prefix(url).alias("prefix"),
+    )
+
+
 def _as_chunks(spark, sf_dir) -> DataFrame:
     c = _word_chunks(spark, sf_dir)
     return c.select(F.col("doc_id").alias("original_file"), "chunk_size", F.struct(F.col("lang").alias("file_extension")).alias("metadata"))
@@ -116,36 +174,33 @@ def get_by_id(spark, sf_dir):
 # ------------------------------------------------------------------ the graph
 
 
-def _hierarchy(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Regions as files, nations as classes, customers and suppliers as functions."""
-    r, n, c, s = (frames.table(spark, sf_dir, x) for x in ("region", "nation", "customer", "supplier"))
-    named = n.join(r, n.n_regionkey == r.r_regionkey)
-    node = lambda df, kind, name, id: df.select(id.alias("node_id"), F.lit(kind).alias("type"), F.col(name).alias("name"))
-    cls = graph.class_id(F.col("r_name"), F.col("n_name"))
-    cust, supp = named.join(c, c.c_nationkey == n.n_nationkey), named.join(s, s.s_nationkey == n.n_nationkey)
-    fc, fs = graph.function_id(F.col("r_name"), F.col("c_name"), F.col("c_custkey")), graph.function_id(F.col("r_name"), F.col("s_name"), F.col("s_suppkey"))
-    nodes = node(r, "File", "r_name", graph.file_id(F.col("r_name"))).unionByName(node(named, "Class/Contract", "n_name", cls)).unionByName(node(cust, "Function", "c_name", fc)).unionByName(node(supp, "Function", "s_name", fs))
-    edges = named.select(graph.file_id(F.col("r_name")).alias("src"), cls.alias("dst")).unionByName(cust.select(cls.alias("src"), fc.alias("dst"))).unionByName(supp.select(cls.alias("src"), fs.alias("dst")))
-    return nodes, edges.withColumn("relation", F.lit("DEFINES"))
-
-
-def _all_edges(spark, sf_dir) -> DataFrame:
-    return _hierarchy(spark, sf_dir)[1].unionByName(frames.part_calls(spark, sf_dir).drop("seq"))
+def _graph_of_functions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    functions = frames.functions_with_calls(spark, sf_dir)
+    return functions, *graph.build(functions)
 
 
 @query
 def graph_nodes(spark, sf_dir):
-    return _hierarchy(spark, sf_dir)[0]
+    """The graph that is built from suppliers as functions with their calls."""
+    return _graph_of_functions(spark, sf_dir)[1].select("node_id", "type", "name", "path", "file_path", "line_number", "content")
 
 
 @query
 def graph_edges(spark, sf_dir):
-    return _all_edges(spark, sf_dir)
+    return _graph_of_functions(spark, sf_dir)[2].select("src", "dst", "relation")
 
 
 @query
 def graph_counts(spark, sf_dir):
-    return graph.counts(_hierarchy(spark, sf_dir)[0], _all_edges(spark, sf_dir))
+    _, nodes, edges = _graph_of_functions(spark, sf_dir)
+    return graph.counts(nodes, edges)
+
+
+@query
+def call_graph_edges(spark, sf_dir):
+    """The calls by caller's language; a region's files get the suffix of a language."""
+    suffix = F.when(F.startswith("file_path", F.lit("A")), ".rs").when(F.startswith("file_path", F.lit("E")), ".sol").otherwise(".py")
+    return graph.call_graph(frames.functions_with_calls(spark, sf_dir).withColumn("file_path", F.concat("file_path", suffix)))
 
 
 def _known(spark, sf_dir) -> DataFrame:
@@ -170,11 +225,6 @@ def node_match(spark, sf_dir):
     return graph.match_nodes(records, nodes)
 
 
-def _graph_of_functions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    functions = frames.functions_with_calls(spark, sf_dir)
-    return functions, *graph.build(functions)
-
-
 @query
 def parent_scope(spark, sf_dir):
     _, nodes, edges = _graph_of_functions(spark, sf_dir)
@@ -218,13 +268,17 @@ def neighbors_1hop(spark, sf_dir):
     return graph.expand(frames.part_calls(spark, sf_dir), _seeds(spark)).select("node_id", "relationship")
 
 
-def _part_content(spark, sf_dir, found: DataFrame) -> DataFrame:
-    """Content of parts: a chunk for keys of 0 mod 3, a function for 1, the node's own for 2 unless the key is 2 mod 9."""
+def _part_contents(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contents of parts: a chunk for keys of 0 mod 3, a function for 1, the node's own for 2 unless the key is 2 mod 9."""
     p = frames.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("name"))
     chunks = p.where("k % 3 = 0").select("node_id", F.lit(0).alias("chunk_order"), F.concat(F.lit("chunk "), "name").alias("text"))
     functions = p.where("k % 3 = 1").select("node_id", F.concat(F.lit("function "), "name").alias("content"), F.col("k").alias("seq"))
     nodes = p.select("node_id", F.when(F.col("k") % 9 == 2, "").otherwise(F.concat(F.lit("node "), "name")).alias("content"))
-    return graph.with_content(found, chunks, functions, nodes)
+    return chunks, functions, nodes
+
+
+def _part_content(spark, sf_dir, found: DataFrame) -> DataFrame:
+    return graph.with_content(found, *_part_contents(spark, sf_dir))
 
 
 @query
@@ -233,6 +287,21 @@ def expand_content(spark, sf_dir):
     return _part_content(spark, sf_dir, found).select("node_id", "relationship", "content")
 
 
+@query
+def expand_external(spark, sf_dir):
+    """One step from the first 20 suppliers as functions; what they call outside of the graph stays out."""
+    functions, _, edges = _graph_of_functions(spark, sf_dir)
+    seeds = graph.with_ids(functions).where("seq < 20").select("node_id", F.col("seq").alias("seed_seq"))
+    return graph.expand(edges, seeds).select("node_id", "relationship")
+
+
+@query
+def expand_levels(spark, sf_dir):
+    """Two levels with content; parts without content are neither returned nor passed through."""
+    found = graph.expand_levels(frames.part_calls(spark, sf_dir), _seeds(spark).where("seed_seq = 1"), 2, *_part_contents(spark, sf_dir))
+    return found.select("node_id", "relationship", "content", "depth")
+
+
 @query
 def bfs_depth_2(spark, sf_dir):
     return graph.expand_to_depth(frames.part_calls(spark, sf_dir), _seeds(spark), 2)
@@ -240,7 +309,7 @@ def bfs_depth_2(spark, sf_dir):
 
 @query
 def bfs_depth_3(spark, sf_dir):
-    return graph.expand_to_depth(frames.part_calls(spark, sf_dir), _seeds(spark).limit(1), 3)
+    return graph.expand_to_depth(frames.part_calls(spark, sf_dir), _seeds(spark), 3)
 
 
 @query
@@ -259,36 +328,29 @@ def _parts(spark, sf_dir) -> DataFrame:
     return frames.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_type")
 
 
-def _late_pairs(spark, sf_dir) -> DataFrame:
-    """Edges from smaller to larger parts, so that some have no caller and some no callee."""
-    return frames.part_edges(spark, sf_dir).where("src < dst").select(F.col("src").cast("string").alias("caller"), F.col("dst").cast("string").alias("callee"))
+@query
+def call_tree_stats(spark, sf_dir):
+    """Customers, parts and suppliers as functions: a customer calls the parts of its orders, a part its suppliers."""
+    return calltree.statistics(calltree.counts(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir)))
 
 
 @query
-def call_tree_stats(spark, sf_dir):
-    return calltree.statistics(calltree.counts(_parts(spark, sf_dir), _late_pairs(spark, sf_dir)))
+def call_tree_counts(spark, sf_dir):
+    return calltree.counts(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir))
 
 
 @query
 def entry_points(spark, sf_dir):
-    return calltree.entry_points(_parts(spark, sf_dir), _late_pairs(spark, sf_dir)).select("name")
+    return calltree.entry_points(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir)).select("name")
 
 
 @query
 def leaf_functions(spark, sf_dir):
-    return calltree.leaves(_parts(spark, sf_dir), _late_pairs(spark, sf_dir)).select("name")
+    return calltree.leaves(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir)).select("name")
 
 
 @query
 def call_text_search(spark, sf_dir):
-    """Documents as functions: each word before a space gets a parenthesis, and each name is a document's first word."""
-    d = frames.table(spark, sf_dir, "documents")
-    f = d.select(F.concat(F.element_at(F.split(T.strip(F.col("text")), r"\s+"), 1)).alias("name"), F.replace(F.col("text"), F.lit(". "), F.lit("(. ")).alias("content"), "doc_id").where("length(name) > 3")
-    return calltree.called_by_text(f.groupBy("name").agg(F.min_by("content", "doc_id").alias("content")))
-
-
-@query
-def call_text_search_all(spark, sf_dir):
     """Each document is a function of its own, known by its doc_id and named by its first word, however short."""
     d = frames.table(spark, sf_dir, "documents")
     f = d.select("doc_id", F.regexp_extract("text", r"\S+", 0).alias("name"), F.replace(F.col("text"), F.lit(". "), F.lit("(. ")).alias("content"))
@@ -302,24 +364,49 @@ def call_list_lookup(spark, sf_dir):
     return calltree.called_by_list(f.select(T.short_name(F.col("name")).alias("name"), "calls"))
 
 
+@query
+def call_relationships(spark, sf_dir):
+    """Suppliers under their short names, whose contents hold their calls: pairs by list and by text."""
+    f = frames.functions_with_calls(spark, sf_dir)
+    spelled = F.array_join(F.transform("calls", lambda c: F.concat(c, F.lit(" (x)"))), "; ")
+    return calltree.relationships(f.select(T.short_name(F.col("name")).alias("name"), "calls", spelled.alias("content")))
+
+
 @query
 def call_tree_paths(spark, sf_dir):
-    """Simple paths of up to three calls from every part whose key 500 divides."""
-    roots = _parts(spark, sf_dir).where("cast(name AS bigint) % 500 = 0")
-    paths = calltree.call_trees(roots, _late_pairs(spark, sf_dir), 3)
+    """All simple paths from every customer, part and supplier, however long."""
+    paths = calltree.call_trees(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir))
     return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query
-def call_tree_paths_all(spark, sf_dir):
-    """Simple paths of up to three calls from every part."""
-    paths = calltree.call_trees(_parts(spark, sf_dir), _late_pairs(spark, sf_dir), 3)
+def call_tree_paths_up(spark, sf_dir):
+    """The same against the calls, for the suppliers."""
+    roots = frames.traders(spark, sf_dir).where("startswith(name, 's')")
+    paths = calltree.call_trees(roots, frames.trades(spark, sf_dir), max_depth=1, direction="upstream")
     return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query
 def dependency_graph(spark, sf_dir):
-    return calltree.dependency_graph("0", _parts(spark, sf_dir), _late_pairs(spark, sf_dir), 2)
+    return calltree.dependency_graph("p0", frames.traders(spark, sf_dir), frames.trades(spark, sf_dir), 2)
+
+
+@query
+def function_names(spark, sf_dir):
+    return calltree.names(frames.functions(spark, sf_dir))
+
+
+@query
+def functions_of_contract(spark, sf_dir):
+    return calltree.of_contract(frames.functions(spark, sf_dir), "FRANCE").select("seq", "name")
+
+
+@query
+def function_by_name(spark, sf_dir):
+    """The first of the functions with the name that supplier 2 has."""
+    f = frames.functions(spark, sf_dir)
+    return calltree.by_name(f, f.where("seq = 2").first()["name"]).select("seq", "name")
 
 
 @query
@@ -391,20 +478,22 @@ def _by(*columns):
     return Window.orderBy(*columns)
 
 
-# ------------------------------------------------------------------ services (rows only)
+# ------------------------------------------------------------------ services
 
 
 @query
 def parse_functions(spark, sf_dir):
-    """Documents as the docstrings of Python files."""
+    """Documents, whole, as strings in Python files."""
     d = frames.files(spark, sf_dir).select(F.concat("path", F.lit(".py")).alias("path"), F.concat(F.lit("class K:\n    def f(self, x):\n        return self.g(len("), F.to_json(F.array("text")), F.lit("))\n\n    def g(self, n):\n        return n\n")).alias("text"))
     return d.mapInPandas(parse_batches, RECORDS).select("file_path", "name", "start_line", "end_line", "contract_name", "visibility", F.array_join("calls", "|").alias("calls"))
 
 
 @query
 def embed_udf(spark, sf_dir):
-    embedded = embed_column(frames.table(spark, sf_dir, "benchmark"), HashEmbedder(64))
-    return embedded.select("item_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
+    """Of every document's vector the places that aren't zero and the sum of its squares."""
+    embedded = embed_column(frames.table(spark, sf_dir, "documents").select("doc_id", "text"), HashEmbedder(64))
+    held = F.filter("vector", lambda x: x != 0)
+    return embedded.select("doc_id", F.size("vector").alias("dimension"), F.size(held).alias("n_held"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 
 @query

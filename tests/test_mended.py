@@ -1,0 +1,213 @@
+"""Faults that were found and mended, each with a case that showed it."""
+
+import http.server
+import json
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from codexmill import cli, config, errors, schema, services
+from codexmill.functions import text as T
+from codexmill.operators import calltree, chunking, graph
+from codexmill.plans.index import Engine
+from codexmill.plans.storage_queries import SOURCES
+from codexmill.sources import project, scratch, store
+from codexmill.sources.parser import parse
+
+
+def test_time_grows_with_the_length_of_a_text(spark):
+    """Cutting and cleaning four times the text takes nothing like sixteen times as long."""
+    ways = {
+        "words": lambda t: F.size(chunking.pieces(t, config.ChunkConfig("word", 100, 25))),
+        "sentences": lambda t: F.size(chunking.pieces(t, config.ChunkConfig("sentence", 3, 1))),
+        "characters": lambda t: F.size(chunking.pieces(t, config.ChunkConfig("char", 80, 20))),
+        "code": lambda t: F.size(chunking.split_code(t, 100, 10)),
+        "clean": lambda t: F.length(T.clean_long_text(F.replace(t, F.lit(". "), F.lit(".\n\n\n# ")))),
+    }
+
+    def seconds(way, n):
+        text = spark.range(1).select(F.repeat(F.lit("wörd and words. "), n).alias("t"))
+        took = []
+        for _ in range(3):
+            began = time.time()
+            text.select(way(F.col("t")).alias("n")).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    for name, way in ways.items():
+        seconds(way, 100)
+        short, long = seconds(way, 5_000), seconds(way, 40_000)
+        assert long < 16 * short + 1.0, (name, short, long)
+
+
+def test_windows_keep_their_rules(spark):
+    t = spark.createDataFrame([("abcdefghij",), ("",), (None,), ("   ",)], "t string")
+    assert [r.c for r in t.select(chunking.char_windows(F.col("t"), 4, 1).alias("c")).collect()] == [["abcd", "defg", "ghij", "j"], [], [], []]
+    assert [r.c for r in t.select(chunking.windows(F.split("t", ""), 4, 2, "").alias("c")).collect()][0] == ["abcd", "cdef", "efgh", "ghij", "ij"]
+
+
+def test_ids_of_functions_that_look_like_chunks(spark, tmp_path):
+    """An id is cut where a split chunk's id begins, not at the letters _chunk_."""
+    engine = Engine(spark, str(tmp_path / "index"), embedder=services.HashEmbedder(8))
+    record = lambda seq, name, calls: (seq, name, "body of " + name, "/p/split.py", None, None, seq, seq, seq, calls, "split", "public", [], [], "", "FunctionDefinition", "", None)
+    rows = [record(1, "split.make_chunk_list", ["split.far"]), record(2, "split.far", ["split.farther"]), record(3, "split.farther", []), record(4, "split.near", ["split.make_chunk_list"])]
+    engine.index_functions(spark.createDataFrame(rows, schema.FUNCTIONS))
+    start = "Function:/p/split.py:split.make_chunk_list:1"
+    for given in (start, start + ":0a1b2c3d_chunk_12"):
+        found = [(r.node_id.split(":")[2], r.relationship) for r in engine.expand([given], 2).collect()]
+        assert found == [("split.far", "CALLS"), ("split.near", "CALLED_BY"), ("split.farther", "CALLS")]
+    assert engine.expand([start], 0).count() == 0
+
+
+def test_levels_do_not_pass_through_nodes_without_content(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS", 1, 0), ("b", "c", "CALLS", 1, 0), ("a", "d", "CALLS", 2, 0), ("d", "e", "CALLS", 1, 0), ("e", "a", "CALLS", 1, 0)], schema.EDGES)
+    nodes = spark.createDataFrame([(x, "" if x == "b" else "node " + x) for x in "abcde"], "node_id string, content string")
+    chunks = spark.createDataFrame([("d", 1, "second"), ("d", 0, "first")], "node_id string, chunk_order int, text string")
+    functions = spark.createDataFrame([("e", 1, "old"), ("e", 2, "new"), ("d", 1, "unused")], "node_id string, seq long, content string")
+    seeds = spark.createDataFrame([("a", 0)], "node_id string, seed_seq int")
+    found = graph.expand_levels(edges, seeds, 5, chunks, functions, nodes).orderBy("depth", "place").collect()
+    assert [(r.node_id, r.relationship, r.content, r.depth) for r in found] == [("d", "CALLS", "first\nsecond", 1), ("e", "CALLED_BY", "new", 1)]
+
+
+def test_order_of_calls_does_not_overflow(spark):
+    seq = 700_000 << 24
+    rows = [(seq, "f", "/a.py", 1, ["g", "h", "g"]), (seq + 1, "g", "/a.py", 2, []), (seq + 2, "h", "/a.py", 3, [])]
+    functions = spark.createDataFrame([(s, n, p, line, line, None, "", c) for s, n, p, line, c in rows], "seq long, name string, file_path string, line_number int, start_line int, contract_name string, content string, calls array<string>")
+    nodes, edges = graph.build(functions)
+    assert [r.names for r in graph.callees(nodes, edges).collect()] == [["g", "h"]]
+
+
+def test_alternate_keys(spark):
+    f = spark.createDataFrame([("f", "", "c:\\x\\a.py", 0, 7, ""), ("g", "b.py", "y/b.py", 3, 9, "K")], "name string, file_path string, absolute_file_path string, line_number int, start_line int, contract_name string")
+    assert sorted(r.node_id for r in graph.with_ids(f).collect()) == ["Function:b.py:g:3", "Function:c:/x/a.py:f:7"]
+
+
+def test_vectors_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(services.HashEmbedder):
+        def embed(self, texts, kind="document"):
+            seen.add(len(texts))
+            return super().embed(texts, kind)
+
+    rows = services.embed_column(spark.range(7).select(F.col("id").cast("string").alias("node_id"), F.lit("t").alias("text"), F.lit("f").alias("filename")), Counting(4))
+    kept = store.IndexStore(spark, str(tmp_path))
+    kept.save_vectors(rows)
+    assert kept.load("vectors").count() == 7 and seen.value == 7
+    with pytest.raises(errors.StorageError):
+        kept.save_vectors(rows.withColumn("node_id", F.lit("")))
+    assert kept.load("vectors").count() == 7 and [x.name for x in tmp_path.iterdir()] == ["vectors.parquet"]
+
+
+def test_json_of_chunks_with_defaults(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps([{"node_id": "a", "calls": ["x"]}, {"code": "y"}], indent=2))
+    found = store.read_json(spark, str(tmp_path / "c.json"), "chunks").orderBy("node_id").collect()
+    assert [(r.node_id, r.calls, r.called_by, r.code, r.chunk_order) for r in found] == [("", [], [], "y", 0), ("a", ["x"], [], "", 0)]
+    store.write_json(spark.createDataFrame([(1, "f")], "seq long, name string"), str(tmp_path / "f"))
+    assert [(r.seq, r.name, r.content) for r in store.read_json(spark, str(tmp_path / "f"), "functions").collect()] == [(1, "f", None)]
+
+
+def test_node_link_document_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "File", "a", "a", None, None, None, None, 1)], schema.NODES)
+    edges = spark.createDataFrame([("a", "b", "DEFINES", 1, 0)], schema.EDGES)
+    (tmp_path / "g.json").write_text(json.dumps(json.loads(store.node_link_document(nodes, edges)), indent=2))
+    for back, want in zip(store.read_node_link(spark, str(tmp_path / "g.json")), (nodes, edges), strict=True):
+        assert back.select(want.columns).collect() == want.collect()
+
+
+def test_c_headers_take_linear_time():
+    began = time.time()
+    assert [r["name"] for r in parse("a.c", "int " + "*" * 20_000 + "x" + " *" * 20_000 + " y(int a) { return f(a); }")] == ["_cpp.y"]
+    assert time.time() - began < 2
+
+
+def test_encodings(spark):
+    b = spark.createDataFrame([(bytearray("é!".encode("utf-16-le") + b"x"), bytearray("é!".encode("latin-1")), bytearray(b"a\xffb"))], "u binary, l binary, a binary")
+    row = b.select(T.decode_lenient(F.col("u"), "utf-16le"), T.decode_lenient(F.col("l"), "latin1"), T.decode_lenient(F.col("l")), T.decode_lenient(F.col("a"), "ascii")).first()
+    assert tuple(row) == ("é!", "é!", "!", "ab")
+
+
+def test_scratch_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+
+
+def test_names_of_functions(spark):
+    f = spark.createDataFrame([(2, "a", "K"), (1, "a", "L"), (3, "b", "K")], "seq long, name string, contract_name string")
+    assert calltree.by_name(f, "a").first().seq == 1 and calltree.by_name(f, "z").count() == 0
+    assert calltree.of_contract(f, "K").count() == 2 and calltree.names(f).count() == 2
+    assert calltree.builder_info()["features"]["basic_call_trees"] and [n for n, _ in config.list_presets()][0] == "default"
+
+
+def test_call_graph_and_its_overview(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    g(1)\n    print(2)\n\ndef g(x):\n    return x\n")
+    calls = graph.call_graph(project.extract(spark, str(tmp_path)))
+    assert sorted(map(tuple, calls.collect())) == [("a.f", "a.g", "internal", "python"), ("a.f", "print", "external", "python")]
+    assert calltree.print_call_graph(calls, 1).split("\n") == ["Call graph (2 calls)", "f -> g [internal] (python)", "... and 1 more"]
+    assert calltree.print_call_graph(calls.where("false")) == "No call graph data"
+
+
+def test_filters_of_records(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f(): pass\ndef g(): pass\n")
+    (tmp_path / "b.sol").write_text("contract C { function f() public {} }")
+    assert [r.name for r in project.extract(spark, str(tmp_path), lambda f: f.where("name LIKE '%g'")).collect()] == ["a.g"]
+    assert [r.name for r in project.extract(spark, str(tmp_path), F.col("name") == "C.f").collect()] == ["C.f"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root = tmp_path / "project"
+    for name, text in SOURCES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    index = str(tmp_path / "index")
+    assert cli.main(["index", str(root), "--index", index]) == 0 and "functions=19" in capsys.readouterr().out
+    assert cli.main(["query", "where is mint?", "--index", index, "--report", str(tmp_path / "r.md")]) == 0 and "## Matches" in (tmp_path / "r.md").read_text()
+    assert cli.main(["graph", str(root), "--json", str(tmp_path / "g" / "g.json")]) == 0
+    assert json.loads((tmp_path / "g" / "g.json").read_text())["directed"]
+    capsys.readouterr()
+    assert cli.main(["audit", str(root), "--csv", str(tmp_path / "csv")]) == 0 and "Call graph (" in capsys.readouterr().out
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 19
+
+
+def test_services_over_http():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        busy = [True]
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.busy.pop() if self.busy else False:
+                self.send_error(503)
+                return
+            answer = {"data": [{"index": i, "embedding": [float(len(x)), 1.0]} for i, x in reversed(list(enumerate(body["input"])))]} if "input" in body else {"text": f"{body['model']}: {body['prompt']} {self.headers['Authorization']}"}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, slept = f"http://127.0.0.1:{server.server_port}/", []
+    embed = services.retrying(services.HttpEmbedder(url, "m", 2).embed, slept.append)
+    assert embed(["a", "bcd"], "query") == [[1.0, 1.0], [3.0, 1.0]] and slept == [2]
+    with pytest.raises(ValueError):
+        services.HttpEmbedder(url, "m", 3).embed(["a"])
+    assert "".join(services.HttpGenerator(url, "m", key="k").stream("hello")) == "m: hello Bearer k"
+    server.shutdown()
