@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with one of them, the host's reference, by simple tree matching. A
-reference node that most other pages have with the same text is template; a node whose text varies is
-a slot for content. What the reference lacks is counted too: the wrapper grows by each text that most pages
-of the host with an element of that path (names and classes from the root) have in it. A page's text is that of its article (or main part, or body) without the elements
-that HTML or their class names as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments, and without the nodes that align with template.
+A page's tree is made of slots: an element, or a run of siblings of one label that stand for a list (paragraphs,
+items, inline marks, elements of equal shape), so that lists of different lengths align. Pages of one host are
+aligned with one of them, the host's reference, by simple tree matching; what it lacks is a slot by its path.
+Over all pages of the host a slot is template if most of its text recurs on pages that differ otherwise (menus,
+footers, adverts that rotate), and so is a text that stands in a slot on most pages that have it (notices, lines
+to share). Slots whose texts vary are content. A page's text is that of its article, or main part, or body,
+without template, and without the elements that HTML itself defines as no content.
 """
 
 from __future__ import annotations
@@ -16,23 +17,23 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A node is template if at least so many other pages hold it, and it has the same text in this share of them.
-LEAST_PAGES, SAME_SHARE = 4, 0.8
-#: Elements nested deeper give what they hold to the ancestor at this depth, or to the outermost dropped one,
-#: article or main part among them, so that hostile pages can't exhaust the stack.
-MAX_DEPTH = 150
-#: Child lists whose product of lengths exceeds this are aligned greedily in order.
-MATCH_CELLS = 250_000
+#: A text recurs if at least so many pages have it in a slot, and among them so many, as a share, differ in their longest other text.
+LEAST_PAGES, DIFFERING = 4, 0.6
+#: A slot is template if this share of its characters recurs; a recurring text if this share of the slot's pages has it.
+RECURRING, SAME_SHARE = 0.5, 0.8
 #: References are broadcast up to this size, and joined by host beyond it.
 BROADCAST_BYTES = 32 << 20
 
-# HTML's element names by their role.
+# HTML's element names by their role, ARIA's roles, and the names that mark readers' comments, which
+# vary from page to page as an article does, so that no count tells them apart.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
 DROPPED = frozenset("script style noscript template textarea title svg iframe head nav footer aside form button select dialog menu object canvas audio video".split())
@@ -42,10 +43,9 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("tbody tfoot thead tr li dd dt caption body html summary".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("ul ol dl table body html div section article main nav footer aside header form blockquote select".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead comments comment disqus replies reply share sharing social newsletter subscribe signup login related recommended popup modal overlay toolbar pagination pager".split()
-)
+LISTED = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 blockquote pre figure hr br wbr a b i u s q em strong small span sub sup code abbr cite time mark img input label font".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar comment".split())
+COMMENT_NAMES = frozenset("comment comments commentlist comment-list disqus_thread".split())
 
 _TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?")
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
@@ -55,16 +55,17 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element: kids are elements and strings in page order; dropped if it and all below is boilerplate."""
+    """An element: kids are elements and strings in page order; dropped if it and all below is boilerplate by its name."""
 
-    __slots__ = ("tag", "kids", "dropped", "kind", "elements", "shape", "size", "words")
+    __slots__ = ("tag", "kids", "dropped", "label", "elements", "words")
 
-    def __init__(self, tag: str, dropped: bool, kind: str = ""):
-        self.tag, self.dropped, self.kind = tag, dropped, kind or tag
+    def __init__(self, tag: str, dropped: bool, label: str = ""):
+        self.tag, self.dropped, self.label = tag, dropped, label or tag
         self.kids: list = []
+        self.words = None
 
 
-def _kind(tag: str, attributes: str) -> str:
+def _label(tag: str, attributes: str) -> str:
     """An element's name and classes without numbers, by which pages of one layout agree."""
     m = _CLASS.search(attributes) if attributes else None
     return f"{tag}.{_DIGITS.sub('', m[1] or m[2] or m[3] or '')}" if m else tag
@@ -81,7 +82,7 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in BOILERPLATE_ROLES:
             return True
-        if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(_PART.split(value)):
+        if name in ("class", "id") and not COMMENT_NAMES.isdisjoint(value.split()):
             return True
     return False
 
@@ -95,8 +96,6 @@ def parse(html: str) -> Node:
     def leave(k: int) -> None:
         for x in stack[k:]:
             opened[x.tag] -= 1
-        if len(stack) > MAX_DEPTH:
-            stack[-1].kids.append(" ")
         del stack[k:]
 
     while at < n:
@@ -140,7 +139,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(" ")
             continue
-        node = Node(tag, _is_boilerplate(tag, m[3], articles > 0), _kind(tag, m[3]))
+        node = Node(tag, _is_boilerplate(tag, m[3], articles > 0), _label(tag, m[3]))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             stack[-1].kids.append(node)
         elif tag in RAW:
@@ -149,27 +148,23 @@ def parse(html: str) -> Node:
             at = n if end is None or close < 0 else close + 1
             stack[-1].kids.append(node)
         else:
-            above = stack[-1]
-            role = node.dropped and not above.dropped or tag in ("article", "main") and not opened[tag]
-            if len(stack) < MAX_DEPTH or role:
-                above.kids.append(node)
-            else:  # its end tag closes itself, its kids are the ancestor's
-                above.kids.append(" ")
-                node.kids, node.dropped = above.kids, above.dropped
+            stack[-1].kids.append(node)
             stack.append(node)
             opened[tag] += 1
             articles += tag == "article"
-    _measure(root, {})
+    for _ in walk(root):  # lists each element's elements
+        pass
     return root
 
 
-def _measure(node: Node, shapes: dict) -> None:
-    node.elements = [x for x in node.kids if type(x) is Node]
-    for x in node.elements:
-        _measure(x, shapes)
-    node.shape = hash((node.tag, tuple(x.shape for x in node.elements)))
-    node.size = 1 + sum(x.size for x in node.elements)
-    node.words = None
+def walk(node: Node) -> Iterator[Node]:
+    """All elements in page order."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        x.elements = [k for k in x.kids if type(k) is Node]
+        yield x
+        stack += reversed(x.elements)
 
 
 def own_text(node: Node) -> str:
@@ -179,7 +174,67 @@ def own_text(node: Node) -> str:
     return node.words
 
 
-def _trim(a: list[Node], b: list[Node]) -> tuple[int, int]:
+class Slot:
+    """What stands for an element, or a run of them: its label, the elements, the slots below, and their measure."""
+
+    __slots__ = ("label", "nodes", "kids", "shape", "size")
+
+    def __init__(self, label: str, nodes: list[Node]):
+        self.label, self.nodes, self.kids = label, nodes, []
+
+
+def _runs(slots: list[Slot]) -> list[Slot]:
+    """Neighbours of one label and shape become one slot."""
+    out: list[Slot] = []
+    for x in slots:
+        if out and out[-1].label == x.label and out[-1].shape == x.shape:
+            pairs = [(out[-1], x)]
+            while pairs:  # equal shapes have the same slots all the way down
+                a, b = pairs.pop()
+                a.nodes += b.nodes
+                pairs += zip(a.kids, b.kids, strict=True)
+        else:
+            out.append(x)
+    return out
+
+
+def slots_of(root: Node) -> Slot:
+    """The slots of a tree, from the leaves up: list elements by their label, other ones where label and shape are equal."""
+    top = Slot(root.label, [root])
+    order, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        listed: dict[str, Slot] = {}
+        loose = x.nodes[0].tag in LISTED  # inside of list elements the number and order of marks say nothing
+        for node in x.nodes:
+            for y in node.elements:
+                if y.tag not in LISTED:
+                    if not loose:
+                        listed.clear()
+                    x.kids.append(Slot(y.label, [y]))
+                elif y.label in listed:
+                    listed[y.label].nodes.append(y)
+                else:
+                    listed[y.label] = Slot(y.label, [y])
+                    x.kids.append(listed[y.label])
+        stack += x.kids
+    for x in reversed(order):
+        x.kids = _runs(x.kids)
+        x.shape = hash((x.label, tuple(k.shape for k in x.kids)))
+        x.size = 1 + sum(k.size for k in x.kids)
+    return top
+
+
+def walk_slots(top: Slot) -> Iterator[Slot]:
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += reversed(x.kids)
+
+
+def _trim(a: list[Slot], b: list[Slot]) -> tuple[int, int]:
     """How many children at the start, and then at the end, have equal shapes; matching those is optimal."""
     most, head = min(len(a), len(b)), 0
     while head < most and a[head].shape == b[head].shape:
@@ -190,79 +245,100 @@ def _trim(a: list[Node], b: list[Node]) -> tuple[int, int]:
     return head, tail
 
 
-def similarity(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: the nodes of the largest order-preserving, level-by-level common tree."""
-    if a.tag != b.tag:
-        return 0
-    if a.shape == b.shape:
-        return a.size
-    key = (a.shape, b.shape)
-    if key not in memo:
-        head, tail = _trim(a.elements, b.elements)
-        fixed = sum(x.size for x in a.elements[:head]) + sum(x.size for x in a.elements[len(a.elements) - tail :])
-        memo[key] = 1 + fixed + _table(a.elements[head : len(a.elements) - tail], b.elements[head : len(b.elements) - tail], memo)[-1][-1]
-    return memo[key]
-
-
-def _table(a: list[Node], b: list[Node], memo: dict) -> list[list[int]]:
-    rows = [[0] * (len(b) + 1)]
-    if len(a) * len(b) > MATCH_CELLS:
-        return [[0]]
-    for x in a:
-        above, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x.tag == y.tag:
-                both = above[j] + similarity(x, y, memo)
-                best = both if both > best else best
-            row.append(best)
-        rows.append(row)
-    return rows
-
-
-def align(a: Node, b: Node, memo: dict | None = None) -> list[tuple[Node, Node]]:
-    """Pairs of matched elements of two trees, in page order, the roots first."""
+def _middle(x: Slot, y: Slot) -> tuple[list[Slot], list[Slot], int]:
+    head, tail = _trim(x.kids, y.kids)
+    p, q = x.kids[head : len(x.kids) - tail], y.kids[head : len(y.kids) - tail]
+    return p, q, 1 + sum(k.size for k in x.kids) - sum(k.size for k in p)
+
+
+def similarity(a: Slot, b: Slot, memo: dict) -> int:
+    """Simple tree matching: the slots of the largest order-preserving, level-by-level common tree.
+
+    Each pair of shapes is worked out once, children first, without recursion.
+    """
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        key = (x.shape, y.shape)
+        if x.label == y.label and x.shape != y.shape and key not in memo:
+            p, q, fixed = _middle(x, y)
+            below = {u.shape: u for u in p}.values(), {v.shape: v for v in q}.values()
+            missing = [(u, v) for u in below[0] for v in below[1] if u.label == v.label and u.shape != v.shape and (u.shape, v.shape) not in memo]
+            if missing:
+                stack += missing
+                continue
+            memo[key] = fixed + _best(p, q, memo)
+        stack.pop()
+    return _known(a, b, memo)
+
+
+def _known(a: Slot, b: Slot, memo: dict) -> int:
+    return 0 if a.label != b.label else a.size if a.shape == b.shape else memo[a.shape, b.shape]
+
+
+def _rows(p: list[Slot], q: list[Slot], memo: dict) -> Iterator[np.ndarray]:
+    """For each slot of p the best sums of matched sizes of the list so far with all beginnings of q."""
+    different = {v.shape: v for v in q}
+    place = {shape: i for i, shape in enumerate(different)}
+    at = np.array([place[v.shape] for v in q])
+    worth: dict[int, np.ndarray] = {}
+    row = np.zeros(len(q) + 1, np.int64)
+    yield row
+    for u in p:
+        if u.shape not in worth:
+            worth[u.shape] = np.array([_known(u, v, memo) for v in different.values()], np.int64)[at]
+        both = np.maximum(row[1:], row[:-1] + worth[u.shape])
+        row = np.concatenate([row[:1], np.maximum.accumulate(both)])
+        yield row
+
+
+def _best(p: list[Slot], q: list[Slot], memo: dict) -> int:
+    last = 0
+    if p and q:
+        for row in _rows(p, q, memo):
+            last = int(row[-1])
+    return last
+
+
+def _pairs(p: list[Slot], q: list[Slot], memo: dict) -> list[tuple[Slot, Slot]]:
+    """The matched slots of two lists, by dividing the first in halves, so that memory stays within the lists' lengths."""
+    out, parts = [], [(p, q)]
+    while parts:
+        u, v = parts.pop()
+        if not u or not v:
+            continue
+        if len(u) == 1:
+            worth = [_known(u[0], y, memo) for y in v]
+            if max(worth):
+                out.append((u[0], v[int(np.argmax(worth))]))
+            continue
+        half = len(u) // 2
+        for first in _rows(u[:half], v, memo):
+            pass
+        for last in _rows(u[half:][::-1], v[::-1], memo):
+            pass
+        cut = int(np.argmax(first + last[::-1]))
+        parts += [(u[half:], v[cut:]), (u[:half], v[:cut])]
+    return out
+
+
+def align(a: Slot, b: Slot, memo: dict | None = None) -> list[tuple[Slot, Slot]]:
+    """Pairs of matched slots of two trees, in page order, the roots first."""
     memo = {} if memo is None else memo
+    if a.label != b.label:
+        return []
+    similarity(a, b, memo)
     out, open_pairs = [], [(a, b)]
     while open_pairs:
         x, y = open_pairs.pop()
         out.append((x, y))
-        p, q = x.elements, y.elements
-        head, tail = _trim(p, q)
-        middle: list[tuple[Node, Node]] = []
-        u, v = p[head : len(p) - tail], q[head : len(q) - tail]
-        if len(u) * len(v) > MATCH_CELLS:
-            k = 0
-            for node in u:
-                j = next((j for j in range(k, min(k + 50, len(v))) if v[j].tag == node.tag), None)
-                if j is not None:
-                    middle.append((node, v[j]))
-                    k = j + 1
-        elif u and v:
-            rows, i, j = _table(u, v, memo), len(u), len(v)
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    middle.append((u[i], v[j]))
-            middle.reverse()
-        pairs = [*zip(p[:head], q[:head], strict=True), *middle, *zip(p[len(p) - tail :], q[len(q) - tail :], strict=True)]
+        head, tail = _trim(x.kids, y.kids)
+        p, q, _ = _middle(x, y)
+        pairs = [*zip(x.kids[:head], y.kids[:head], strict=True), *_pairs(p, q, memo), *zip(x.kids[len(x.kids) - tail :], y.kids[len(y.kids) - tail :], strict=True)]
         open_pairs += reversed(pairs)
     return out
 
 
-def walk(node: Node) -> Iterator[Node]:
-    """All elements in page order."""
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack += reversed(x.elements)
-
-
 def _regions(root: Node) -> list[Node]:
     """The outermost articles that aren't boilerplate, else main parts, else all."""
     for tag in ("article", "main"):
@@ -280,8 +356,12 @@ def _regions(root: Node) -> list[Node]:
     return [root]
 
 
-def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text: blocks in page order joined by a line feed. template: ids of elements whose own text is left out."""
+def text_of(root: Node, template: frozenset[int] | set[int] = frozenset(), by_name: bool = True) -> str:
+    """The main text: blocks in page order joined by a line feed.
+
+    template: ids of elements whose own text is left out. Without by_name only scripts, styles and their like are
+    left out besides, and the whole page counts.
+    """
     blocks: list[str] = []
     words: list[str] = []
 
@@ -291,71 +371,68 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
             blocks.append(line)
         words.clear()
 
-    def visit(node: Node) -> None:
-        if node.dropped:
-            return
-        is_block = node.tag in BLOCK
-        if is_block:
-            end_block()
-        elif node.tag in ("td", "th"):
-            words.append(" ")
-        muted = id(node) in template
-        for x in node.kids:
-            if type(x) is Node:
-                visit(x)
-            elif not muted:
+    for region in _regions(root) if by_name else [root]:
+        stack: list[tuple] = [(region, False)]
+        while stack:
+            x, ends = stack.pop()
+            if type(x) is str:
                 words.append(x)
-        if is_block:
-            end_block()
-
-    for region in _regions(root):
-        visit(region)
+                continue
+            if ends:
+                end_block()
+                continue
+            if x.dropped if by_name else x.tag in RAW:
+                if x.tag in BLOCK:  # what goes still parts what stands before it from what follows
+                    end_block()
+                continue
+            if x.tag in BLOCK:
+                end_block()
+                stack.append((x, True))
+            elif x.tag in ("td", "th"):
+                words.append(" ")
+            muted = id(x) in template
+            stack += [(k, False) for k in reversed(x.kids) if not (muted and type(k) is str)]
         end_block()
     return "\n".join(blocks)
 
 
-def _chosen(root: Node) -> set[int]:
-    return {id(x) for x, _ in _placed(root)}
-
-
 def _key(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _placed(root: Node) -> Iterator[tuple[Node, str]]:
-    """The elements of the main text, each with its path."""
-    regions = {id(x) for x in _regions(root)}
-    stack = [(root, "", False)]
-    while stack:
-        x, above, inside = stack.pop()
-        if x.dropped:
-            continue
-        path, inside = f"{above}/{x.kind}", inside or id(x) in regions
-        if inside:
-            yield x, path
-        stack += [(y, path, inside) for y in x.elements]
-
-
 class Reference:
-    """A host's reference page: its tree, its nodes in page order, which are template, and the texts that are template by path."""
-
-    def __init__(self, html: str, constant: list[int] | None = None, grown: list[dict] | None = None):
-        self.html, self.tree = html, parse(html)
-        self.nodes = list(walk(self.tree))
-        self.place = {id(x): i for i, x in enumerate(self.nodes)}
-        self.main = _chosen(self.tree)
-        self.constant = frozenset(constant or ())
-        self.grown = frozenset((x["path"], x["text"]) for x in grown or ())
-        self.paths = frozenset(p for p, _ in self.grown)
-
-    def extract(self, html: str | None) -> str:
+    """A host's reference page: its slots by number, and which slots and which texts in them are template."""
+
+    def __init__(self, html: str, slots: list[int] | None = None, texts: list[dict] | None = None):
+        self.html, self.top = html, slots_of(parse(html))
+        self.number = {id(x): i for i, x in enumerate(walk_slots(self.top))}
+        self.slots = frozenset(slots or ())
+        self.texts = frozenset((x["slot"], x["text"]) for x in texts or ())
+        self.mixed = frozenset(x for x, _ in self.texts)
+
+    def place(self, tree: Node) -> Iterator[tuple[Node, int]]:
+        """The elements of a page that hold text, each with its slot: the reference's by number, else one by path."""
+        top = slots_of(tree)
+        aligned = {id(y): self.number[id(x)] for x, y in align(self.top, top)}
+        stack = [(top, 0)]
+        while stack:
+            x, above = stack.pop()
+            if x.nodes[0].tag in RAW:
+                continue
+            path = xxhash.xxh3_64_intdigest(x.label, seed=above)
+            held = [n for n in x.nodes if own_text(n)]
+            if held:
+                slot = aligned[id(x)] if id(x) in aligned else path - (1 << 63)
+                for n in held:
+                    yield n, slot
+            stack += [(k, path) for k in x.kids]
+
+    def extract(self, html: str | None, by_name: bool = True) -> str:
         tree = parse(html or "")
-        same: set[int] = set()
-        if self.constant:
-            same = {id(y) for x, y in align(self.tree, tree) if self.place[id(x)] in self.constant and own_text(x) == own_text(y)}
-        if self.grown:
-            same |= {id(x) for x, path in _placed(tree) if own_text(x) and (p := _key(path)) in self.paths and (p, _key(own_text(x))) in self.grown}
-        return text_of(tree, same)
+        out: set[int] = set()
+        if self.slots or self.texts:
+            out = {id(n) for n, slot in self.place(tree) if slot in self.slots or slot in self.mixed and (slot, _key(own_text(n))) in self.texts}
+        return text_of(tree, out, by_name)
 
 
 class _References:
@@ -365,105 +442,93 @@ class _References:
         self.kept: dict = {}
         self.most = most
 
-    def get(self, host: str | None, html: str | None, constant: list[int] | None = None, grown: list[dict] | None = None) -> Reference:
+    def get(self, host: int, html: str | None, slots: list[int] | None = None, texts: list[dict] | None = None) -> Reference:
         if host not in self.kept:
             if len(self.kept) >= self.most:
                 self.kept.clear()
-            self.kept[host] = Reference(html or "", constant, grown)
+            self.kept[host] = Reference(html or "", slots, texts)
         return self.kept[host]
 
 
-_COUNTED = "host string, place int, path long, text long, held long, same long, chars long"
-
+_COUNTED = "host long, slot long, text long, other long, chars int, n long"
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by place in the reference (other pages than it), by path and text, by path, and of the host's main texts."""
-    references, counts = _References(), {}
-
-    def add(key: tuple, held: int, same: int, chars: int) -> None:
-        row = counts.setdefault(key, [0, 0, 0])
-        row[0] += held
-        row[1] += same
-        row[2] += chars
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by host, slot, text, and the longest text beside it; and by host and slot alone."""
+    references, counts = _References(), Counter()
     for batch in batches:
-        for host, html, reference in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True):
+        for host, html, reference in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference")), strict=True):
             if not html:
                 continue
-            tree, seen = parse(html), {}
-            for x, path in _placed(tree):
-                if text := own_text(x):
-                    p = _key(path)
-                    seen[p, None] = 0
-                    seen[p, _key(text)] = seen.get((p, _key(text)), 0) + len(text)
-            for (p, text), chars in seen.items():
-                add((host, None, p, text), 1, 0, chars)
-            add((host, None, None, None), 1, 0, sum(seen.values()))
-            if html != reference:
-                known = references.get(host, reference)
-                for x, y in align(known.tree, tree):
-                    if id(x) in known.main and own_text(x):
-                        same = own_text(x) == own_text(y)
-                        add((host, known.place[id(x)], None, None), 1, same, same * len(own_text(x)))
-            if len(counts) > 200_000:
+            placed = [(slot, own_text(n)) for n, slot in references.get(host, reference).place(parse(html))]
+            if not placed:
+                continue
+            longest = sorted({t for _, t in placed}, key=lambda t: (-len(t), t))[:2]
+            keys = [_key(t) for t in longest] + [0]
+            for slot, text in set(placed):
+                counts[host, slot, _key(text), keys[1] if text == longest[0] else keys[0], len(text)] += 1
+            for slot in {slot for slot, _ in placed}:
+                counts[host, slot, None, None, None] += 1
+            if len(counts) > 100_000:
                 yield _counted(counts)
                 counts.clear()
     yield _counted(counts)
 
 
-def _counted(counts: dict) -> pa.RecordBatch:
-    types = [pa.string(), pa.int32(), *[pa.int64()] * 5]
-    rows = [(*k, *c) for k, c in counts.items()]
+def _counted(counts: Counter) -> pa.RecordBatch:
+    types = [*[pa.int64()] * 4, pa.int32(), pa.int64()]
+    rows = [(*k, n) for k, n in counts.items()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    references = _References()
-    for batch in batches:
-        texts = [references.get(h, r, c, g).extract(x) for h, x, r, c, g in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference", "constant", "grown")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extract(by_name: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = _References()
+        for batch in batches:
+            texts = [references.get(h, r, s, t).extract(x, by_name) for h, x, r, s, t in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference", "slots", "texts")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """A row per host: host, reference (html), constant (places of template nodes in it), grown (template texts by path).
+    """A row per host: host, reference (html), slots (template slots), texts (template texts: slot, text).
 
-    The reference is the host's page with the smallest hash; all its other pages that differ from it are
-    counted, summed per node in each task before the shuffle. A text is template at a path by the same
-    shares, counted over all pages that have text at that path, whatever the reference has. Where either
-    kind of template is over half of the main text of all the host's pages, they are copies, not a template.
-    Takes rows of host, html.
+    Takes rows of host (a number), html. The reference is the host's page with the smallest hash. Texts go by their
+    hashes, summed in each task before the shuffle. Pages that are copies of one another agree in their longest
+    other text too, so what they share doesn't recur and stays content.
     """
     refs = pages.where("html IS NOT NULL").groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("m")).select("host", F.col("m.html").alias("reference"))
     refs = common.scratch(refs, "references")
-    counted = _with_references(pages, refs).mapInArrow(_compare, _COUNTED)
-    total = common.scratch(counted.groupBy("host", "place", "path", "text").agg(F.sum("held").alias("held"), F.sum("same").alias("same"), F.sum("chars").alias("chars")).where((F.col("held") > 1) | F.col("text").isNull()), "counts")
-    placed = total.where((F.col("held") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("held")) & F.col("place").isNotNull()).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("constant"), F.sum("chars").alias("standing"))
-    paths = total.where("path IS NOT NULL AND text IS NULL").select(F.col("host").alias("of"), F.col("path").alias("at"), F.col("held").alias("pages"))
-    texts = total.where(F.col("text").isNotNull() & (F.col("held") > LEAST_PAGES))
-    often = texts.join(paths, texts.host.eqNullSafe(paths.of) & (texts.path == paths["at"])).where(F.col("held") - 1 >= SAME_SHARE * (F.col("pages") - 1))
-    grown = often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("grown"), F.sum("chars").alias("spread"))
-    whole = total.where("place IS NULL AND path IS NULL").select("host", F.col("chars").alias("whole"))
-    out = refs
-    for i, side in enumerate((whole, placed, grown)):
-        side = side.withColumnRenamed("host", f"host{i}")
-        out = out.join(side, out.host.eqNullSafe(side[f"host{i}"]), "left")
-    kept = F.coalesce(2 * F.greatest("standing", "spread") <= F.col("whole"), F.lit(False))
-    return common.scratch(out.select("host", "reference", F.when(kept, F.col("constant")).alias("constant"), F.when(kept, F.col("grown")).alias("grown")), "wrappers")
+    counted = _with_references(pages, refs).mapInArrow(_count, _COUNTED)
+    held = counted.groupBy("host", "slot", "text", "other", "chars").agg(F.sum("n").alias("n"))
+    texts = common.scratch(held.groupBy("host", "slot", "text").agg(F.max("chars").alias("chars"), F.sum("n").alias("n"), F.count("*").alias("others")), "slot-texts")
+    recurs = (F.col("n") >= LEAST_PAGES) & (F.col("others") >= DIFFERING * F.col("n"))
+    weight = F.col("n") * F.col("chars")
+    totals = texts.groupBy("host", "slot").agg(F.max(F.when(F.col("text").isNull(), F.col("n"))).alias("pages"), F.sum(weight).alias("all"), F.coalesce(F.sum(F.when(recurs & F.col("text").isNotNull(), weight)), F.lit(0)).alias("recurring"))
+    judged = texts.where(recurs & F.col("text").isNotNull()).join(totals, ["host", "slot"])
+    whole = F.col("recurring") >= RECURRING * F.col("all")
+    template = judged.where(whole | (F.col("n") >= SAME_SHARE * F.col("pages"))).groupBy("host").agg(
+        F.sort_array(F.collect_set(F.when(whole, F.col("slot")))).alias("slots"), F.sort_array(F.collect_list(F.when(~whole, F.struct("slot", "text")))).alias("texts")
+    )
+    return common.scratch(refs.join(template, "host", "left"), "wrappers")
 
 
 def _with_references(pages: DataFrame, refs: DataFrame) -> DataFrame:
     size = refs.agg(F.sum(F.length("reference") + F.lit(64))).first()[0] or 0
-    side = F.broadcast(refs) if size <= BROADCAST_BYTES else refs
-    return pages.join(side, pages.host.eqNullSafe(side.host), "left").drop(side.host)
+    return pages.join(F.broadcast(refs) if size <= BROADCAST_BYTES else refs, "host", "left")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, by_name: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     The host is the url's between // and the next /, ?, # or port, lower-cased; null urls form a group of
     their own. Null and empty html give an empty text; repeated rows are each extracted; an empty table
-    gives no rows. Pages are shuffled only when the hosts' references are too large to broadcast.
+    gives no rows. Pages are shuffled only when the hosts' references are too large to broadcast. Without
+    by_name the induced wrapper alone decides. Matching takes time by the product of the numbers of different
+    shapes that two pages' lists of unlike siblings have.
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    return _with_references(rows, induce(rows.select("host", "html"))).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    key = F.xxhash64(F.lit("host"), host)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("host"))
+    return _with_references(rows, induce(rows.select("host", "html"))).mapInArrow(_extract(by_name), "page_id long, url string, text string, n_chars long")

@@ -40,9 +40,32 @@ def test_short_reference_leaves_the_template(spark):
     assert not any("standing" in x for x in got.values()) and all(f"More {i} " in got[i] for i in range(12))
 
 
-def test_elements_below_the_depth_limit_close_themselves_and_keep_their_role():
-    deep = "<div>" * 200 + "in<nav>menu<ul><li>x</ul></nav><div class='ad'>buy <b>now</b></div>" + "</div>" * 200
+def test_adverts_that_rotate(spark):
+    """No advert stands on most pages, but each on several that differ otherwise; the article's last words are its own."""
+    page = "<body><div class=a>Buy number {1} now</div><div class=b><h1>T{0}</h1>" + BODY + "<p>The end of {0}</p></div><div class=c>Terms {2} apply here</div></body>"
+    got = texts(spark, [page.format(i, i % 6, i % 4) for i in range(48)])
+    assert all(x == f"T{i}\nBody {i} alpha beta gamma delta epsilon zeta\nMore {i} eta theta iota kappa lambda\nThe end of {i}" for i, x in got.items())
+
+
+def test_passages_that_repeat_inside_of_articles_stay(spark):
+    """A passage in a quarter of the articles of a host isn't template."""
+    got = texts(spark, [f"<article><h1>T{i}</h1>{BODY.format(i)}{'<p>A passage that many share, word for word, in their midst</p>' if i % 4 == 0 else ''}<p>End {i}</p></article>" for i in range(40)])
+    assert all(("A passage that" in x) == (i % 4 == 0) and f"End {i}" in x for i, x in got.items())
+
+
+def test_copies_of_an_article_stay(spark):
+    """A third of a host's pages are copies of one article among different menus."""
+    copy = "<p>Copied words that fill the longest block of all of these pages, to the end</p><p>And some more copied words</p>"
+    rows = [f"<nav>Menu {i}</nav><div class=ad>Ad {i % 5}</div><article><h1>C</h1>{copy}</article>" for i in range(20)] + [f"<div class=ad>Ad {i % 5}</div><article><h1>T{i}</h1>{BODY.format(i)}</article>" for i in range(40)]
+    got = texts(spark, rows)
+    assert all("Copied words" in got[i] and "And some more" in got[i] for i in range(20)) and all("Ad" not in x for x in got.values())
+
+
+def test_deep_elements_keep_their_role():
+    deep = "<div>" * 2000 + "in<nav>menu<ul><li>x</ul></nav><aside>buy <b>now</b></aside>" + "</div>" * 2000
     assert html.text_of(html.parse(f"<div><article><p>before</p>{deep}<p>after</p></article></div><p>outside</p>")) == "before\nin\nafter"
     assert html.text_of(html.parse("<div>" * 300 + "<div>a</div><div>b</div>" + "</div>" * 300 + "c")).split() == ["a", "b", "c"]
-    assert html.text_of(html.parse("out" + "<div>" * 200 + "<article><div>in</div></article>" + "</div>" * 200)) == "in"
+    assert html.text_of(html.parse("out" + "<div>" * 2000 + "<article><div>in</div></article>" + "</div>" * 2000)) == "in"
     assert html.text_of(html.parse("<article>" * 5000 + "deep" + "</article>" * 5000)) == "deep"
+    assert html.text_of(html.parse("<div>" * 160 + "one<nav>MENU</nav>two" + "</div>" * 160)) == "one\ntwo"
+    assert len(list(html.Reference("<div>" * 5000 + "x").place(html.parse("<div>" * 4000 + "y")))) == 1
