@@ -31,7 +31,7 @@ CELLS_A_ROW, MOST_CODEWORDS = 2, 2048
 #: The part of the sample's true neighbours that is visited.
 TARGET = 0.97
 #: Index entries and queries of a group.
-REGION_ROWS, QUERY_ROWS = 8192, 512
+REGION_ROWS, QUERY_ROWS = 2048, 512
 
 
 def codebook(rows: np.ndarray, size: int, steps: int = 10, seed: int = 0) -> np.ndarray:

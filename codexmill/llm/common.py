@@ -9,53 +9,22 @@ Conventions that hold for every operator of this subpackage unless its docstring
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexmill.sources.scratch import scratch, scratch_path, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
 #: So many ids, of some 30 bytes in a hash table, are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="codexmill-"))
-        path = context.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's JVM ends."""
-    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(jpath)  # only what exists can be marked for deletion
-    store.deleteOnExit(jpath)
-    return f"{folder}/data"
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, executors may go."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -71,14 +40,20 @@ def outside_fold(id_col: str, n: int, k: int) -> Column:
     return F.coalesce(fold(id_col, n) != k, F.lit(False))
 
 
-def by_id(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is (left_semi), or isn't (left_anti), among `ids`; null equals null.
+def text_hashes(text_col: str = "text") -> tuple[Column, Column]:
+    """128 bits of a text's hash; null has one too."""
+    return F.xxhash64(F.lit(1), F.col(text_col).cast("binary")), F.xxhash64(F.lit(2), F.col(text_col).cast("binary"))
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id and text are (left_semi), or aren't (left_anti), among `rows` (doc_id, h1, h2); null equals null.
 
-    The ids are broadcast if they are few enough, else both sides are shuffled by id.
+    The rows are broadcast if they are few enough, else both sides are shuffled.
     """
-    ids = scratch(ids.select(F.col(id_col).cast("long").alias("__id")).distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs[id_col].eqNullSafe(side["__id"]), how)
+    side = scratch(rows.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "rows")
+    side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+    h1, h2 = text_hashes(text_col)
+    return docs.join(side, docs[id_col].cast("long").eqNullSafe(side["__id"]) & (h1 == side["__h1"]) & (h2 == side["__h2"]), how)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

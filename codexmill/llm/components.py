@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """a, m: the smallest b of each a. Written, so that the join with it is one of two plain exchanges, whose large parts are split."""
+    return common.scratch(rows.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of these."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a window, and bytes of text to a segment (a single longer document makes a longer one).
-WINDOW, SEGMENT_BYTES = 13, 24 << 20
-#: Bytes of test text that are matched in one pass; more make more passes.
-BLOCK_BYTES = 8 << 20
+#: Words of a window, and bytes of text and documents to a segment (a single longer document makes a longer one).
+WINDOW, SEGMENT_BYTES, SEGMENT_DOCS = 13, 24 << 20, 1 << 16
+#: Bytes of test text that are matched in one pass; more make more passes. Their windows take some hundred times as much.
+BLOCK_BYTES = 512 << 10
 
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TABLE = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 
-INDEX_SCHEMA = "segment long, term binary, n long, postings binary, doc_id long, base long"
+INDEX_SCHEMA = "segment long, term binary, n long, postings binary, doc_id long, base long, h1 long, h2 long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -48,16 +48,17 @@ class _Segment:
     def __init__(self, number: int):
         self.number, self.terms, self.ids, self.docs, self.length, self.bytes = number, _Numbers(), [], [], 0, 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
+    def add(self, row: tuple, text: bytes) -> None:
+        """row: the document's id and its text's hashes."""
         found = words(text)
-        self.docs.append((doc_id, self.length, len(found)))
+        self.docs.append((row, self.length, len(found)))
         self.ids.append(np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found)))
         self.length += len(found) + 1
         self.bytes += len(text)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """A row per term, then a row per document with a null term, n its words and base its first position."""
-        names = pa.schema([("segment", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()), ("doc_id", pa.int64()), ("base", pa.int64())])
+        names = pa.schema([("segment", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()), ("doc_id", pa.int64()), ("base", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
         ids = np.concatenate(self.ids)
         bases = np.array([b for _, b, _ in self.docs], np.int64)
         sizes = np.array([n for _, _, n in self.docs], np.int64)
@@ -74,24 +75,27 @@ class _Segment:
             b = min(a + 50_000, len(terms))
             part = deltas[starts[a] : starts[b]]
             n = b - a
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number)), pa.array(terms[a:b], pa.binary()), pa.array(counts[a:b]), common.arrow_binary(part, starts[a : b + 1] - starts[a]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number)), pa.array(terms[a:b], pa.binary()), pa.array(counts[a:b]), common.arrow_binary(part, starts[a : b + 1] - starts[a]), *(pa.nulls(n, pa.int64()) for _ in range(4))], schema=names)
         n = len(self.docs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number)), pa.nulls(n, pa.binary()), pa.array(sizes), pa.nulls(n, pa.binary()), pa.array([d for d, _, _ in self.docs], pa.int64()), pa.array(bases)], schema=names)
+        own = [pa.array([row[k] for row, _, _ in self.docs], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number)), pa.nulls(n, pa.binary()), pa.array(sizes), pa.nulls(n, pa.binary()), own[0], pa.array(bases), own[1], own[2]], schema=names)
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = TaskContext.get().partitionId() << 32
-    segment = _Segment(first)
-    for batch in batches:
-        for part in common.text_slices(batch, "text"):
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                text = text or b""
-                if segment.docs and segment.bytes + len(text) > SEGMENT_BYTES:
-                    yield from segment.batches()
-                    segment = _Segment(segment.number + 1)
-                segment.add(doc_id, text)
-    if segment.docs:
-        yield from segment.batches()
+def _builder(most_bytes: int, most_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = _Segment(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for part in common.text_slices(batch, "text"):
+                for *row, text in zip(*(part.column(k).to_pylist() for k in ("doc_id", "h1", "h2", "text")), strict=True):
+                    text = text or b""
+                    if segment.docs and (segment.bytes + len(text) > most_bytes or len(segment.docs) >= most_docs):
+                        yield from segment.batches()
+                        segment = _Segment(segment.number + 1)
+                    segment.add(row, text)
+        if segment.docs:
+            yield from segment.batches()
+
+    return run
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,8 +103,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have a document row without words; repeated rows are indexed each.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return common.scratch(rows.mapInArrow(_build, INDEX_SCHEMA), "positional-index")
+    h1, h2 = common.text_hashes(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("binary").alias("text"))
+    return common.scratch(rows.mapInArrow(_builder(SEGMENT_BYTES, SEGMENT_DOCS), INDEX_SCHEMA), "positional-index")
 
 
 def windows_of(found: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -236,7 +241,7 @@ def _blocks(items: DataFrame, n: int) -> Iterator[Block]:
 
 
 def match(index: DataFrame, tests: DataFrame, n: int = WINDOW, slop: int = 0, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row per indexed document: doc_id, n_words, n_hit, items (array, sorted as strings), hits (array of first, end).
+    """A row per indexed document: doc_id, n_words, n_hit, items (array, sorted as strings), hits (array of first, end), h1, h2 (of its text).
 
     A hit is a word inside an occurrence of one of the tests' windows of n words: of the exact phrase,
     or with slop a run of at most n + slop words that holds all of the window's. Items with null text
@@ -257,7 +262,7 @@ def match(index: DataFrame, tests: DataFrame, n: int = WINDOW, slop: int = 0, it
         rows = held.select("segment", "term", "postings", "base").unionByName(index.where("term IS NULL").select("segment", "term", "postings", "base"))
         matched = rows.groupBy("segment").applyInArrow(_matcher(shared, slop), "segment long, base long, hits array<struct<first: long, end: long>>, items array<string>")
         found = matched if found is None else found.unionByName(matched)
-    docs = index.where("term IS NULL").select("segment", "base", "doc_id", F.col("n").alias("n_words"))
+    docs = index.where("term IS NULL").select("segment", "base", "doc_id", "h1", "h2", F.col("n").alias("n_words"))
     if found is None:
         found = spark.createDataFrame([], "segment long, base long, hits array<struct<first: long, end: long>>, items array<string>")
     merged = found.groupBy("segment", "base").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -267,7 +272,7 @@ def match(index: DataFrame, tests: DataFrame, n: int = WINDOW, slop: int = 0, it
         lambda acc, h: F.struct(F.greatest(acc["end"], h["end"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), h["end"] - F.greatest(acc["end"], h["first"]))).alias("total")),
     )["total"]
     joined = docs.join(merged.withColumn("n_hit", length), ["segment", "base"], "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits", "h1", "h2")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
@@ -276,6 +281,6 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Rows without an id go if one of them is."""
+    """The documents that aren't contaminated, with all their columns; rows go by id and text, so that no other row's text decides."""
     found = match(build_index(docs, id_col, text_col), tests).where(contaminated())
-    return common.by_id(docs, found.withColumnRenamed("doc_id", id_col), "left_anti", id_col)
+    return common.by_row(docs, found, "left_anti", id_col, text_col)

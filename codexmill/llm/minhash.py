@@ -3,9 +3,12 @@
 Texts with the same set of shingles form a class, which is compared once. Classes that share a band of
 their signatures are candidates. A pair's signatures are compared batch by batch, and it is dropped as
 soon as the posterior probability that its similarity reaches the threshold falls below the miss
-probability. The surviving pairs' groups are verified on full sets, in blocks of bounded size. Pairs
-already connected need no check, since only components are asked for; every component is that of all
-links.
+probability. The surviving pairs' groups are verified on full sets. Pairs already connected need no check,
+since only components are asked for; every component is that of all links.
+
+A crowded bucket, or group, is compared in blocks of bounded size, some of its members being in every block.
+What that connects most of the members to needs no further comparison among itself: only the members outside
+of the largest component meet all others, so a mass of copies costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from . import common, components
 WORDS, HASHES, ROWS, BANDS = 5, 128, 5, 25
 #: Hashes compared at a time, and the posterior probability of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
-#: A block holds about so many classes, and about so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 21
-#: Rows of band buckets that share a task.
-BIN_ROWS = 1 << 16
+#: A block holds about so many classes, and about so many shingles; about so many classes of a group are in all its blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES, LEADERS = 256, 1 << 21, 32
+#: Rows of band buckets that are compared in one call, if there are more than a call for each shuffle partition.
+BIN_ROWS = 1 << 13
 #: Tables of ids up to this size are broadcast to find their texts.
 BROADCAST_BYTES = 32 << 20
 #: Words that a worker remembers the hash of.
@@ -97,16 +100,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+_ROW = "doc_id long, h1 long, h2 long"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.text_slices(batch, "text", TEXT_BYTES):
             sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()])
-            columns = [
-                part.column("doc_id"), part.column("text_hash"), pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                pa.array([signature(x).astype("<u4").tobytes() if len(x) else None for x in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "signature"])
+            columns = [part.column(k) for k in ("doc_id", "h1", "h2")]
+            columns.append(pa.array([len(x) for x in sets], pa.int64()))
+            columns.append(pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()))
+            columns.append(pa.array([signature(x).astype("<u4").tobytes() if len(x) else None for x in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n_shingles", "class", "signature"])
 
 
 @cache
@@ -155,7 +160,28 @@ class _Overlaps:
         return out
 
 
-def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, percent: int, keep: dict[int, int]) -> list[tuple[int, int]]:
+class _Labels:
+    """Which items are connected so far. known: labels to begin with."""
+
+    def __init__(self, n: int, known: np.ndarray | None = None):
+        self.of = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
+        self.members: dict[int, list[int]] = {}
+        for i, x in enumerate(self.of.tolist()):
+            self.members.setdefault(x, []).append(i)
+
+    def join(self, i: int, j: int) -> bool:
+        """Connect two items; whether they weren't yet."""
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members.pop(b)
+        return True
+
+
+def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, percent: int, keep: dict[int, int], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Verified links that connect what all links connect. side: 0 or 1, then only pairs across are compared.
 
     No set is empty. A set is first verified against the likeliest member of each group that the links so far
@@ -163,24 +189,16 @@ def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | Non
     """
     batches = [np.ascontiguousarray(signatures[:, n - BATCH : n]) for n in keep]
     overlaps = _Overlaps(sets)
-    sizes, label, out = overlaps.sizes, np.arange(len(sets)), []
-    members = {i: [i] for i in range(len(sets))}
+    sizes, labels, out = overlaps.sizes, _Labels(len(sets), known), []
     across = None if side is None else np.flatnonzero(side == 1)
 
     def verify(i: int, others: np.ndarray) -> None:
         both = overlaps.of(i, others)
-        for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)].tolist():
-            a, b = int(label[i]), int(label[j])
-            if a != b:
-                out.append((i, j))
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                label[members[b]] = a
-                members[a] += members.pop(b)
+        out.extend((i, j) for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)].tolist() if labels.join(i, j))
 
     for i in range(len(sets)) if side is None else np.flatnonzero(side == 0).tolist():
         rest = np.arange(i + 1, len(sets)) if across is None else across
-        rest = rest[(label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
+        rest = rest[(labels.of[rest] != labels.of[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         matched = np.zeros(len(rest), np.int64)
         for part, fewest in zip(batches, keep.values(), strict=True):
             if not len(rest):
@@ -189,22 +207,28 @@ def links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | Non
             rest, matched = rest[matched >= fewest], matched[matched >= fewest]
         if len(rest):
             rest = rest[np.argsort(-matched, kind="stable")]
-            first = np.sort(np.unique(label[rest], return_index=True)[1])
+            first = np.sort(np.unique(labels.of[rest], return_index=True)[1])
             verify(i, rest[first])
             rest = np.delete(rest, first)
-            verify(i, rest[label[rest] != label[i]])
+            verify(i, rest[labels.of[rest] != labels.of[i]])
     return out
 
 
+def _known(table: pa.Table, order: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The side and the label of each row, if the rows are those of a second comparison."""
+    if "side" not in table.column_names:
+        return None, None
+    return table.column("side").to_numpy()[order], np.array(table.column("label").to_pylist(), object).astype("S16")[order]
+
+
 def _verifier(percent: int, keep: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
         names = table.column("class").to_pylist()
-        side = table.column("side").to_numpy()
-        order = np.lexsort((np.array(names, object).astype("S16"), side))
+        order = np.argsort(np.array(names, object).astype("S16"), kind="stable")
         sets = [np.frombuffer(table.column("shingles")[i].as_py(), "<u8") for i in order.tolist()]
         signatures = np.stack([np.frombuffer(table.column("signature")[i].as_py(), "<u4") for i in order.tolist()])
-        side = side[order]
-        found = links(sets, signatures, None if (side == 0).all() else side, percent, keep)
+        side, known = _known(table, order)
+        found = links(sets, signatures, side, percent, keep, known)
         return pa.table({"a": pa.array([names[order[i]] for i, _ in found], pa.binary()), "b": pa.array([names[order[j]] for _, j in found], pa.binary())})
 
     return run
@@ -214,47 +238,41 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.text_slices(batch, "text", TEXT_BYTES):
             sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()])
-            columns = [part.column(k) for k in ("class", "root", "blocks")]
+            ours = [xxhash.xxh3_128_digest(x.tobytes()) == y for x, y in zip(sets, part.column("class").to_pylist(), strict=True)]  # another text may have the hashes
+            columns = [part.column(k) for k in ("class", "key", "blocks")]
             columns.append(pa.array([signature(x).astype("<u4").tobytes() for x in sets], pa.binary()))
             columns.append(pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["class", "root", "blocks", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, ["class", "key", "blocks", "signature", "shingles"]).filter(pa.array(ours, pa.bool_()))
 
 
-def _sieve_bucket(short: np.ndarray, side: np.ndarray | None, keep: dict[int, int]) -> list[tuple[int, int]]:
+def _sieve_bucket(short: np.ndarray, side: np.ndarray | None, known: np.ndarray | None, keep: dict[int, int]) -> list[tuple[int, int]]:
     """Pairs that survive the pruning and connect what all surviving pairs connect."""
-    label, out = np.arange(len(short)), []
-    members = {i: [i] for i in range(len(short))}
+    labels, out = _Labels(len(short), known), []
     across = None if side is None else np.flatnonzero(side == 1)
     for i in range(len(short)) if side is None else np.flatnonzero(side == 0).tolist():
         rest = np.arange(i + 1, len(short)) if across is None else across
-        rest = rest[label[rest] != label[i]]
+        rest = rest[labels.of[rest] != labels.of[i]]
         matched = np.zeros(len(rest), np.int64)
         for n, fewest in keep.items():
             if not len(rest):
                 break
             matched += (short[rest, n - BATCH : n] == short[i, n - BATCH : n]).sum(1)
             rest, matched = rest[matched >= fewest], matched[matched >= fewest]
-        for j in rest[np.unique(label[rest], return_index=True)[1]].tolist() if len(rest) else ():
-            out.append((i, j))
-            a, b = int(label[i]), int(label[j])
-            if len(members[a]) < len(members[b]):
-                a, b = b, a
-            label[members[b]] = a
-            members[a] += members.pop(b)
+        if len(rest):
+            out += [(i, j) for j in rest[np.unique(labels.of[rest], return_index=True)[1]].tolist() if labels.join(i, j)]
     return out
 
 
 def _siever(keep: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        order = np.lexsort((table.column("side").to_numpy(), keys))
-        keys, side = keys[order], table.column("side").to_numpy()[order]
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        keys = table.column("key").to_numpy()[order]
+        side, known = _known(table, order)
         short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, HASHES)[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.concatenate([starts[1:], [len(keys)]])
-        plain = table.column("i").to_numpy()[0] == table.column("j").to_numpy()[0]
         first, second = [], []
-        if plain:  # buckets of two, most of all, at once
+        if side is None:  # buckets of two, most of all, at once
             two = starts[ends - starts == 2]
             likely = np.ones(len(two), bool)
             matched = np.zeros(len(two), np.int64)
@@ -263,8 +281,8 @@ def _siever(keep: dict[int, int]):
                 likely &= matched >= fewest
             first, second = two[likely].tolist(), (two[likely] + 1).tolist()
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if b - a > 2 or b - a == 2 and not plain:
-                for i, j in _sieve_bucket(short[a:b], None if plain else side[a:b], keep):
+            if b - a > 2 or b - a == 2 and side is not None:
+                for i, j in _sieve_bucket(short[a:b], None if side is None else side[a:b], None if known is None else known[a:b], keep):
                     first.append(a + i)
                     second.append(a + j)
         names = table.column("class").combine_chunks()
@@ -274,6 +292,37 @@ def _siever(keep: dict[int, int]):
     return run
 
 
+def _connected(rows: DataFrame, compare, bins: int | None = None) -> DataFrame:
+    """class, root of what `compare` connects among the rows (key, class, blocks and what it needs) of each key.
+
+    The rows of a key are dealt over its blocks by their hash, some of them to all of its blocks, and compared within
+    these. If a key has several blocks, its members outside of the largest component are then compared with those
+    members that they aren't connected with, in groups of a block of the one and a block of the other.
+    """
+    rows = common.scratch(rows, "compared")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    leads = F.pmod(F.xxhash64(F.lit("leads"), "class"), F.col("blocks") * BLOCK_CLASSES) < LEADERS
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = rows.withColumn("block", F.explode(F.when(leads, every).otherwise(F.array(own)))).withColumn("bin", F.pmod("key", F.lit(bins)) if bins else F.col("key"))
+    edges = common.scratch(dealt.groupBy("bin", "block").applyInArrow(compare, "a binary, b binary"), "edges")
+    found = components.connected_components(edges)
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    found = common.scratch(found, "components")
+    labelled = common.scratch(large.join(found, large["class"] == found["node"], "left").select(large["*"], F.coalesce("root", "class").alias("label")), "labelled")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = common.scratch(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), (F.sum("n") - F.max("n")).alias("outside")), "largest")
+    # of a key's blocks outside of the largest component; a key without such members needs no more
+    most = most.where("outside > 0").withColumn("parts", F.ceil(F.col("outside") / BLOCK_CLASSES).cast("int"))
+    ready = labelled.join(most, "key").withColumn("block", own)
+    part = F.pmod(F.xxhash64(F.lit("outside"), "class"), F.col("parts")).cast("int")
+    outside = ready.where(F.col("label") != F.col("most")).withColumn("part", part).withColumn("block", F.explode(every)).withColumn("side", F.lit(0))
+    members = ready.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    more = outside.unionByName(members).groupBy("key", "block", "part").applyInArrow(compare, "a binary, b binary")
+    return components.connected_components(edges.union(more))
+
+
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lowest byte of each hash: equal hashes stay equal, and few others become so."""
     for batch in batches:
@@ -292,63 +341,68 @@ def _candidate_groups(classes: DataFrame, keep: dict[int, int]) -> DataFrame:
     banded = classes.select("class", "signature", keys.alias("keys")).select("class", F.explode("keys").alias("key"))
     sizes = common.scratch(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, -(-total // BIN_ROWS))
+    bins = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_ROWS))
     kept = banded.join(sizes, "key").groupBy("class").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
     with_signatures = kept.join(classes.select("class", "signature"), "class")
     rows = with_signatures.mapInArrow(_shorten, "class binary, keys array<struct<key: bigint, n: bigint>>, short binary").select("class", "short", F.inline("keys"))
-    blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.pmod(F.col("key"), F.lit(bins)).alias("bin"), "key", "class", "short", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    edges = dealt.groupBy("bin", "i", "j").applyInArrow(_siever(keep), "a binary, b binary")
-    return components.connected_components(edges).select(F.col("node").alias("class"), "root")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")).drop("n")
+    return _connected(rows, _siever(keep), bins).select(F.col("node").alias("class"), "root")
+
+
+def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row per document: doc_id, h1, h2 (of its text), n_shingles, class, root of its component (both null without shingles)."""
+    if percent < 80:
+        raise ValueError("the bands find pairs of a similarity of 0.8 or more")
+    h1, h2 = common.text_hashes(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("binary").alias("text"))
+    signed = common.scratch(source.mapInArrow(_sign, _ROW + ", n_shingles long, class binary, signature binary"), "signatures")
+    one = F.min(F.struct("h1", "h2"))
+    classes = signed.where("class IS NOT NULL").groupBy("class").agg(one.alias("h"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+    classes = common.scratch(classes, "classes")
+    keep = fewest_matches(percent / 100)  # worked out once, on the driver
+    groups = common.scratch(_candidate_groups(classes, keep), "groups")
+
+    members = common.scratch(groups.join(classes.select("class", "h", "n_shingles"), "class"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = common.scratch(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
+    members = common.scratch(members.join(sizes, "root").select("h.h1", "h.h2", "class", F.col("root").alias("key"), "blocks"), "members")
+    wanted = F.broadcast(members) if members.count() * 80 <= BROADCAST_BYTES else members
+    # copies of a text meet in the partial aggregate, before anything is shuffled
+    texts = source.drop("doc_id").join(wanted, ["h1", "h2"]).groupBy("class", "key", "blocks").agg(F.min("text").alias("text"))
+    loaded = texts.mapInArrow(_load, "class binary, key binary, blocks int, signature binary, shingles binary")
+    linked = common.scratch(_connected(loaded, _verifier(percent, keep)), "linked")
+    return signed.drop("signature").join(linked, signed["class"] == linked["node"], "left").drop("node").withColumn("root", F.coalesce("root", "class"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets (percent of at
-    least 80). component_id is the smallest doc_id reachable, and kept tells whether it is the own one.
-    Null and empty texts, and those of blanks, have no shingle, stand alone and are kept. Rows without an
-    id take part; their component_id is that of the others they reach, and they are kept only if there
-    is none. Repeated rows with one id have one component, and all of its rows are kept together.
+    Documents are linked when 100 * intersection >= percent * union of their shingle sets; a percent below 80 is
+    refused. component_id is the smallest doc_id reachable, and kept tells whether it is the own one. Null and empty
+    texts, and those of blanks, have no shingle, stand alone and are kept. Rows without an id take part; their
+    component_id is that of the others they reach, and they are kept only if there is none. Repeated rows with one
+    id have one component, and all of its rows are kept together.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    signed = common.scratch(source.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, class binary, signature binary"), "signatures")
-    classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
-    classes = common.scratch(classes, "classes")
-    keep = fewest_matches(percent / 100)  # worked out once, on the driver
-    groups = common.scratch(_candidate_groups(classes, keep), "groups")
-
-    members = groups.join(classes.select("class", "text_hash", "n_shingles"), "class")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = common.scratch(members.join(sizes, "root").select("text_hash", "class", "root", "blocks"), "members")
-    wanted = F.broadcast(members) if members.count() * 64 <= BROADCAST_BYTES else members
-    # copies of a text meet in the partial aggregate, before anything is shuffled
-    texts = source.join(wanted, "text_hash").groupBy("class", "root", "blocks").agg(F.min("text").alias("text"))
-    loaded = texts.mapInArrow(_load, "class binary, root binary, blocks int, signature binary, shingles binary")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    # every pair of blocks meets once; a block's classes stand on side 0 of the pairs with later blocks
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = loaded.withColumn("own", own).withColumn("other", other).select(
-        "class", "root", "signature", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    edges = dealt.groupBy("root", "i", "j").applyInArrow(_verifier(percent, keep), "a binary, b binary")
-    linked = components.connected_components(edges)
-
-    rooted = classes.select("class", "doc_id").join(linked, classes["class"] == linked["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = common.scratch(rooted.join(least, "root").select("class", "component_id"), "components")
-    rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    own_or = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, own_or.isNull()).alias("kept"))
+    rows = common.scratch(_rows(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "root"), "rooted")
+    least = common.scratch(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    own_or = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, own_or.isNull()).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns: one id of each group, all without shingles.
+    """One row of each group, with all its columns: that of the smallest id, then text hash; and all rows without shingles.
 
-    Rows without an id stay if one of them is kept.
+    Rows without an id come last, so one of them stays if the group has no other. Of repeated rows, with one id and one
+    text, one stays.
     """
-    kept = near_duplicates(docs, percent, id_col, text_col).where("kept")
-    return common.by_id(docs, kept.withColumnRenamed("doc_id", id_col), "left_semi", id_col)
+    rows = _rows(docs, percent, id_col, text_col).where("root IS NOT NULL").groupBy("root", "doc_id", "h1", "h2").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2", "n")
+    chosen = common.scratch(rows.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.h1").alias("__h1"), F.col("m.h2").alias("__h2"), F.col("m.n").alias("__n")), "chosen")
+    side = F.broadcast(chosen) if chosen.count() <= common.BROADCAST_IDS else chosen
+    h1, h2 = common.text_hashes(text_col)
+    joined = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["__id"]) & (h1 == side["__h1"]) & (h2 == side["__h2"]), "left")
+    blank = ~F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    kept = joined.where(blank | F.col("__n").isNotNull())
+    if not chosen.where("__n > 1").isEmpty():
+        kept = kept.where("__n IS NULL OR __n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__h1", "__h2"]))
+    return kept.select(docs.columns)

@@ -58,9 +58,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_components_are_those_of_all_links(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "leaders"), [(2048, 32), (7, 2), (5, 0)])
+def test_components_are_those_of_all_links(spark, monkeypatch, block, leaders):
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
     docs = documents(spark, corpus(3))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = minhash.near_duplicates(docs).collect()
@@ -73,7 +74,47 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     docs = documents(spark, ["one two three four five six seven"] * 30 + [None, "", "other words here that stand alone now"])
     kept = minhash.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 30, 31, 32]
-    assert minhash.near_duplicates(docs.where("false")).count() == 0
+    assert minhash.near_duplicates(docs.where("false")).count() == 0 and minhash.deduplicate(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, percent=79)
+
+
+def test_deduplicate_decides_by_row(spark):
+    """Repeated ids, repeated rows and rows without an id: one row of each group, whichever columns it has."""
+    a, b, c = "one two three four five six seven", "One two three four FIVE six  seven", "eight nine ten eleven twelve"
+    docs = documents(spark, [(3, a), (3, a), (3, c), (None, a), (4, b), (None, c), (None, "x y"), (None, "x y"), (7, ""), (7, ""), (None, None)])
+    docs = docs.withColumns({x: F.lit(1) for x in ("root", "class", "h1", "h2", "key", "__n0")})
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (3, c), (None, "x y"), (7, ""), (7, ""), (None, None)], key=repr)
+
+
+def test_a_mass_of_copies_is_compared_in_proportion(spark, monkeypatch):
+    """Blocks tie a large group together, and only what stays outside of it meets the rest."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 50)
+    compared = []
+    plain = minhash._connected
+    monkeypatch.setattr(minhash, "_connected", lambda rows, compare, bins=None: compared.append(1) or plain(rows, compare, bins))
+    rng = random.Random(9)
+    base = [f"b{rng.randrange(900)}" for _ in range(150)]
+    texts = family(rng, base, 400, 3) + ["another text of its own words altogether here"]
+    found = minhash.near_duplicates(documents(spark, texts)).collect()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert {r.doc_id: r.component_id for r in found} == {i: c for i, _, c in brute_components(rows, 85)} and len(compared) == 2
+
+
+def test_sql_of_components(spark):
+    """The SQL on a small corpus with every kind of edge, which gives a row per document id."""
+    import duckdb
+
+    from codexmill.llm.queries import ORACLES
+
+    docs = documents(spark, [t for t in corpus(4) if not isinstance(t, tuple)])
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op5_near_duplicates']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in minhash.near_duplicates(docs).select(*columns).orderBy("doc_id").collect()] == want
 
 
 def test_pruning_drops_a_linked_pair_with_the_chosen_probability():
@@ -132,16 +173,19 @@ def as_sorted(rows):
     return sorted(rows, key=lambda r: tuple((x is None, x or 0) if not isinstance(x, list) else (False, x) for x in r))
 
 
-@pytest.mark.parametrize(("segment", "block"), [(24 << 20, 8 << 20), (200, 60)])
-def test_phrases_are_those_of_brute_force(spark, monkeypatch, segment, block):
+@pytest.mark.parametrize(("segment", "most", "block"), [(24 << 20, 1 << 16, 8 << 20), (200, 100, 60), (1 << 20, 2, 60)])
+def test_phrases_are_those_of_brute_force(spark, monkeypatch, segment, most, block):
     monkeypatch.setattr(decontamination, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(decontamination, "SEGMENT_DOCS", most)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["The", "cat", "sat-on", "MAT", "é", "x"]) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "...", (None, "the cat sat"), (3, "cat mat")]
     items = [(0, "the cat sat on mat"), (1, "é x the"), (2, "MAT"), (3, None), (4, ""), (None, "x x é"), (10, "the cat sat on mat"), (5, "zebra cat"), (0, "x x x x")]
     tests = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts)
-    got = decontamination.match(decontamination.build_index(docs), tests, n=3).collect()
+    index = decontamination.build_index(docs)
+    assert index.where("term IS NULL").groupBy("segment").count().agg(F.max("count")).first()[0] <= most
+    got = decontamination.match(index, tests, n=3).collect()
     want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], items, 3)
     assert as_sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == as_sorted(want)
 
@@ -161,8 +205,12 @@ def test_decontamination_edges(spark):
     docs = documents(spark, ["one two three four", LONG + "one two three four", "clean text", None])
     kept = decontamination.drop_contaminated(docs, tests)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    same = documents(spark, [(None, "one two three four"), (None, "clean text"), (9, "one two three four"), (9, "more clean text"), (None, None)]).withColumns({x: F.lit(1) for x in ("h1", "h2", "base", "segment", "n_hit")})
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontamination.drop_contaminated(same, tests).collect()) == [("9", "more clean text"), ("None", "None"), ("None", "clean text")]
     index = decontamination.build_index(docs)
     assert all(r.n_hit == 0 for r in decontamination.match(index, tests.where("false")).collect())
+    blank = decontamination.match(decontamination.build_index(documents(spark, [None, "", "..."] * 40)), tests).collect()
+    assert len(blank) == 120 and all((r.n_words, r.n_hit, list(r["items"])) == (0, 0, []) for r in blank)
     assert decontamination.match(decontamination.build_index(docs.where("false")), tests).count() == 0
 
 
