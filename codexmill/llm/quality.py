@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over byte n-gram indicators.
 
-A text's features are the different hashed byte n-grams that occur in it, and how often and how long
-its words repeat in a row. Each indicator is scaled by
+A text's features are the different hashed byte n-grams that occur in it, and the n-grams of its marks: for each
+word but the first, whether it repeats the one before. Each indicator is scaled by
 the log ratio of its smoothed counts in the two classes, texts are scaled to unit length, and a linear
 model with hinge loss is fitted by dual coordinate descent. A logistic curve fitted on rows kept aside
 turns the margin into a score.
@@ -11,45 +11,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Lengths of n-grams of bytes and of marks, and how many buckets, powers of two, either kind has.
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 17
-#: At most so many labelled rows are learned from, those whose id has the smallest hash.
-SAMPLE_ROWS = 10_000
+MARK_ORDERS, MARK_BUCKETS = (1, 2, 4, 8, 16), 1 << 12
+FEATURES = BUCKETS + MARK_BUCKETS
+#: At most so many labelled rows are learned from, those whose id has the smallest hash, and of these so many features.
+SAMPLE_ROWS, SAMPLE_FEATURES = 10_000, 1 << 25
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 12
 
 
-#: Steps of the share of words equal to the one before, and of the longest run; the first buckets stand for them.
-SHARES, RUNS = (0.0, 0.02, 0.1, 0.3, 0.6), (2, 3, 5, 8, 16)
-
-
-def repeats(text: bytes) -> list[int]:
-    """The steps that the repetition of words in a row exceeds."""
+def mark_grams(text: bytes) -> np.ndarray:
+    """The different buckets of the n-grams of marks, above those of bytes."""
     words = text.split()
-    same = sum(map(bytes.__eq__, words, words[1:]))
-    if not same:
-        return []
-    longest = max(sum(1 for _ in g) for _, g in groupby(words))
-    out = [i for i, x in enumerate(SHARES) if same > x * (len(words) - 1)]
-    return out + [len(SHARES) + i for i, x in enumerate(RUNS) if longest >= x]
+    marks = np.fromiter(map(bytes.__eq__, words, words[1:]), np.uint32, max(0, len(words) - 1))
+    found = []
+    for n in MARK_ORDERS:
+        if len(marks) < n:
+            break
+        code = np.zeros(len(marks) - n + 1, np.uint32)
+        if marks.any():
+            for k in range(n):
+                code = code << np.uint32(1) | marks[k : k + len(code)]
+        # a one before the marks tells the lengths apart
+        code = np.unique(code) | np.uint32(1 << n)
+        found.append(code * np.uint32(2654435761) >> np.uint32(32 - (MARK_BUCKETS.bit_length() - 1)))
+    return BUCKETS + np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def indicators(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted different buckets of each text's n-grams and repetitions; none for an empty text."""
+    """The sorted different buckets of each text's n-grams of bytes and marks; none for an empty text."""
     sizes = np.array([len(x) for x in texts], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int32)] * len(texts)
     raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     left = np.repeat(starts[1:], sizes) - np.arange(len(raw))  # bytes to the end of the own text
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes) * BUCKETS
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes) * FEATURES
     keys, code = [], raw.copy()
     for k in range(1, max(ORDERS) + 1):
         if k > 1:
@@ -57,14 +62,13 @@ def indicators(texts: list[bytes]) -> list[np.ndarray]:
         if k in ORDERS and len(code):
             bucket = (code * np.uint32(2654435761) + np.uint32(k * 40503)) * np.uint32(2246822519) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
             keys.append((owner[: len(code)] + bucket)[left[: len(code)] >= k])
-    steps = [i * BUCKETS + b for i, x in enumerate(texts) for b in repeats(x)]
-    keys.append(np.array(steps, np.int64))
+    keys += [i * FEATURES + mark_grams(x) for i, x in enumerate(texts)]
     # sort and difference rather than a hash set: one pass over contiguous memory
     merged = np.concatenate(keys)
     merged.sort()
     merged = merged[np.concatenate([[True], merged[1:] != merged[:-1]])]
-    cuts = np.searchsorted(merged, np.arange(len(texts) + 1) * BUCKETS)
-    local = (merged % BUCKETS).astype(np.int32)
+    cuts = np.searchsorted(merged, np.arange(len(texts) + 1) * FEATURES)
+    local = (merged % FEATURES).astype(np.int32)
     return [local[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -90,7 +94,7 @@ class Model:
 
 def log_count_ratios(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of the smoothed counts p of class 1 and q of class 0."""
-    counts = np.full((2, BUCKETS), SMOOTHING)
+    counts = np.full((2, FEATURES), SMOOTHING)
     for f, y in zip(features, labels, strict=True):
         counts[int(y), f] += 1
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
@@ -137,8 +141,8 @@ def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[flo
 
 def train(features: list[np.ndarray], labels: np.ndarray) -> Model:
     """Fit on four fifths of the rows, the logistic curve on the last fifth. Without both classes: the mean label everywhere."""
-    flat = np.zeros(BUCKETS, np.float32)
-    if len(labels) < 10 or labels.min() == labels.max():
+    flat = np.zeros(FEATURES, np.float32)
+    if not len(labels) or labels.min() == labels.max():
         mean = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
         return Model(flat, flat, 0.0, 0.0, float(np.log(mean / (1 - mean))))
     aside = np.arange(len(labels)) % 5 == 4
@@ -150,7 +154,7 @@ def train(features: list[np.ndarray], labels: np.ndarray) -> Model:
     rows = [(f, ratios[f] / max(np.linalg.norm(ratios[f]), 1e-6)) for f in use]
     share = np.array([(y == 0).mean(), (y == 1).mean()])
     cost = COST * 0.5 / share[y]
-    w, bias = dual_coordinate_descent(rows, np.where(y == 1, 1.0, -1.0), cost, BUCKETS)
+    w, bias = dual_coordinate_descent(rows, np.where(y == 1, 1.0, -1.0), cost, FEATURES)
     model = Model((w * ratios).astype(np.float32), (ratios**2).astype(np.float32), bias, 1.0, 0.0)
     kept = aside if aside.any() else ~aside
     slope, shift = platt(model.margins([f for f, x in zip(features, kept, strict=True) if x]), labels[kept])
@@ -170,15 +174,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     """Learn from at most `rows` labelled documents, those whose id has the smallest hash.
 
     Null labels, and labels other than 0 and 1, are left out; of repeated labels of one id the largest
-    counts, of repeated documents one. The sample, bounded by `rows`, is broadcast to find its texts,
-    and the driver gets its features only. Without labels every score is 0.5.
+    counts, of repeated documents the smallest text. The sample, bounded by `rows`, is broadcast to find its
+    texts, and the driver gets the features only of the first documents that have SAMPLE_FEATURES together. Without
+    labels every score is 0.5; with labels of one kind all scores lean to it alike.
     """
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = named.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # a threshold on the hash leaves little more than the wanted rows, so that none of the tasks sorts many
+    share = min(1.0, 1.2 * rows / max(1, chosen.count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = chosen.where(drawn < int(share * (1 << 30)) + 1).orderBy(drawn, "doc_id").limit(rows)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    texts = source.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    table = texts.mapInArrow(_features, "doc_id long, label int, features array<int>").toArrow().sort_by("doc_id")
+    texts = source.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    found = common.scratch(texts.mapInArrow(_features, "doc_id long, label int, features array<int>"), "features")
+    upto = F.sum(F.size("features")).over(Window.orderBy(drawn, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of `rows` rows at most
+    kept = found.select("doc_id", "features").withColumn("upto", upto).where(F.col("upto") <= SAMPLE_FEATURES).select("doc_id")
+    table = found.join(F.broadcast(kept), "doc_id").toArrow().sort_by("doc_id")
     lists = [x.values.to_numpy(zero_copy_only=False) for x in table.column("features")]
     order = np.random.default_rng(1).permutation(table.num_rows)
     y = table.column("label").to_numpy().astype(np.int64)

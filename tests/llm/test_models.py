@@ -47,6 +47,7 @@ def test_language_edges(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     nobody = language.fit(labelled.where("false"))
     assert {r.lang_pred for r in language.predict(docs, nobody).collect()} == {"und"}
+    assert language.keep_identified(docs, nobody).count() == docs.count() - 4
     filled = language.keep_identified(labelled.selectExpr("doc_id", "text", "cast(null as string) as lang").limit(3), model).collect()
     assert all(r.lang in SYLLABLES for r in filled)
 
@@ -61,7 +62,23 @@ def test_grams_stay_in_their_text():
 def test_indicators_are_those_of_each_text():
     alone = [quality.indicators([x])[0].tolist() for x in (b"ab ab", b"", b"x")]
     assert [x.tolist() for x in quality.indicators([b"ab ab", b"", b"x"])] == alone
-    assert quality.repeats(b"a a a b") and not quality.repeats(b"a b a")
+    assert set(quality.mark_grams(b"a a a b").tolist()) > set() != set(quality.mark_grams(b"a b a").tolist())
+    assert quality.mark_grams(b"one").tolist() == [] and (quality.mark_grams(b"x " * 50) >= quality.BUCKETS).all()
+    assert all((x[:-1] < x[1:]).all() and x.max() < quality.FEATURES for x in quality.indicators([b"a a b", b"c c c c"]))
+
+
+def test_marks_are_their_n_grams():
+    marks = [0, 1, 1, 0, 0, 1]
+    words = [0]
+    for m in marks:
+        words.append(words[-1] + (not m))
+    text = " ".join(map(str, words)).encode()
+    want = set()
+    for n in quality.MARK_ORDERS:
+        for i in range(len(marks) - n + 1):
+            code = int("1" + "".join(map(str, marks[i : i + n])), 2)
+            want.add(quality.BUCKETS + (code * 2654435761 % 2**32 >> 20))
+    assert set(quality.mark_grams(text).tolist()) == want
 
 
 def test_dual_coordinate_descent_reaches_the_primal_optimum():
@@ -92,6 +109,10 @@ def test_quality_held_out(spark):
     assert docs.where(common.is_fold("doc_id", 5, 0)).count() == len(held)
     edge = quality.predict(documents(spark, EDGE), model).collect()
     assert len(edge) == len(EDGE) and all(0 <= r.score <= 1 for r in edge)
+    few = quality.fit(docs, labels.where("doc_id IN (0, 1, 2, 3)"))  # both classes are there
+    assert len({round(r.score, 6) for r in quality.predict(docs.limit(3), few).collect()}) > 1
+    few = quality.fit(docs, labels, rows=40)
+    assert sum((r.score >= 0.5) == (r.doc_id % 3 > 0) for r in quality.predict(docs, few).collect()) > 250
     blind = quality.fit(docs, labels.where("false"))
     assert {r.score for r in quality.predict(docs.limit(3), blind).collect()} == {0.5}
     assert quality.fit(docs, labels.withColumn("quality", F.lit(1))).scores([np.zeros(0, np.int32)])[0] > 0.5
@@ -208,3 +229,24 @@ def test_scoring_without_training(spark):
     rows = scoring.score(docs, scoring.Model(docs.where("false"))).collect()
     assert len(rows) == len(EDGE) and all(r.n_known == 0 and r.bits_per_byte == pytest.approx(8.0) for r in rows)
     assert scoring.score(docs.where("false"), scoring.Model(docs)).count() == 0
+
+
+def test_base_columns_are_those_of_sql(spark):
+    """Counts and the word model's score against DuckDB, over the smallest tables."""
+    import duckdb
+
+    from codexmill.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    ids = [r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM '{data}/documents.parquet'")
+    con.execute("CREATE TABLE held (doc_id BIGINT, out BOOLEAN)")
+    con.executemany("INSERT INTO held VALUES (?, ?)", [(i, zlib.crc32(str(i).encode()) % 5 == 1) for i in ids])
+    want = con.execute(r"""
+        WITH t AS (SELECT doc_id, unnest(list_append(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), '')) AS w FROM documents),
+        c AS (SELECT w, count(*) AS c FROM t JOIN held USING (doc_id) WHERE NOT out GROUP BY w), s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, out, count(*), count(c.c), any_value(n), sum(log10((coalesce(c.c, 0) + 0.5) / (n + 0.5 * (v + 1)))) FROM t JOIN held USING (doc_id) LEFT JOIN c USING (w), s GROUP BY ALL ORDER BY doc_id""").fetchall()
+    got = QUERIES["op8_lm_scoring"](spark, data).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [x[:5] for x in want]
+    assert all(abs(r.base_score - x[5]) < 1e-6 for r, x in zip(got, want, strict=True))
