@@ -30,6 +30,10 @@ def test_base_spans_are_those_of_the_patterns(text):
 
 def test_further_kinds_need_context_or_a_checksum():
     assert [s.kind for s in pii.find("Account GB82 WEST 1234 5698 7654 32 please")] == ["iban"]
+    for text in ("IBAN BE68 5390 0754 7034 PAID", "IBAN BE68 5390 0754 7034 paid", "DE89370400440532013000 OK", "NO93 8601 1117 947"):
+        (span,) = pii.find(text)
+        assert span.kind == "iban" and pii.mod97(text[span.start : span.end]) and len(text[span.start : span.end].replace(" ", "")) == pii.IBAN_LENGTHS[text[span.start : span.start + 2]]
+    assert not any(s.kind == "iban" for x in ("BE68 5390 0754 70341", "QQ68 5390 0754 7034") for s in pii.find(x))
     assert pii.find("code GB83 WEST 1234 5698 7654 32 please") == []
     assert [s.kind for s in pii.find("my ssn is 219-09-9999")] == ["ssn"]
     assert pii.find("part 219-09-9999") == []
