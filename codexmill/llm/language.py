@@ -169,9 +169,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with all their columns; those that are `und` go. No shuffle.
+    """The rows whose text has a language, with all their columns; null texts and those without a letter go. No shuffle.
 
-    The language column, if there is one, gets the prediction where it is null and stays as it is elsewhere.
+    The language column, if there is one, gets the prediction where it is null and stays as it is elsewhere. If no
+    language was learned, nothing can be told apart or filled in, and the texts with letters stay. Rows decide each
+    for itself, repeated ones too; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fills = lang_col in docs.columns
@@ -181,7 +183,7 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
         for batch in batches:
             for part in common.text_slices(batch, "__bytes", 1 << 20):
                 texts = [x or b"" for x in part.column("__bytes").to_pylist()]
-                known = pa.array([bool(model.languages) and has_letter(x) for x in texts], pa.bool_())
+                known = pa.array([has_letter(x) for x in texts], pa.bool_())
                 rows = part.drop_columns(["__bytes"])
                 if fills and model.languages:
                     at = rows.schema.get_field_index(lang_col)

@@ -23,8 +23,10 @@ from . import common
 
 #: Bytes of context of the deepest nodes.
 DEPTH = 4
-#: Nodes of a model that go to the tasks at once; a larger model is scored in slices of contexts, a pass each.
+#: Nodes of a model that are in memory at once, on the driver and in a task; a larger model goes in slices of contexts.
 SLICE_NODES = 6_000_000
+#: Bytes of text that are scored at a time, and with a model in several slices, which each such run loads anew.
+TEXT_BYTES, MORE_TEXT_BYTES = 2 << 20, 32 << 20
 #: Words whose counts go to the tasks; the counts of others are joined.
 FREQUENT = 400_000
 #: Different words, or byte runs, that a task counts before it passes the counts on.
@@ -182,30 +184,35 @@ class Slice:
 
 
 class _Known:
-    """Remembers the code lengths that a task has worked out."""
-
-    def __init__(self, model: Slice):
-        self.model, self.codes, self.values = model, np.zeros(0, _U), np.zeros(0)
+    """Remembers the code lengths that a task has worked out. Of a model in several slices one at a time is in memory."""
+
+    def __init__(self, slices: list):
+        self.slices, self.codes, self.values = slices, np.zeros(0, _U), np.zeros(0)
+
+    def _bits(self, codes: np.ndarray) -> np.ndarray:
+        out, context = np.zeros(len(codes)), (codes >> _U(8)) & _U(0xFFFF)
+        for shared in self.slices:
+            model = shared.value
+            ours = model.contexts[context]
+            out[ours] = model.bits(codes[ours])
+            if len(self.slices) > 1:
+                del model, shared._value  # it is read from the worker's file again when it is needed
+        return out
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
-        """log2 probability of each text, over the bytes whose context is in the slice."""
+        """log2 probability of each text."""
         codes, starts = run_codes(texts)
-        ours = self.model.contexts[(codes >> _U(8)) & _U(0xFFFF)]
-        every = ours.all()
-        wanted = codes if every else codes[ours]
-        new = np.unique(wanted)
+        new = np.unique(codes)
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, new), len(self.codes) - 1)
             new = new[self.codes[at] != new]
         if len(new):
             if len(self.codes) > HELD_RUNS:
-                self.codes, self.values, new = self.codes[:0], self.values[:0], np.unique(wanted)
+                self.codes, self.values, new = self.codes[:0], self.values[:0], np.unique(codes)
             both = np.concatenate([self.codes, new])
             order = np.argsort(both, kind="stable")
-            self.codes, self.values = both[order], np.concatenate([self.values, self.model.bits(new)])[order]
-        each = np.zeros(len(codes))
-        found = self.values[np.searchsorted(self.codes, wanted)] if len(wanted) else np.zeros(0)
-        each[slice(None) if every else ours] = found
+            self.codes, self.values = both[order], np.concatenate([self.values, self._bits(new)])[order]
+        each = self.values[np.searchsorted(self.codes, codes)]
         return np.add.reduceat(each, starts[:-1]) if len(texts) else np.zeros(0)
 
 
@@ -247,13 +254,15 @@ class Model:
 _DOC = "rid long, doc_id long, n_bytes long, n_tokens long, n_known long, base double, bits double, token binary, n long"
 
 
-def _score(known_words, model, total: int, different: int):
+def _score(known_words, slices: list, total: int, different: int):
+    size = TEXT_BYTES if len(slices) == 1 else MORE_TEXT_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tree_of = known_words.value, _Known(model.value)
+        words, tree_of = known_words.value, _Known(slices)
         logs = {w: math.log10((c + 0.5) / (total + 0.5 * (different + 1))) for w, c in words.items()}
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in common.text_slices(batch, "text", 2 << 20):
+            for part in common.text_slices(batch, "text", size):
                 texts = [x or b"" for x in part.column("text").to_pylist()]
                 bits = tree_of.sums(texts)
                 n_tokens, n_known, base, rare_rid, rare, rare_n = [], [], [], [], [], []
@@ -285,39 +294,22 @@ def _score(known_words, model, total: int, different: int):
     return run
 
 
-def _more(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree_of, rid = _Known(model.value), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in common.text_slices(batch, "text", 2 << 20):
-                bits = tree_of.sums([x or b"" for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(bits))), pa.array(bits)], ["rid", "more"])
-                rid += len(bits)
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
 
     base_score is the word model's log10 probability of the text's words and its end, score the context
     tree's of its bytes and end; bits_per_byte divides the code length by the bytes and the end. A null or
     empty text has its end alone. Without training texts each bit costs one bit and no word is known.
-    Frequent words are scored where they stand; a rare word's count is joined to its uses, so neither a
+    The texts are read once, whatever the model's size. Frequent words are scored where they stand; a rare word's count is joined to its uses, so neither a
     common word nor a large vocabulary meets in one task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     least, frequent = model.frequent()
     words = spark.sparkContext.broadcast(frequent)
-    scored, more = None, None
-    for part in _slices(model.nodes):
-        shared = spark.sparkContext.broadcast(part)
-        if scored is None:
-            scored = common.scratch(rows.mapInArrow(_score(words, shared, model.total, model.different), _DOC), "scored")
-        else:
-            found = common.scratch(rows.mapInArrow(_more(shared), "rid long, more double"), "scored-more")
-            more = found if more is None else more.unionByName(found)
+    slices = [spark.sparkContext.broadcast(part) for part in _slices(model.nodes)]
+    scored = common.scratch(rows.mapInArrow(_score(words, slices, model.total, model.different), _DOC), "scored")
+    for shared in (words, *slices):
         shared.unpersist()
     rare = scored.where("token IS NOT NULL").select("rid", "token", "n")
     counts = model.words.where(F.col("c") < least)
@@ -325,9 +317,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     valued = rare.join(counts, "token", "left").groupBy("rid").agg(F.sum(value * F.col("n")).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))
     out = scored.where("n_tokens IS NOT NULL").drop("token", "n").join(valued, "rid", "left")
     bits = F.col("bits")
-    if more is not None:
-        out = out.join(more.groupBy("rid").agg(F.sum("more").alias("more")), "rid", "left")
-        bits = F.col("bits") + F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare", F.lit(0.0))).alias("base_score"), (bits * math.log10(2)).alias("score"), (-bits / (F.col("n_bytes") + 1)).alias("bits_per_byte"),

@@ -5,6 +5,7 @@ import re
 import corpus_pipeline
 import pytest
 from helpers import LONG
+from pyspark.sql import functions as F
 
 from codexmill.llm import decontamination, queries
 
@@ -47,3 +48,36 @@ def test_the_benchmark_rule():
 
 def test_every_operator_has_its_query():
     assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 11))
+
+
+def write(spark, out, rows, bench):
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {x: F.lit("x") for x in ("score", "n_hit", "h1", "root", "class", "base", "part", "ids", "key", "__h1x")}
+    table.withColumns(extra).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    return out
+
+
+def test_empty_tables_pass(spark, tmp_path):
+    out = write(spark, str(tmp_path), [], [])
+    docs = spark.read.parquet(f"{out}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, out)
+        assert found.count() == 0 and (name == "packing" or found.columns == docs.columns)
+    assert corpus_pipeline.run(spark, out).count() == 0
+
+
+def test_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "words of a clean text that stands alone"
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, BENCH), (None, "one more text without an id"), (2, BENCH), (2, "a text beside a bad one"), (3, None), (4, "")]
+    out = write(spark, str(tmp_path), [(i, t, None, None, None) for i, t in rows], [(None, None), (0, BENCH), (0, BENCH), (1, "")])
+    docs, seen = spark.read.parquet(f"{out}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, out)
+        assert docs.columns == spark.read.parquet(f"{out}/documents.parquet").columns
+        seen[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    with_words = [x for x in rows if x[1]]
+    assert seen["language"] == sorted(with_words, key=repr)  # nothing to learn a language from
+    assert seen["near_duplicates"] == sorted([(1, a), (1, b), (2, BENCH), (2, "a text beside a bad one"), (None, "one more text without an id")], key=repr)
+    assert seen["decontamination"] == seen["pii"] == sorted([(1, a), (1, b), (2, "a text beside a bad one"), (None, "one more text without an id")], key=repr)
+    assert corpus_pipeline.run(spark, out).where("start = 0").count() == 4
