@@ -1,6 +1,7 @@
 """The corpus pipeline: documents by way of five of the training-data operators to packed sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep the columns of documents, and any
+further ones. An empty table passes through all stages. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -13,28 +14,38 @@ from codexmill.llm import common, decontamination, language, minhash, packing, p
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; a missing language is filled in."""
+    """Documents without a language (null or no letter) go; a null language is filled in.
+
+    Each row decides for itself, repeated ones too. Without any language to learn from none is filled in.
+    """
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
+    """One row of each group of near-duplicates stays, that with the smallest id; null ids come last.
+
+    Of repeated rows one stays. Texts without words, null among them, are in no group and stay.
+    """
     return minhash.deduplicate(docs, percent=85)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which a twentieth of the words lie in passages of the benchmark."""
+    """Documents go of which a twentieth of the words lie in passages of the benchmark.
+
+    Rows decide by id and text, so rows of one id, or of none, don't decide for each other. Null texts stay, and
+    all rows do if the benchmark is empty.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind; every document stays."""
+    """Spans of personal data give way to their kind and n_chars follows; every row stays, null texts as they are."""
     redacted = pii.redact_column(docs, "text")
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of binary length, none across documents."""
+    """Token sequences of binary length, none across documents; a null text is its end alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
