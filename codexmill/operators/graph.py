@@ -265,7 +265,7 @@ def expand(edges: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None)
     Seeds, excluded nodes and external names are left out. place is an array of numbers by which results are ordered.
     """
     near = neighbours(edges, _placed(seeds)).where(~F.startswith("node_id", F.lit("External:")))
-    first = near.groupBy("node_id").agg(F.min_by("relationship", "place").alias("relationship"), F.min("place").alias("place"))
+    first = near.groupBy("node_id").agg(F.min(F.struct("place", "relationship")).alias("m")).select("node_id", "m.relationship", "m.place")
     gone = seeds.select("node_id") if exclude is None else seeds.select("node_id").union(exclude.select("node_id"))
     return first.join(gone, "node_id", "left_anti")
 

@@ -24,8 +24,8 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part_edges as CALLS between node ids; seq orders a node's edges by the other part."""
-    return part_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("relation"), F.col("dst").alias("seq"), F.lit(0).alias("pos"))
+    """part_edges as CALLS between node ids; seq and pos, the two parts' keys, order a node's edges by the other part."""
+    return part_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("CALLS").alias("relation"), F.col("src").alias("seq"), F.col("dst").cast("int").alias("pos"))
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def _expanded(seeds: str) -> str:
     """k, relationship, place of the neighbours of seeds (k, o)."""
     return f"""SELECT k, arg_min(rel, place) AS relationship, min(place) AS place FROM (
       SELECT e.dst AS k, 'CALLS' AS rel, {{'o': s.o, 'd': 0, 'q': e.dst}} AS place FROM ({_EDGES}) e JOIN {seeds} ON e.src = s.k
-      UNION ALL SELECT e.src, 'CALLED_BY', {{'o': s.o, 'd': 1, 'q': e.dst}} FROM ({_EDGES}) e JOIN {seeds} ON e.dst = s.k)
+      UNION ALL SELECT e.src, 'CALLED_BY', {{'o': s.o, 'd': 1, 'q': e.src}} FROM ({_EDGES}) e JOIN {seeds} ON e.dst = s.k)
     WHERE k NOT IN (SELECT k FROM {seeds}) GROUP BY k"""
 
 
@@ -261,6 +261,17 @@ UNION ALL SELECT 'upstream', node, CAST(min(depth) AS INTEGER) FROM u WHERE dept
 WITH e AS (SELECT src, dst, p_type, CASE WHEN length(CAST(src AS VARCHAR)) = length(CAST(dst AS VARCHAR)) THEN 'same' ELSE 'other' END AS ct FROM ({_EDGES}) JOIN part ON p_partkey = src)
 SELECT 'total_edges' AS key, count(*) AS n FROM e UNION ALL SELECT 'language:' || p_type, count(*) FROM e GROUP BY p_type UNION ALL SELECT 'call_type:' || ct, count(*) FROM e GROUP BY ct
 UNION ALL SELECT 'unique_functions_count', count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e) HAVING count(*) > 0""",
+    "call_graph_overview": CODE
+    + """, e AS (SELECT c.name AS caller, coalesce(d.name, substr(dst, 10)) AS callee, CASE WHEN dst LIKE 'External:%' THEN 'external' ELSE 'internal' END AS t,
+  CASE c.path[1] WHEN 'A' THEN 'rust' WHEN 'E' THEN 'solidity' ELSE 'python' END AS l FROM edge JOIN fn c ON c.id = edge.src LEFT JOIN fn d ON d.id = edge.dst),
+ranked AS (SELECT *, row_number() OVER (ORDER BY caller, callee, t, l) AS n FROM e), overall AS (SELECT count(*) AS total FROM e)
+SELECT CAST(0 AS INTEGER) AS n, 'Call graph (' || total || ' calls)' AS line FROM overall
+UNION ALL SELECT CAST(n AS INTEGER), regexp_extract(caller, '[^.]*$') || ' -> ' || regexp_extract(callee, '[^.]*$') || ' [' || t || '] (' || l || ')' FROM ranked WHERE n <= 50
+UNION ALL SELECT CAST(51 AS INTEGER), '... and ' || (total - 50) || ' more' FROM overall WHERE total > 50""",
+    "rendered_tree": f"""
+WITH e AS ({_TRADES}), t AS (SELECT 'c1' AS path, 'c1' AS line UNION ALL SELECT 'c1>' || callee, '  ' || callee FROM e WHERE caller = 'c1'
+  UNION ALL SELECT 'c1>' || a.callee || '>' || b.callee, '    ' || b.callee FROM e a JOIN e b ON a.caller = 'c1' AND b.caller = a.callee)
+SELECT CAST(row_number() OVER (ORDER BY string_split(path, '>')) - 1 AS INTEGER) AS n, line FROM t""",
     "functions_csv": CODE
     + """SELECT name, class AS contract, CASE WHEN seq % 3 = 0 THEN 'private' ELSE 'public' END AS visibility, CAST(seq AS INTEGER) AS line_number, path AS file_path, 'view, virtual' AS modifiers,
   CAST((SELECT count(*) FROM calls WHERE calls.src = fn.seq) AS INTEGER) AS calls_count FROM fn""",

@@ -13,6 +13,7 @@ from codexmill.operators import calltree, chunking, graph, retrieval
 from codexmill.plans import frames
 from codexmill.services import ExtractiveGenerator, HashEmbedder, embed_column, generate_column
 from codexmill.sources.parser import RECORDS, parse_batches
+from codexmill.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUESTION = "the of and"
@@ -175,19 +176,23 @@ def get_by_id(spark, sf_dir):
 
 
 def _graph_of_functions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    functions = frames.functions_with_calls(spark, sf_dir)
-    return functions, *graph.build(functions)
+    """Functions, and the graph built from them as the engine does it: written, then read by what follows."""
+    functions = scratch(frames.functions_with_calls(spark, sf_dir), "functions")
+    nodes, edges = graph.build(functions)
+    return functions, scratch(nodes, "nodes"), scratch(edges, "edges")
 
 
 @query
 def graph_nodes(spark, sf_dir):
     """The graph that is built from suppliers as functions with their calls."""
-    return _graph_of_functions(spark, sf_dir)[1].select("node_id", "type", "name", "path", "file_path", "line_number", "content")
+    nodes, _ = graph.build(frames.functions_with_calls(spark, sf_dir))
+    return nodes.select("node_id", "type", "name", "path", "file_path", "line_number", "content")
 
 
 @query
 def graph_edges(spark, sf_dir):
-    return _graph_of_functions(spark, sf_dir)[2].select("src", "dst", "relation")
+    _, edges = graph.build(frames.functions_with_calls(spark, sf_dir))
+    return edges.select("src", "dst", "relation")
 
 
 @query
@@ -263,6 +268,11 @@ def _seeds(spark) -> DataFrame:
     return spark.createDataFrame([("0", 0), ("7", 1), ("42", 2)], "node_id string, seed_seq int")
 
 
+def _stored_calls(spark, sf_dir) -> DataFrame:
+    """The calls of parts as a table, which each level of an expansion reads."""
+    return scratch(frames.part_calls(spark, sf_dir), "calls")
+
+
 @query
 def neighbors_1hop(spark, sf_dir):
     return graph.expand(frames.part_calls(spark, sf_dir), _seeds(spark)).select("node_id", "relationship")
@@ -298,18 +308,18 @@ def expand_external(spark, sf_dir):
 @query
 def expand_levels(spark, sf_dir):
     """Two levels with content; parts without content are neither returned nor passed through."""
-    found = graph.expand_levels(frames.part_calls(spark, sf_dir), _seeds(spark).where("seed_seq = 1"), 2, *_part_contents(spark, sf_dir))
+    found = graph.expand_levels(_stored_calls(spark, sf_dir), _seeds(spark).where("seed_seq = 1"), 2, *_part_contents(spark, sf_dir))
     return found.select("node_id", "relationship", "content", "depth")
 
 
 @query
 def bfs_depth_2(spark, sf_dir):
-    return graph.expand_to_depth(frames.part_calls(spark, sf_dir), _seeds(spark), 2)
+    return graph.expand_to_depth(_stored_calls(spark, sf_dir), _seeds(spark), 2)
 
 
 @query
 def bfs_depth_3(spark, sf_dir):
-    return graph.expand_to_depth(frames.part_calls(spark, sf_dir), _seeds(spark), 3)
+    return graph.expand_to_depth(_stored_calls(spark, sf_dir), _seeds(spark), 3)
 
 
 @query
@@ -416,6 +426,20 @@ def call_graph_stats(spark, sf_dir):
     return calltree.graph_statistics(edges)
 
 
+@query
+def call_graph_overview(spark, sf_dir):
+    """The lines of the printed overview of the first 50 calls."""
+    text = calltree.print_call_graph(scratch(call_graph_edges(spark, sf_dir), "call-graph"), 50)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+
+
+@query
+def rendered_tree(spark, sf_dir):
+    """The printed call tree of customer 1."""
+    rows = calltree.call_trees(frames.traders(spark, sf_dir).where("name = 'c1'"), frames.trades(spark, sf_dir)).collect()
+    return spark.createDataFrame(list(enumerate(calltree.render(calltree.nested(rows, "c1")).split("\n"))), "n int, line string")
+
+
 @query
 def functions_csv(spark, sf_dir):
     return calltree.functions_csv(frames.functions_with_calls(spark, sf_dir))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from codexmill.functions import text as T
 from codexmill.operators import calltree, graph
 from codexmill.plans import frames
-from codexmill.plans.index import Engine
+from codexmill.plans.index import Engine, report
 from codexmill.plans.oracle import CODE
 from codexmill.services import HashEmbedder, embed_column
 from codexmill.sources import project, store
-from codexmill.sources.scratch import scratch_path, write_text
+from codexmill.sources.scratch import scratch, scratch_path, write_text
 from codexmill.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,7 +114,7 @@ def write_sources(spark: SparkSession) -> str:
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    functions = frames.functions_with_calls(spark, sf_dir)
+    functions = scratch(frames.functions_with_calls(spark, sf_dir), "functions")
     return functions, *graph.build(functions)
 
 
@@ -224,6 +224,30 @@ def index_expand(spark, sf_dir):
     return engine.expand([ids[0], f"{ids[1]}:0123abcd_chunk_1"], 2).select("node_id", "relationship", F.element_at(F.split("content", r"\[CODE\]\n"), -1).alias("code"))
 
 
+@query
+def index_query(spark, sf_dir):
+    """What must hold of a question's answer: the stages' sizes, and how their results hang together."""
+    engine = Engine(spark, scratch_path(spark, "index"), embedder=HashEmbedder(64))
+    engine.index_functions(frames.functions_with_calls(spark, sf_dir))
+    question = "which body of m1 calls FRANCE"
+    found = engine.query(question, rerank_top_k=3, search_limit=10)
+    hits, best = [h["node_id"] for h in found.retrieved], [b["node_id"] for b in found.reranked]
+    distances, related = [h["distance"] for h in found.retrieved], {r["node_id"] for r in found.expanded}
+    shown = report(found)
+    row = (
+        found.success, len(hits), len(best), set(best) <= set(hits), distances == sorted(distances), not related & set(best), found.prompt.endswith(f"Question: {question}"),
+        all(b["text"] in found.prompt for b in found.reranked), all(r["content"] in found.prompt for r in found.expanded), found.answer.startswith(f"Question: {question}"), all(b in shown for b in best),
+    )
+    names = "success n_hits n_best best_are_hits nearest_first related_are_new prompt_asks prompt_has_best prompt_has_related answered reported".split()
+    return spark.createDataFrame([row], ", ".join(f"{n} {'int' if n.startswith('n_') else 'boolean'}" for n in names))
+
+
+@query
+def builder_info(spark, sf_dir):
+    info = calltree.builder_info()
+    return spark.createDataFrame([(info["type"], k, v) for k, v in info["features"].items()], "type string, feature string, offered boolean")
+
+
 _FUNCTIONS = """
 SELECT * FROM (VALUES
  ('bank.sol', 'Bank.put', 4, 7, 'Bank', 'public', 'uint', '', 'payable', 'uint a|uint b', 'log|add'),
@@ -272,4 +296,6 @@ SQL: dict[str, str] = {
     + """SELECT (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM link) AS edges, (SELECT count(*) FROM fn) AS chunks, (SELECT count(*) FROM fn) AS embeddings, true AS indexed,
   CAST(4 AS INTEGER) AS cleared, false AS indexed_after, CAST(0 AS BIGINT) AS functions_after, (SELECT count(*) FROM fn) AS vectors_after""",
     "index_expand": CODE + _LEVELS,
+    "index_query": "SELECT true AS success, CAST(10 AS INTEGER) AS n_hits, CAST(3 AS INTEGER) AS n_best, true AS best_are_hits, true AS nearest_first, true AS related_are_new, true AS prompt_asks, true AS prompt_has_best, true AS prompt_has_related, true AS answered, true AS reported",
+    "builder_info": "SELECT * FROM (VALUES ('relational', 'basic_call_trees', true), ('relational', 'dependency_graph', true), ('relational', 'visualization', false), ('relational', 'mermaid_export', false)) v(type, feature, offered)",
 }
