@@ -261,6 +261,8 @@ def match(index: DataFrame, tests: DataFrame, n: int = WINDOW, slop: int = 0, it
         shared = spark.sparkContext.broadcast(block)
         rows = held.select("segment", "term", "postings", "base").unionByName(index.where("term IS NULL").select("segment", "term", "postings", "base"))
         matched = rows.groupBy("segment").applyInArrow(_matcher(shared, slop), "segment long, base long, hits array<struct<first: long, end: long>>, items array<string>")
+        matched = common.scratch(matched, "matched")  # the plan doesn't grow with the blocks
+        shared.unpersist()
         found = matched if found is None else found.unionByName(matched)
     docs = index.where("term IS NULL").select("segment", "base", "doc_id", "h1", "h2", F.col("n").alias("n_words"))
     if found is None:

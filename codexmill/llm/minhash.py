@@ -30,7 +30,7 @@ WORDS, HASHES, ROWS, BANDS = 5, 128, 5, 25
 #: Hashes compared at a time, and the posterior probability of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
 #: A block holds about so many classes, and about so many shingles; about so many classes of a group are in all its blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES, LEADERS = 256, 1 << 21, 32
+BLOCK_CLASSES, BLOCK_SHINGLES, LEADERS = 192, 1 << 21, 16
 #: Rows of band buckets that are compared in one call, if there are more than a call for each shuffle partition.
 BIN_ROWS = 1 << 13
 #: Tables of ids up to this size are broadcast to find their texts.
@@ -304,8 +304,7 @@ def _connected(rows: DataFrame, compare, bins: int | None = None) -> DataFrame:
     leads = F.pmod(F.xxhash64(F.lit("leads"), "class"), F.col("blocks") * BLOCK_CLASSES) < LEADERS
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = rows.withColumn("block", F.explode(F.when(leads, every).otherwise(F.array(own)))).withColumn("bin", F.pmod("key", F.lit(bins)) if bins else F.col("key"))
-    edges = common.scratch(dealt.groupBy("bin", "block").applyInArrow(compare, "a binary, b binary"), "edges")
-    found = components.connected_components(edges)
+    found = components.connected_components(dealt.groupBy("bin", "block").applyInArrow(compare, "a binary, b binary"))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return found
@@ -320,7 +319,7 @@ def _connected(rows: DataFrame, compare, bins: int | None = None) -> DataFrame:
     outside = ready.where(F.col("label") != F.col("most")).withColumn("part", part).withColumn("block", F.explode(every)).withColumn("side", F.lit(0))
     members = ready.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
     more = outside.unionByName(members).groupBy("key", "block", "part").applyInArrow(compare, "a binary, b binary")
-    return components.connected_components(edges.union(more))
+    return components.connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
