@@ -58,9 +58,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("block", "leaders"), [(2048, 32), (7, 2), (5, 0)])
-def test_components_are_those_of_all_links(spark, monkeypatch, block, leaders):
+@pytest.mark.parametrize(("block", "leaders", "outside"), [(192, 16, 40), (7, 2, 40), (5, 0, 0)])
+def test_components_are_those_of_all_links(spark, monkeypatch, block, leaders, outside):
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(minhash, "OUTSIDE_BLOCKS", outside)
     monkeypatch.setattr(minhash, "LEADERS", leaders)
     docs = documents(spark, corpus(3))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -94,7 +95,7 @@ def test_a_mass_of_copies_is_compared_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", 50)
     compared = []
     plain = minhash._connected
-    monkeypatch.setattr(minhash, "_connected", lambda rows, compare, bins=None: compared.append(1) or plain(rows, compare, bins))
+    monkeypatch.setattr(minhash, "_connected", lambda rows, compare, bins=None, finer=None: compared.append(1) or plain(rows, compare, bins, finer))
     rng = random.Random(9)
     base = [f"b{rng.randrange(900)}" for _ in range(150)]
     texts = family(rng, base, 400, 3) + ["another text of its own words altogether here"]

@@ -173,3 +173,11 @@ def test_templates_are_those_of_the_plain_count(spark):
                 muted.add(id(node))
         assert got[i] == html.text_of(tree, muted, by_name=False), i
     assert all("Home" not in x and "Foot" not in x for i, x in got.items() if i < 60) and all(f"Body of {i} with words" in got[i] for i in range(60))
+
+
+def test_equally_near_languages(spark):
+    """Languages learned from the same texts are equally near: the first in order is taken, and flagged."""
+    rows = [(t, lang) for lang in ("zz", "aa") for t in ("some words", "and others")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    for r in language.predict(documents(spark, ["some others", "unheard of"]), model).collect():
+        assert r.lang_pred == "aa" and abs(r.score - 0.5) < 1e-9 and r.ambiguous
