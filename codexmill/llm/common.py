@@ -9,7 +9,10 @@ Conventions that hold for every operator of this subpackage unless its docstring
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,26 @@ def by_row(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", t
     return docs.join(side, docs[id_col].cast("long").eqNullSafe(side["__id"]) & (h1 == side["__h1"]) & (h2 == side["__h2"]), how)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker lives on after its task and shares a machine with others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a libc without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map over batches, with memory given back after a task's last."""
+
+    @wraps(run)
+    def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rested
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `limit` bytes together, one row at least."""
     if batch.num_rows == 0:

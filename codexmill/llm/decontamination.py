@@ -105,7 +105,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     h1, h2 = common.text_hashes(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("binary").alias("text"))
-    return common.scratch(rows.mapInArrow(_builder(SEGMENT_BYTES, SEGMENT_DOCS), INDEX_SCHEMA), "positional-index")
+    return common.scratch(rows.mapInArrow(common.resting(_builder(SEGMENT_BYTES, SEGMENT_DOCS)), INDEX_SCHEMA), "positional-index")
 
 
 def windows_of(found: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -228,7 +228,13 @@ def _match(block: Block, slop: int, table: pa.Table) -> pa.Table:
 
 
 def _matcher(shared, slop: int):
-    return lambda table: _match(shared.value, slop, table)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return _match(shared.value, slop, table)
+        finally:
+            common.give_back()
+
+    return run
 
 
 def _blocks(items: DataFrame, n: int) -> Iterator[Block]:

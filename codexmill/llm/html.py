@@ -436,17 +436,18 @@ class Reference:
 
 
 class _References:
-    """The latest hosts' references; a worker keeps few at a time."""
+    """The latest hosts' references; a worker keeps few at a time, and reads them once from the rows that carry them."""
 
     def __init__(self, most: int = 256):
         self.kept: dict = {}
         self.most = most
 
-    def get(self, host: int, html: str | None, slots: list[int] | None = None, texts: list[dict] | None = None) -> Reference:
+    def get(self, batch: pa.RecordBatch, i: int, host: int) -> Reference:
         if host not in self.kept:
             if len(self.kept) >= self.most:
                 self.kept.clear()
-            self.kept[host] = Reference(html or "", slots, texts)
+            html, *template = (batch.column(k)[i].as_py() for k in ("reference", "slots", "texts") if k in batch.schema.names)
+            self.kept[host] = Reference(html or "", *template)
         return self.kept[host]
 
 
@@ -457,10 +458,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages by host, slot, text, and the longest text beside it; and by host and slot alone."""
     references, counts = _References(), Counter()
     for batch in batches:
-        for host, html, reference in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference")), strict=True):
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if not html:
                 continue
-            placed = [(slot, own_text(n)) for n, slot in references.get(host, reference).place(parse(html))]
+            placed = [(slot, own_text(n)) for n, slot in references.get(batch, i, host).place(parse(html))]
             if not placed:
                 continue
             longest = sorted({t for _, t in placed}, key=lambda t: (-len(t), t))[:2]
@@ -485,7 +486,8 @@ def _extract(by_name: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = _References()
         for batch in batches:
-            texts = [references.get(h, r, s, t).extract(x, by_name) for h, x, r, s, t in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "reference", "slots", "texts")), strict=True)]
+            rows = enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True))
+            texts = [references.get(batch, i, host).extract(x, by_name) for i, (host, x) in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -500,7 +502,7 @@ def induce(pages: DataFrame) -> DataFrame:
     """
     refs = pages.where("html IS NOT NULL").groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("m")).select("host", F.col("m.html").alias("reference"))
     refs = common.scratch(refs, "references")
-    counted = _with_references(pages, refs).mapInArrow(_count, _COUNTED)
+    counted = _with_references(pages, refs).mapInArrow(common.resting(_count), _COUNTED)
     held = counted.groupBy("host", "slot", "text", "other", "chars").agg(F.sum("n").alias("n"))
     texts = common.scratch(held.groupBy("host", "slot", "text").agg(F.max("chars").alias("chars"), F.sum("n").alias("n"), F.count("*").alias("others")), "slot-texts")
     recurs = (F.col("n") >= LEAST_PAGES) & (F.col("others") >= DIFFERING * F.col("n"))
@@ -531,4 +533,4 @@ def extract(pages: DataFrame, by_name: bool = True, id_col: str = "page_id", url
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     key = F.xxhash64(F.lit("host"), host)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("host"))
-    return _with_references(rows, induce(rows.select("host", "html"))).mapInArrow(_extract(by_name), "page_id long, url string, text string, n_chars long")
+    return _with_references(rows, induce(rows.select("host", "html"))).mapInArrow(common.resting(_extract(by_name)), "page_id long, url string, text string, n_chars long")

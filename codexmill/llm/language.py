@@ -119,7 +119,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     What comes to the driver, and goes out with the tasks, is that bounded table. No rows: no languages.
     """
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counted = rows.where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(_count, "lang string, bucket int, n long")
+    counted = rows.where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(common.resting(_count), "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     place = {x: i for i, x in enumerate(languages)}
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(known & (score < AMBIGUOUS))], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(common.resting(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
                     rows = rows.set_column(at, rows.schema.field(at), pc.coalesce(rows.column(at), names))
                 yield rows.filter(known)
 
-    return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(run, docs.schema)
+    return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(common.resting(run), docs.schema)

@@ -361,7 +361,7 @@ def _candidate_groups(classes: DataFrame, keep: dict[int, int]) -> DataFrame:
     bins = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_ROWS))
     kept = banded.join(sizes, "key").groupBy("class").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
     with_signatures = kept.join(classes.select("class", "signature"), "class")
-    rows = with_signatures.mapInArrow(_shorten, "class binary, keys array<struct<key: bigint, n: bigint>>, short binary").select("class", "short", F.inline("keys"))
+    rows = with_signatures.mapInArrow(common.resting(_shorten), "class binary, keys array<struct<key: bigint, n: bigint>>, short binary").select("class", "short", F.inline("keys"))
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")).drop("n")
     return _connected(rows, _siever(keep), bins, _finer).select(F.col("node").alias("class"), "root")
 
@@ -372,7 +372,7 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
         raise ValueError("the bands find pairs of a similarity of 0.8 or more")
     h1, h2 = common.text_hashes(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("binary").alias("text"))
-    signed = common.scratch(source.mapInArrow(_sign, _ROW + ", n_shingles long, class binary, signature binary"), "signatures")
+    signed = common.scratch(source.mapInArrow(common.resting(_sign), _ROW + ", n_shingles long, class binary, signature binary"), "signatures")
     one = F.min(F.struct("h1", "h2"))
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(one.alias("h"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = common.scratch(classes, "classes")
@@ -386,7 +386,7 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
     wanted = F.broadcast(members) if members.count() * 80 <= BROADCAST_BYTES else members
     # copies of a text meet in the partial aggregate, before anything is shuffled
     texts = source.drop("doc_id").join(wanted, ["h1", "h2"]).groupBy("class", "key", "blocks").agg(F.min("text").alias("text"))
-    loaded = texts.mapInArrow(_load, "class binary, key binary, blocks int, signature binary, shingles binary")
+    loaded = texts.mapInArrow(common.resting(_load), "class binary, key binary, blocks int, signature binary, shingles binary")
     linked = common.scratch(_connected(loaded, _verifier(percent, keep)), "linked")
     return signed.drop("signature").join(linked, signed["class"] == linked["node"], "left").drop("node").withColumn("root", F.coalesce("root", "class"))
 

@@ -68,7 +68,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, largest: int = 2048, with
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return source.mapInArrow(common.resting(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

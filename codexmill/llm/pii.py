@@ -196,7 +196,7 @@ def detect(docs: DataFrame, redacted: bool = False, id_col: str = "doc_id", text
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_run(redacted), schema + ", redacted string" * redacted)
+    return source.mapInArrow(common.resting(_run(redacted)), schema + ", redacted string" * redacted)
 
 
 def _redact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,4 +211,4 @@ def _redact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with the spans of one text column replaced by their kinds."""
     renamed = docs.withColumn("__text", F.col(text_col)).drop(text_col)
-    return renamed.mapInArrow(_redact_rows, renamed.schema).withColumnRenamed("__text", text_col).select(docs.columns)
+    return renamed.mapInArrow(common.resting(_redact_rows), renamed.schema).withColumnRenamed("__text", text_col).select(docs.columns)

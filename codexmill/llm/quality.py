@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     sample = chosen.where(drawn < int(share * (1 << 30)) + 1).orderBy(drawn, "doc_id").limit(rows)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     texts = source.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    found = common.scratch(texts.mapInArrow(_features, "doc_id long, label int, features array<int>"), "features")
+    found = common.scratch(texts.mapInArrow(common.resting(_features), "doc_id long, label int, features array<int>"), "features")
     upto = F.sum(F.size("features")).over(Window.orderBy(drawn, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of `rows` rows at most
     kept = found.select("doc_id", "features").withColumn("upto", upto).where(F.col("upto") <= SAMPLE_FEATURES).select("doc_id")
     table = found.join(F.broadcast(kept), "doc_id").toArrow().sort_by("doc_id")
@@ -208,4 +208,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(found))], ["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double")
+    return source.mapInArrow(common.resting(run), "doc_id long, score double")

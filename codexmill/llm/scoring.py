@@ -232,10 +232,10 @@ class Model:
 
     def __init__(self, docs: DataFrame, text_col: str = "text"):
         rows = docs.select(F.col(text_col).cast("binary").alias("text"))
-        words = rows.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+        words = rows.mapInArrow(common.resting(_count_words), "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
         self.words = common.scratch(words.where("c > 0"), "words")
         self.total, self.different = (x or 0 for x in self.words.agg(F.sum("c"), F.count("*")).first())
-        runs = rows.mapInArrow(_count_runs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        runs = rows.mapInArrow(common.resting(_count_runs), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         self.nodes = tree(runs)
 
     def frequent(self) -> tuple[int, dict[bytes, int]]:
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     least, frequent = model.frequent()
     words = spark.sparkContext.broadcast(frequent)
     slices = [spark.sparkContext.broadcast(part) for part in _slices(model.nodes)]
-    scored = common.scratch(rows.mapInArrow(_score(words, slices, model.total, model.different), _DOC), "scored")
+    scored = common.scratch(rows.mapInArrow(common.resting(_score(words, slices, model.total, model.different)), _DOC), "scored")
     for shared in (words, *slices):
         shared.unpersist()
     rare = scored.where("token IS NOT NULL").select("rid", "token", "n")

@@ -50,7 +50,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = sized.repartitionByRange(*order).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, pos long, n_tokens long, ids array<int>")
+    rows = dealt.mapInArrow(common.resting(_encode(tokenizer, end_id)), "doc_id long, pos long, n_tokens long, ids array<int>")
     (
         rows.withColumn("part", F.spark_partition_id())
         .write.option("orc.stripe.size", str(STRIPE_BYTES))
@@ -88,7 +88,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     sum over parts (as many rows as parts); within a part, which the range exchange has bounded,
     a window sums in order.
     """
-    digest = read(spark, path).select("part", "doc_id", "pos", "ids").mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long, pos long")
+    digest = read(spark, path).select("part", "doc_id", "pos", "ids").mapInArrow(common.resting(_digest), "part int, doc_id long, n_tokens long, ids_crc32 long, pos long")
     rows = common.scratch(digest, "digests")  # read twice, so that the files are read once
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
