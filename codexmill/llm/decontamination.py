@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a window, and bytes of text and documents to a segment (a single longer document makes a longer one).
-WINDOW, SEGMENT_BYTES, SEGMENT_DOCS = 13, 24 << 20, 1 << 16
+WINDOW, SEGMENT_BYTES, SEGMENT_DOCS = 13, 8 << 20, 1 << 16
 #: Bytes of test text that are matched in one pass; more make more passes. Their windows take some hundred times as much.
 BLOCK_BYTES = 512 << 10
 

@@ -10,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose pieces are told apart at a time, and pieces that are put together at a time.
-SLICE_BYTES, GATHER_PIECES = 4 << 20, 1 << 18
+SLICE_BYTES, GATHER_PIECES = 2 << 20, 1 << 17
 #: Words whose ids a worker remembers; when there are more, those of the slice at hand stay.
 KNOWN_WORDS = 400_000
+#: Pieces to a call of the library, which takes some hundred bytes for a token; eight times as many words.
+CALL_PIECES = 2048
 #: What may end a piece and be encoded apart from the letters before it.
 _MARKS = ",.;:!?"
 #: A word of letters below U+0530 (Latin, Greek, Cyrillic), which are letters in any version of Unicode.
@@ -78,9 +80,12 @@ class PieceEncoder:
 
     def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some pieces as the library gives them, and how many each has."""
-        found = [x.ids for x in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(pieces), CALL_PIECES):
+            found = [np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch_fast(pieces[a : a + CALL_PIECES], add_special_tokens=False)]
+            ids += found
+            counts.append(np.array([len(x) for x in found], np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids that are known, and where those of some different words of letters lie among them and how many they are."""
@@ -98,8 +103,12 @@ class PieceEncoder:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same of words of letters, some with a space before them."""
-        if not len(words):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        found += [self._joined(words.slice(a, 8 * CALL_PIECES)) for a in range(0, len(words), 8 * CALL_PIECES)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same in one call, of which each word's ids are told apart by the lengths of their spelling."""
         spelled = "\n".join(words.to_pylist()).encode().decode("latin-1").translate(self._spelling)
         ids = np.array(self._letters.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.uint32)
         sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
