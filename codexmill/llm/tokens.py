@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose pieces are told apart at a time, and pieces that are put together at a time.
-SLICE_BYTES, GATHER_PIECES = 2 << 20, 1 << 17
+SLICE_BYTES, GATHER_PIECES = 6 << 20, 1 << 17
 #: Words whose ids a worker remembers; when there are more, those of the slice at hand stay.
 KNOWN_WORDS = 400_000
 #: Pieces to a call of the library, which takes some hundred bytes for a token; eight times as many words.
@@ -82,9 +83,9 @@ class PieceEncoder:
         """All ids of some pieces as the library gives them, and how many each has."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for a in range(0, len(pieces), CALL_PIECES):
-            found = [np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch_fast(pieces[a : a + CALL_PIECES], add_special_tokens=False)]
-            ids += found
+            found = [x.ids for x in self._tokenizer.encode_batch_fast(pieces[a : a + CALL_PIECES], add_special_tokens=False)]
             counts.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate(counts)
 
     def _remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
