@@ -38,6 +38,12 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that scratch_path named, with its folder, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text as one file, through the store of its path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
