@@ -259,14 +259,14 @@ SELECT * FROM (VALUES
  ('vault.rs', 'vault.hidden', 8, 8, 'vault', 'private', '', '', '', 't: T', 'open'),
  ('list.cpp', '_cpp.size', 5, 5, 'CppModule', 'public', 'int', '', 'static|inline|const', 'const std::vector<int>& v', 'count'),
  ('list.cpp', '_cpp.run', 6, 6, 'CppModule', 'public', 'void', '', 'virtual|override', '', 'go'),
- ('list.cpp', '_cpp.first', 9, 12, 'CppModule', 'public', 'int *', '', '', 'int a|char b', 'pick'),
+ ('list.cpp', '_cpp.first', 9, 12, 'CppModule', 'public', 'int', '', '', 'int a|char b', 'pick'),
  ('coin.move', 'coin.mint', 2, 2, 'coin', 'public', 'u64', '', '', 'to: address|n: u64', 'vault.store|check'),
  ('coin.move', 'coin.checks', 4, 4, 'coin', 'private', 'bool', '', '', '', 'check'),
  ('coin.move', 'coin.hash', 5, 5, 'coin', 'public', 'u8', '', 'native', 'x: u8', ''),
  ('main.go', '_go.Serve', 3, 6, 'GoPackage', 'public', 'error', '', '', 'port int', 'listen'),
  ('main.go', '_go.listen', 8, 8, 'GoPackage', 'private', 'error', '', '', 'port int', ''),
- ('tool.py', 'tool.Tool.make', 8, 9, 'tool.Tool', 'public', '', '', 'staticmethod', 'name: str|n', 'os.path.join|str'),
- ('tool.py', 'tool.Tool._run', 11, 15, 'tool.Tool', 'private', '', '', 'async', 'self', 'self.make|inner'),
+ ('tool.py', 'tool.Tool.make', 8, 9, 'tool.Tool', 'public', '', '', '@staticmethod', 'name: str|n=1', 'os.path.join|str'),
+ ('tool.py', 'tool.Tool._run', 11, 15, 'tool.Tool', 'private', '', '', 'async', '', 'self.make|inner'),
  ('tool.py', 'tool.Tool.inner', 12, 13, 'tool.Tool', 'public', '', '', '', 'x', 'self.make'),
  ('tool.py', 'tool.__main__', 18, 19, 'tool', 'magic', 'int', '', '', '', 'Tool.make("a").size|Tool.make')
 ) v(file, name, start_line, end_line, contract_name, visibility, return_type, docstring, modifiers, parameters, calls)"""

@@ -260,7 +260,7 @@ def test_parser_details():
     put = parser.parse("t.sol", SOURCES["t.sol"][0])[0]
     assert (put["parameters"], put["return_type"], put["modifiers"], put["contract_name"]) == (["uint a", "uint b"], "bool", ["payable", "onlyOwner"], "Bank")
     top = parser.parse("p.py", SOURCES["p.py"][0])[0]
-    assert (top["line_number"], top["modifiers"], top["parameters"]) == (2, ["dec", "async"], ["a", "b: int"])
+    assert (top["line_number"], top["modifiers"], top["parameters"]) == (2, ["async", "@dec"], ["a", "b: int"])
     assert parser.parse("x.py", "def broken(") == [] and parser.parse("x.txt", "function f() {}") == []
 
 
