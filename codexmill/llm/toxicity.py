@@ -10,6 +10,7 @@ lexicon of other rows, and the calibration from margins of trees that haven't se
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,9 +42,8 @@ _WORDS = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"(?=[^\W\d_]*[\d@$!|€+*#_.\-])[^\W\d_][^\s,;:()\"']*[^\W\d_]|[\d@$!|€+]+[^\W\d_][^\s,;:()\"']*[^\W\d_]")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\w)")
-_SIGNS = re.compile(r"[^\w\s]")
 _SHOUTS = re.compile(r"[!?]{2,}")
-_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_SIGNS, _CAPITALS = string.punctuation, string.ascii_uppercase.encode()
 
 FEATURES = (
     "words", "word_hits", "word_density", "word_kinds", "word_weight", "start_hits", "start_density", "start_kinds", "start_weight", "disguised_hits", "disguised_density",
@@ -83,6 +83,18 @@ def lexicon(entries: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: i
     return Lexicon({entries[i][1:]: float(ratio[i]) for i in words}, {entries[i]: float(ratio[i]) for i in starts})
 
 
+@dataclass(frozen=True)
+class Word:
+    """What a word adds to a text's features: its ratios as a word and as a beginning, 0 if the lexicon lacks them."""
+
+    own: float
+    start: float
+    you: bool
+    number: bool
+    stretched: bool
+    disguised: bool
+
+
 class Measure:
     """Features of texts by a lexicon; remembers what words are, up to a bound."""
 
@@ -90,60 +102,51 @@ class Measure:
 
     def __init__(self, entries: Lexicon) -> None:
         self.words, self.starts = entries.words, entries.starts
-        self.known: dict[str, tuple[float, float] | None] = {}
+        self.known: dict[str, Word | None] = {}
 
-    def _value(self, word: str) -> tuple[float, float] | None:
-        """Ratio as a word and as a beginning, 0 where it isn't in the lexicon; None if both are."""
+    def _word(self, word: str) -> Word | None:
+        """None if the word adds nothing."""
         start = max((self.starts.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
         own = self.words.get(word, 0.0)
-        value = (own, start) if own or start else None
-        if len(self.known) >= self.REMEMBERED:
-            self.known.clear()
-        self.known[word] = value
-        return value
+        stretched = _STRETCHED.search(word) is not None
+        found = Word(own, start, word in SECOND_PERSON, word.isdigit(), stretched, stretched and not own and _STRETCHED.sub(r"\1", word) in self.words)
+        return found if own or start or found.you or found.number or stretched else None
 
     def features(self, text: str) -> list[float]:
-        lowered = text.lower()
+        lowered, raw = text.lower(), text.encode()
         words = _WORDS.findall(lowered)
         n = len(words)
         if not n:
             return [0.0] * FEATURES.index("least_distance") + [100.0] + [0.0] * (len(FEATURES) - FEATURES.index("least_distance") - 1)
-        missing, known = object(), self.known
-        hits, you = [], []
-        for i, word in enumerate(words):
-            value = known.get(word, missing)
-            if value is missing:
-                value = self._value(word)
-            if value is not None:
-                hits.append((i, word, value))
-            if word in SECOND_PERSON:
-                you.append(i)
-        own = [(i, w, v[0]) for i, w, v in hits if v[0]]
-        start = [(i, w, v[1]) for i, w, v in hits if v[1]]
-        mixed = _MIXED.findall(lowered)
-        spaced = _SPACED.findall(lowered)
-        disguised = 0
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        for word in set(words).difference(self.known):
+            self.known[word] = self._word(word)
+        told = [(i, v) for i, v in enumerate(map(self.known.__getitem__, words)) if v is not None]
+        own = [(i, v.own) for i, v in told if v.own]
+        start = [(i, v.start) for i, v in told if v.start]
+        you = [i for i, v in told if v.you]
+        stretched, disguised = sum(v.stretched for _, v in told), sum(v.disguised for _, v in told)
+        mixed = [x for x in (x.strip(_SIGNS) for x in lowered.split() if not x.isalpha()) if x and not x.isalpha() and _MIXED.search(x)]
         for found in mixed:
             bare = "".join(_WORDS.findall(found.translate(DISGUISES)))
             disguised += bare in self.words and found not in self.words
-        stretched = sum(1 for _ in _STRETCHED.finditer(lowered))
-        if stretched:
-            disguised += sum(_STRETCHED.sub(r"\1", w) in self.words for w in words if w not in self.words and _STRETCHED.search(w))
+        spaced = _SPACED.findall(lowered) if sum(map((1).__eq__, map(len, words))) > 2 else []
         disguised += sum("".join(_WORDS.findall(x)) in self.words for x in spaced)
         near, least = 0.0, 100.0
-        if you and hits:
-            places = np.array(you)
-            at = np.array([i for i, _, _ in hits])
+        if you and (own or start):
+            places, at = np.array(you), np.array(sorted({i for i, _ in own} | {i for i, _ in start}))
             right = np.searchsorted(places, at)
             gaps = np.minimum(np.abs(places[np.minimum(right, len(places) - 1)] - at), np.abs(places[np.maximum(right - 1, 0)] - at))
             near, least = float((1 / (1 + gaps)).sum()), float(min(100, gaps.min()))
-        size, plain = len(text), words
-        capitals = len(_CAPITALS.findall(text))
+        size = len(raw)
+        capitals = size - len(raw.translate(None, _CAPITALS))
         shouted = sum(w.isupper() and len(w) > 1 for w in _WORDS.findall(text)) if capitals * 4 > n else 0
+        kinds = [len({words[i] for i, _ in x}) for x in (own, start)]
         return [
-            np.log1p(n), np.log1p(len(own)), len(own) / n, len({w for _, w, _ in own}), sum(x for _, _, x in own) / n, np.log1p(len(start)), len(start) / n, len({w for _, w, _ in start}), sum(x for _, _, x in start) / n,
-            np.log1p(disguised), disguised / n, len(you) / n, near, least, capitals / size, shouted / n, len(_SIGNS.findall(text)) / size, text.count("!") / size, text.count("?") / size,
-            sum(1 for _ in _SHOUTS.finditer(text)) / n, len(mixed) / n, stretched / n, len(spaced) / n, sum(map(str.isdigit, words)) / n, sum(map(str.__eq__, plain, plain[1:])) / n,
+            np.log1p(n), np.log1p(len(own)), len(own) / n, kinds[0], sum(x for _, x in own) / n, np.log1p(len(start)), len(start) / n, kinds[1], sum(x for _, x in start) / n, np.log1p(disguised), disguised / n,
+            len(you) / n, near, least, capitals / size, shouted / n, (size - len(raw.translate(None, _SIGNS.encode()))) / size, raw.count(b"!") / size, raw.count(b"?") / size,
+            sum(1 for _ in _SHOUTS.finditer(text)) / n, len(mixed) / n, stretched / n, len(spaced) / n, sum(v.number for _, v in told) / n, sum(map(str.__eq__, words, words[1:])) / n,
         ]
 
 
