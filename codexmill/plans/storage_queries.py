@@ -13,118 +13,22 @@ from codexmill.plans import frames
 from codexmill.plans.index import Engine, report
 from codexmill.plans.oracle import CODE
 from codexmill.services import HashEmbedder, embed_column
-from codexmill.sources import project, store
-from codexmill.sources.scratch import scratch, scratch_path, write_text
-from codexmill.streaming import incremental
+from codexmill.sources import store
+from codexmill.sources.scratch import scratch, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: A file of each language, and some that aren't parsed.
-SOURCES = {
-    "bank.sol": """pragma solidity ^0.8.0;
-// function hidden() public {}
-contract Bank {
-    function put(uint a, uint b) public payable returns (uint) {
-        ledger.log(a);
-        return add(a, b);
-    }
-    function add(uint a, uint b) internal pure returns (uint) { return a + b; }
-    function open_() external;
-}
-function free(uint z) view { string memory s = "call(me)"; }
-""",
-    "src/vault.rs": """use std::fs;
-pub fn open(path: &str, depth: u8) -> Result<u8, String> {
-    /* close(1) */
-    let v = instructions::load(path);
-    fs::util::read(v)
-}
-pub(crate) async fn close(v: u8) { drop(v) }
-fn hidden<T>(t: T) where T: Clone { open("a(b)", 1); }
-""",
-    "src/list.cpp": """#include <vector>
-#define SIZE(a) a
-class List {
-public:
-    static inline int size(const std::vector<int>& v) const { return count(v); }
-    virtual void run() override { go(1); ns::skip(2); }
-    int declared(int a);
-};
-int *first(int a, char b) {
-    if (a) { return pick("g(1)", b); }
-    return 0;
-}
-""",
-    "coin.move": """module 0x1::coin {
-    public fun mint(to: address, n: u64): u64 { vault::store(to); check(n) }
-    #[test]
-    fun checks(): bool { check(1) }
-    native fun hash(x: u8): u8;
-}
-""",
-    "srv/main.go": """package main
-
-func Serve(port int) error {
-	fmt.Println("x(")
-	return listen(port)
-}
-
-func listen(port int) error { return nil }
-
-func (s *Server) Method() {}
-""",
-    "app/tool.py": """import os
-
-
-class Tool:
-    \"\"\"A tool.\"\"\"
-
-    @staticmethod
-    def make(name: str, n=1):
-        return os.path.join(name, str(n))
-
-    async def _run(self):
-        def inner(x):
-            return self.make(x)
-
-        return await inner(1)
-
-
-def __main__() -> int:
-    return Tool.make("a").size()
-""",
-    "bad.py": "def broken(:\n",
-    "readme.md": "def not_parsed(): pass\n",
-    "test.t.sol": "contract T { function test() public {} }\n",
-    ".git/hooks.py": "def hook(): pass\n",
-}
-
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
 
 
-def write_sources(spark: SparkSession) -> str:
-    """The files of SOURCES below a fresh folder of the shared one."""
-    root = scratch_path(spark, "sources")
-    for name, text in SOURCES.items():
-        write_text(spark, f"{root}/{name}", text)
-    return root
-
-
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     functions = scratch(frames.functions_with_calls(spark, sf_dir), "functions")
     return functions, *graph.build(functions)
 
 
-@query
-def project_files(spark, sf_dir):
-    """The files of the project of six languages, without those of .git."""
-    files = project.list_files(spark, write_sources(spark))
-    return files.select(T.base_name(F.col("path")).alias("name"), "size", T.is_parsed(F.col("path")).alias("parsed"))
-
-
 @query
 def file_texts(spark, sf_dir):
     """Documents as files in three encodings, read back; what isn't valid is left out."""
@@ -133,36 +37,6 @@ def file_texts(spark, sf_dir):
     return spoilt.select("doc_id", T.decode_lenient(F.col("utf8")).alias("a"), T.decode_lenient(F.col("utf16"), "utf-16").alias("b"), F.length(T.decode_lenient(F.encode("text", "utf-8"), "latin1")).alias("n"))
 
 
-@query
-def project_languages(spark, sf_dir):
-    return project.project_languages(project.list_files(spark, write_sources(spark)))
-
-
-def _records(functions: DataFrame) -> DataFrame:
-    return functions.select(
-        T.base_name(F.col("file_path")).alias("file"), "name", "start_line", "end_line", "contract_name", "visibility", "return_type", F.coalesce("docstring", F.lit("")).alias("docstring"),
-        *(F.array_join(c, "|").alias(c) for c in ("modifiers", "parameters", "calls")),
-    )
-
-
-@query
-def source_functions(spark, sf_dir):
-    """The functions of the project of six languages, in order of seq."""
-    found = project.extract(spark, write_sources(spark))
-    # the files' folder has a name of its own each time, so the order is that of the files' names
-    return _records(found).withColumn("seq_grows", F.lit(found.select("seq").distinct().count() == found.count()))
-
-
-@query
-def stream_functions(spark, sf_dir):
-    """The same by the stream, which takes each new file once; run twice."""
-    root, out, checkpoint = write_sources(spark), scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
-    for _ in range(2):
-        incremental.append_functions(spark, root, out, checkpoint).awaitTermination()
-    found = spark.read.parquet(out)
-    return _records(found.where(~F.contains("file_path", F.lit("/.git/"))))
-
-
 @query
 def node_link_roundtrip(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
@@ -248,29 +122,6 @@ def builder_info(spark, sf_dir):
     return spark.createDataFrame([(info["type"], k, v) for k, v in info["features"].items()], "type string, feature string, offered boolean")
 
 
-_FUNCTIONS = """
-SELECT * FROM (VALUES
- ('bank.sol', 'Bank.put', 4, 7, 'Bank', 'public', 'uint', '', 'payable', 'uint a|uint b', 'log|add'),
- ('bank.sol', 'Bank.add', 8, 8, 'Bank', 'internal', 'uint', '', 'pure', 'uint a|uint b', ''),
- ('bank.sol', 'Bank.open_', 9, 9, 'Bank', 'external', '', '', '', '', ''),
- ('bank.sol', 'free', 11, 11, '', 'public', '', '', 'view', 'uint z', ''),
- ('vault.rs', 'vault.open', 2, 6, 'vault', 'public', 'Result<u8, String>', '', '', 'path: &str|depth: u8', 'load.load|util.read'),
- ('vault.rs', 'vault.close', 7, 7, 'vault', 'public', '', '', 'async|pub(crate)', 'v: u8', 'drop'),
- ('vault.rs', 'vault.hidden', 8, 8, 'vault', 'private', '', '', '', 't: T', 'open'),
- ('list.cpp', '_cpp.size', 5, 5, 'CppModule', 'public', 'int', '', 'static|inline|const', 'const std::vector<int>& v', 'count'),
- ('list.cpp', '_cpp.run', 6, 6, 'CppModule', 'public', 'void', '', 'virtual|override', '', 'go'),
- ('list.cpp', '_cpp.first', 9, 12, 'CppModule', 'public', 'int', '', '', 'int a|char b', 'pick'),
- ('coin.move', 'coin.mint', 2, 2, 'coin', 'public', 'u64', '', '', 'to: address|n: u64', 'vault.store|check'),
- ('coin.move', 'coin.checks', 4, 4, 'coin', 'private', 'bool', '', '', '', 'check'),
- ('coin.move', 'coin.hash', 5, 5, 'coin', 'public', 'u8', '', 'native', 'x: u8', ''),
- ('main.go', '_go.Serve', 3, 6, 'GoPackage', 'public', 'error', '', '', 'port int', 'listen'),
- ('main.go', '_go.listen', 8, 8, 'GoPackage', 'private', 'error', '', '', 'port int', ''),
- ('tool.py', 'tool.Tool.make', 8, 9, 'tool.Tool', 'public', '', '', '@staticmethod', 'name: str|n=1', 'os.path.join|str'),
- ('tool.py', 'tool.Tool._run', 11, 15, 'tool.Tool', 'private', '', '', 'async', '', 'self.make|inner'),
- ('tool.py', 'tool.Tool.inner', 12, 13, 'tool.Tool', 'public', '', '', '', 'x', 'self.make'),
- ('tool.py', 'tool.__main__', 18, 19, 'tool', 'magic', 'int', '', '', '', 'Tool.make("a").size|Tool.make')
-) v(file, name, start_line, end_line, contract_name, visibility, return_type, docstring, modifiers, parameters, calls)"""
-
 _LEVELS = """
 , named AS (SELECT edge.src, edge.dst, edge.o FROM edge WHERE dst NOT LIKE 'External:%'),
 s AS (SELECT id AS k, seq AS o FROM fn WHERE seq < 2),
@@ -280,11 +131,7 @@ x2 AS (SELECT k, arg_min(rel, place) AS rel FROM (SELECT e.dst AS k, 'CALLS' AS
 SELECT x.k AS node_id, rel AS relationship, 'body of ' || short AS code FROM (SELECT k, rel FROM x1 UNION ALL SELECT k, rel FROM x2) x JOIN fn ON fn.id = x.k"""
 
 SQL: dict[str, str] = {
-    "project_files": "SELECT * FROM (VALUES " + ", ".join(f"('{name.split('/')[-1]}', {len(text.encode())}, {str(name.split('.', 1)[-1] in ('sol', 'rs', 'cpp', 'move', 'go', 'py')).lower()})" for name, text in SOURCES.items() if ".git" not in name) + ") v(name, size, parsed)",
     "file_texts": "SELECT doc_id, coalesce(text, '') AS a, coalesce(text, '') AS b, CAST(strlen(coalesce(text, '')) AS INTEGER) AS n FROM documents",
-    "project_languages": "SELECT * FROM (VALUES ('solidity', 2), ('rust', 1), ('cpp', 1), ('move', 1), ('go', 1), ('python', 2)) v(language, n)",
-    "source_functions": f"SELECT *, true AS seq_grows FROM ({_FUNCTIONS})",
-    "stream_functions": _FUNCTIONS,
     "node_link_roundtrip": CODE + """SELECT 'node' AS kind, node_id AS a, type AS b, name FROM node UNION ALL SELECT 'link', src, dst, relation FROM link""",
     "chunks_json_roundtrip": CODE + "SELECT path AS file_path, name AS function_name, node_id, defined_in, calls, called_by, code, '' AS chunk_id, CAST(0 AS INTEGER) AS chunk_order FROM en",
     "functions_json_roundtrip": CODE + "SELECT seq, name, 'body of ' || short AS content, path AS file_path, CAST(seq AS INTEGER) AS line_number, 'view|virtual' AS modifiers, CAST((SELECT count(*) FROM calls WHERE calls.src = fn.seq) AS INTEGER) AS n_calls, CAST(NULL AS VARCHAR) AS signature FROM fn",

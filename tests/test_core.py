@@ -275,7 +275,7 @@ def test_parser_never_raises(text, path):
 
 def test_node_link_round_trip(spark, project, tmp_path):
     nodes, edges = graph.build(project)
-    (tmp_path / "g.json").write_text(store.node_link_document(nodes, edges))
+    store.write_node_link_document(nodes, edges, str(tmp_path / "g.json"))
     n, e = store.read_node_link(spark, str(tmp_path / "g.json"))
     assert sorted(map(str, n.select(sorted(n.columns)).collect())) == sorted(map(str, nodes.select(sorted(n.columns)).collect())) and e.count() == edges.count()
     assert set(json.loads((tmp_path / "g.json").read_text())) >= {"nodes", "links"}
