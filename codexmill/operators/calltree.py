@@ -72,19 +72,34 @@ def leaves(functions: DataFrame, pairs: DataFrame) -> DataFrame:
     return functions.join(pairs.select(F.col("caller").alias("name")), "name", "left_anti")
 
 
-def call_trees(roots: DataFrame, pairs: DataFrame, max_depth: int | None = None, direction: str = "downstream") -> DataFrame:
+class PathExplosion(Exception):
+    """A graph has more simple paths than wanted: `depth` calls long ones would be up to `paths` together with all shorter ones."""
+
+    def __init__(self, depth: int, paths: int):
+        super().__init__(f"up to {paths} paths at a depth of {depth}; give a depth, or look at cycles()")
+        self.depth, self.paths = depth, paths
+
+
+def call_trees(roots: DataFrame, pairs: DataFrame, max_depth: int | None = None, direction: str = "downstream", most_paths: int = 1_000_000_000) -> DataFrame:
     """root, depth, path: every simple path from the roots (name), of at most `max_depth` calls if that is given.
 
-    Each level is one join. Without a depth, levels are written until one is empty, which the simple paths of a
-    graph with many cycles may take long to reach.
+    Each level is one join. Without a depth, levels are written until one is empty. The simple paths of a graph with many cycles
+    explode: the next level's size is known from the ends of this one's paths before it is written, and if all levels
+    would have more than `most_paths`, PathExplosion tells so. No path is ever left out.
     """
     a, b = ("caller", "callee") if direction == "downstream" else ("callee", "caller")
     steps = pairs.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
     steps = steps if max_depth is not None else scratch(steps, "steps")
     level = roots.select(F.col("name").alias("root"), F.lit(0).alias("depth"), F.array("name").alias("path"))
-    out, depth = level, 0
+    out, depth, total = level, 0, 0
+    degree = steps.groupBy("at").agg(F.count("*").alias("n"))
     while max_depth is None or depth < max_depth:
         depth += 1
+        if max_depth is None:
+            ends = level.groupBy(F.element_at("path", -1).alias("at")).agg(F.count("*").alias("paths"))
+            total += ends.join(degree, "at").agg(F.coalesce(F.sum(F.col("paths") * F.col("n")), F.lit(0))).first()[0]
+            if total > most_paths:
+                raise PathExplosion(depth, total)
         level = level.withColumn("at", F.element_at("path", -1)).join(steps, "at").where(~F.array_contains("path", F.col("next"))).select("root", F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path"))
         if max_depth is None:
             level = scratch(level, "paths")
@@ -94,6 +109,53 @@ def call_trees(roots: DataFrame, pairs: DataFrame, max_depth: int | None = None,
     return out
 
 
+def cycles(pairs: DataFrame) -> DataFrame:
+    """name, component: the functions that call each other in a circle, with the least name of those that all reach one another.
+
+    Forward and backward colouring: what no cycle can hold is trimmed off; each function takes the least name that reaches it;
+    from the functions that keep their own name, those of their colour that reach them are their component. Components are
+    taken out and the rest goes on. Every step is a join of tables in the shared folder; the driver sees only counts.
+    """
+    steps = scratch(pairs.where("caller <> callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(), "steps")
+    found = pairs.sparkSession.createDataFrame([], "name string, component string")
+    while True:
+        steps = _trimmed(steps)
+        if steps.isEmpty():
+            return found
+        colours = scratch(steps.select(F.col("src").alias("name")).distinct().withColumn("colour", F.col("name")), "colours")
+        while True:
+            given = steps.join(colours.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.min("colour").alias("given"))
+            next_ = scratch(colours.join(given, "name").select("name", F.least("colour", "given").alias("colour"), (F.col("given") < F.col("colour")).alias("moved")), "colours")
+            moved, colours = not next_.where("moved").isEmpty(), next_.drop("moved")
+            if not moved:
+                break
+        ends = steps.join(colours.select(F.col("name").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("name").alias("dst"), "colour"), "dst").where("c = colour").select("src", "dst", "colour")
+        ends = scratch(ends, "coloured")
+        front = members = scratch(colours.where("name = colour"), "members")
+        while not front.isEmpty():
+            back = ends.join(front.select(F.col("name").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("name"), "colour").distinct()
+            front = scratch(back.join(members, ["name", "colour"], "left_anti"), "front")
+            members = members.union(front)
+        members = scratch(members, "members")
+        # a function alone in its colour is in no cycle
+        large = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        found = found.union(members.join(large, "colour").select("name", F.col("colour").alias("component")))
+        gone = members.select("name")
+        steps = scratch(steps.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti"), "steps")
+
+
+def _trimmed(steps: DataFrame) -> DataFrame:
+    """Steps between functions that call something and are called; the rest goes until none does."""
+    n = steps.count()
+    while n:
+        steps = scratch(steps.join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "steps")
+        left = steps.count()
+        if left == n:
+            break
+        n = left
+    return steps
+
+
 def nested(rows: list, root: str) -> dict:
     """One root's paths, collected, as a nested tree of name and children."""
     tree: dict = {"name": root, "children": []}

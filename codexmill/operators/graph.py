@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
-from codexmill.sources.scratch import shared_dir
+from codexmill.sources.scratch import scratch
 
 
 def file_id(path: Column) -> Column:
@@ -137,6 +137,24 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))
 
 
+def _ends_of_paths(rows: DataFrame, path: str, name: str, short: str | Column, line: str, found: bool) -> DataFrame:
+    """kind, line, key by which records meet nodes: 3 path and name, 4 path and short name, 5 the file in its folder and short name, 6 the file and
+    short name where a node has no folder, 7 the same where a record has none.
+
+    Nodes (`found`) are gathered to the first of each key, as m, so a record meets at most one node of each kind and none
+    that shares only its line.
+    """
+    at, short = F.col(path), F.col(short) if isinstance(short, str) else short
+    folder, named = F.instr(at, "/") > 0, at != ""
+    key = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.to_json(F.array(*parts)).alias("key"))
+    keys = [
+        key(3, at, F.col(name)), key(4, at, short), F.when(named & folder, key(5, T.path_suffix(at), short)),
+        F.when(named & (~folder if found else folder), key(6, T.base_name(at), short)), F.when(named if found else named & ~folder, key(7, T.base_name(at), short)),
+    ]
+    out = rows.where(at.isNotNull() & F.col(name).isNotNull()).select(*(["node_id", "n_seq"] if found else ["func_id"]), F.col(line).alias("line"), F.explode(F.array_compact(F.array(*keys))).alias("k")).select("*", "k.kind", "k.key").drop("k")
+    return out.groupBy("kind", "line", "key").agg(F.min(F.struct("n_seq", "node_id")).alias("m")) if found else out
+
+
 def match_nodes(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """func_id, node_id, strategy for records (func_id, path, name, line) against function nodes (node_id, file_path, name, line_number, seq).
 
@@ -156,11 +174,9 @@ def match_nodes(records: DataFrame, nodes: DataFrame) -> DataFrame:
         )).alias("t"),
     )
     by_id = tries.join(n, tries["t.id"] == n["node_id"]).select("func_id", F.col("t.s").alias("s"), "node_id", "n_seq")
-    on_line = r.join(n, r["line"] == n["n_line"])
-    same_path, tail = F.col("path") == F.col("n_path"), T.same_path_end(F.col("path"), F.col("n_path"))
-    n_short = T.short_name(F.col("n_name"))
-    rank = F.when(same_path & (F.col("name") == F.col("n_name")), 3).when(same_path & (F.col("short") == n_short), 4).when(tail & ((F.col("n_name") == F.col("name")) | (n_short == F.col("short"))), 6)
-    by_line = on_line.select("func_id", rank.alias("s"), "node_id", "n_seq").where("s IS NOT NULL")
+    by_line = _ends_of_paths(r, "path", "name", "short", "line", found=False).join(
+        _ends_of_paths(n, "n_path", "n_name", T.short_name(F.col("n_name")), "n_line", found=True), ["kind", "line", "key"]
+    ).select("func_id", F.when(F.col("kind") < 5, F.col("kind")).otherwise(6).alias("s"), "m.node_id", F.col("m.n_seq").alias("n_seq"))
     best = by_id.unionByName(by_line).groupBy("func_id").agg(F.min(F.struct("s", "n_seq", "node_id")).alias("b"))
     return best.select("func_id", "b.node_id", F.col("b.s").alias("strategy"))
 
@@ -196,9 +212,11 @@ def enrich(functions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     """
     f = with_ids(functions)
     known = nodes.select("node_id", F.lit(True).alias("known"))
+    # only callers of what is enriched are gathered, so not those of external names
+    inner = edges.where(~F.startswith("dst", F.lit("External:"))).join(f.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi")
     out = (
         f.join(known, "node_id", "left").join(parent_scopes(nodes, edges), "node_id", "left")
-        .join(callees(nodes, edges).withColumnRenamed("names", "out"), "node_id", "left").join(callers(nodes, edges).withColumnRenamed("names", "inn"), "node_id", "left")
+        .join(callees(nodes, edges).withColumnRenamed("names", "out"), "node_id", "left").join(callers(nodes, inner).withColumnRenamed("names", "inn"), "node_id", "left")
     )
     none = F.array().cast("array<string>")
     return out.select(
@@ -332,9 +350,8 @@ def expand_to_depth(edges: DataFrame, seeds: DataFrame, depth: int = 1, exclude:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder, so that plans don't grow with the levels."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Written to the shared folder, so that plans don't grow with the levels; deleted with the session."""
+    return scratch(df, "level")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -195,9 +195,9 @@ SELECT conv_id, 'Question: ' || conv_id || chr(10) || coalesce(x, '') AS answer
 SELECT k AS node_id, arg_min(rel, place) AS relationship FROM (SELECT dst AS k, 'CALLS' AS rel, [s.o, 0, edge.o] AS place FROM edge JOIN s ON edge.src = s.k UNION ALL SELECT src, 'CALLED_BY', [s.o, 1, edge.o] FROM edge JOIN s ON edge.dst = s.k)
 WHERE k NOT LIKE 'External:%' AND k NOT IN (SELECT k FROM s) GROUP BY k""",
     "expand_levels": f"""
-WITH one AS (SELECT x.k, relationship, place, {_CONTENT} AS content FROM ({_expanded("(VALUES (7, 1)) s(k, o)")}) x JOIN part ON p_partkey = x.k WHERE {_CONTENT} IS NOT NULL),
+WITH one AS (SELECT x.k, relationship, place, {_CONTENT} AS content FROM ({_expanded("(VALUES (0, 0), (7, 1), (42, 2)) s(k, o)")}) x JOIN part ON p_partkey = x.k WHERE {_CONTENT} IS NOT NULL),
 ranked AS (SELECT k, row_number() OVER (ORDER BY place) AS o FROM one),
-two AS (SELECT x.k, relationship, {_CONTENT} AS content FROM ({_expanded("ranked s")}) x JOIN part ON p_partkey = x.k WHERE {_CONTENT} IS NOT NULL AND x.k <> 7)
+two AS (SELECT x.k, relationship, {_CONTENT} AS content FROM ({_expanded("ranked s")}) x JOIN part ON p_partkey = x.k WHERE {_CONTENT} IS NOT NULL AND x.k NOT IN (0, 7, 42))
 SELECT CAST(k AS VARCHAR) AS node_id, relationship, content, CAST(1 AS INTEGER) AS depth FROM one UNION ALL SELECT CAST(k AS VARCHAR), relationship, content, CAST(2 AS INTEGER) FROM two""",
     "call_resolution": CODE + "SELECT call_id, target_id, strategy FROM r",
     "node_match": CODE
@@ -247,15 +247,16 @@ WITH RECURSIVE e AS ({_TRADES}), t(root, depth, node, path) AS (
   SELECT name, 0, name, [name] FROM ({_TRADERS}) UNION ALL SELECT root, depth + 1, callee, list_append(path, callee) FROM t JOIN e ON caller = node WHERE NOT list_contains(path, callee))
 SELECT root, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM t""",
     "call_tree_paths_up": f"""
-WITH e AS ({_TRADES}), s AS (SELECT 's' || s_suppkey AS root FROM supplier)
-SELECT root, CAST(0 AS INTEGER) AS depth, root AS path FROM s UNION ALL SELECT root, CAST(1 AS INTEGER), root || '>' || caller FROM s JOIN e ON callee = root""",
+WITH RECURSIVE e AS ({_TRADES}), t(root, depth, node, path) AS (
+  SELECT name, 0, name, [name] FROM ({_TRADERS}) UNION ALL SELECT root, depth + 1, caller, list_append(path, caller) FROM t JOIN e ON callee = node WHERE NOT list_contains(path, caller))
+SELECT root, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM t""",
     "dependency_graph": f"""
 WITH RECURSIVE e AS ({_TRADES}),
 d(node, depth) AS (SELECT 'p0', 0 UNION SELECT callee, depth + 1 FROM d JOIN e ON caller = node WHERE depth < 2), u(node, depth) AS (SELECT 'p0', 0 UNION SELECT caller, depth + 1 FROM u JOIN e ON callee = node WHERE depth < 2)
 SELECT 'downstream' AS direction, node AS name, CAST(min(depth) AS INTEGER) AS depth FROM d WHERE depth > 0 GROUP BY node
 UNION ALL SELECT 'upstream', node, CAST(min(depth) AS INTEGER) FROM u WHERE depth > 0 GROUP BY node""",
     "function_names": CODE + "SELECT DISTINCT name FROM fn",
-    "functions_of_contract": CODE + "SELECT seq, name FROM fn WHERE class = 'FRANCE'",
+    "functions_of_contract": CODE + "SELECT seq, name FROM fn WHERE class = (SELECT min(class) FROM fn)",
     "function_by_name": CODE + "SELECT min(seq) AS seq, name FROM fn WHERE name = (SELECT name FROM fn WHERE seq = 2) GROUP BY name",
     "call_graph_stats": f"""
 WITH e AS (SELECT src, dst, p_type, CASE WHEN length(CAST(src AS VARCHAR)) = length(CAST(dst AS VARCHAR)) THEN 'same' ELSE 'other' END AS ct FROM ({_EDGES}) JOIN part ON p_partkey = src)

@@ -308,7 +308,7 @@ def expand_external(spark, sf_dir):
 @query
 def expand_levels(spark, sf_dir):
     """Two levels with content; parts without content are neither returned nor passed through."""
-    found = graph.expand_levels(_stored_calls(spark, sf_dir), _seeds(spark).where("seed_seq = 1"), 2, *_part_contents(spark, sf_dir))
+    found = graph.expand_levels(_stored_calls(spark, sf_dir), _seeds(spark), 2, *_part_contents(spark, sf_dir))
     return found.select("node_id", "relationship", "content", "depth")
 
 
@@ -391,9 +391,8 @@ def call_tree_paths(spark, sf_dir):
 
 @query
 def call_tree_paths_up(spark, sf_dir):
-    """The same against the calls, for the suppliers."""
-    roots = frames.traders(spark, sf_dir).where("startswith(name, 's')")
-    paths = calltree.call_trees(roots, frames.trades(spark, sf_dir), max_depth=1, direction="upstream")
+    """The same against the calls, from every customer, part and supplier."""
+    paths = calltree.call_trees(frames.traders(spark, sf_dir), frames.trades(spark, sf_dir), direction="upstream")
     return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -409,7 +408,9 @@ def function_names(spark, sf_dir):
 
 @query
 def functions_of_contract(spark, sf_dir):
-    return calltree.of_contract(frames.functions(spark, sf_dir), "FRANCE").select("seq", "name")
+    """Those of the contract whose name comes first."""
+    f = frames.functions(spark, sf_dir)
+    return calltree.of_contract(f, f.agg(F.min(F.nullif("contract_name", F.lit("")))).first()[0]).select("seq", "name")
 
 
 @query

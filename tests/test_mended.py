@@ -12,7 +12,7 @@ from codexmill import cli, config, errors, schema, services
 from codexmill.functions import text as T
 from codexmill.operators import calltree, chunking, graph
 from codexmill.plans.index import Engine
-from codexmill.plans.storage_queries import SOURCES
+from codexmill.plans.source_queries import FUNCTIONS, SHAPES
 from codexmill.sources import project, scratch, store
 from codexmill.sources.parser import parse
 
@@ -98,7 +98,7 @@ def test_vectors_are_worked_out_once(spark, tmp_path):
     assert kept.load("vectors").count() == 7 and seen.value == 7
     with pytest.raises(errors.StorageError):
         kept.save_vectors(rows.withColumn("node_id", F.lit("")))
-    assert kept.load("vectors").count() == 7 and [x.name for x in tmp_path.iterdir()] == ["vectors.parquet"]
+    assert kept.load("vectors").count() == 7 and len(list((tmp_path / "data").iterdir())) == 1
 
 
 def test_json_of_chunks_with_defaults(spark, tmp_path):
@@ -173,17 +173,17 @@ def test_filters_of_records(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     root = tmp_path / "project"
-    for name, text in SOURCES.items():
-        (root / name).parent.mkdir(parents=True, exist_ok=True)
-        (root / name).write_text(text)
+    root.mkdir()
+    for ending, text in SHAPES.items():
+        (root / f"d1.{ending}").write_text(text.replace("<id>", "1"))
     index = str(tmp_path / "index")
-    assert cli.main(["index", str(root), "--index", index]) == 0 and "functions=19" in capsys.readouterr().out
+    assert cli.main(["index", str(root), "--index", index]) == 0 and f"functions={len(FUNCTIONS)}" in capsys.readouterr().out
     assert cli.main(["query", "where is mint?", "--index", index, "--report", str(tmp_path / "r.md")]) == 0 and "## Matches" in (tmp_path / "r.md").read_text()
     assert cli.main(["graph", str(root), "--json", str(tmp_path / "g" / "g.json")]) == 0
     assert json.loads((tmp_path / "g" / "g.json").read_text())["directed"]
     capsys.readouterr()
     assert cli.main(["audit", str(root), "--csv", str(tmp_path / "csv")]) == 0 and "Call graph (" in capsys.readouterr().out
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 19
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == len(FUNCTIONS)
 
 
 def test_services_over_http():
