@@ -213,8 +213,9 @@ def _step(books: Codebooks, moved: list[np.ndarray] | None, final: bool):
                                 sums[slot + 1 + d] = sums.get(slot + 1 + d, 0) + x
                 yield _state(part, code, upper, lower, [x if x <= LONGEST else None for x in error.tolist()])
             kinds = [batch.schema.field(x).type for x in ("vec_id", "label", "vector")]
-        if sums:
-            yield _sums([(slot, limb, piece) for slot, total in sums.items() for limb, piece in _limbs(total)], kinds)
+        rows = [(slot, limb, piece) for slot, total in sums.items() for limb, piece in _limbs(total)]
+        if rows:
+            yield _sums(rows, kinds)
 
     return run
 
