@@ -83,6 +83,11 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: flo
     return out
 
 
+def sums(first: np.ndarray, second: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The summed distances of cells."""
+    return first[cells // len(second)] + second[cells % len(second)]
+
+
 def _scaled(rows: np.ndarray) -> np.ndarray:
     """Rows times powers of two, which changes no digit, such that squares neither overflow nor vanish."""
     return np.ldexp(rows, -np.frexp(np.abs(rows).max(1))[1][:, None])
@@ -186,20 +191,22 @@ def _reach(model, counts):
 
 
 def _probe(model, counts, regions, wanted: float):
+    """Queries with each region that they visit and the radius up to which its cells are visited, whatever their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region_of = regions.value[0]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, region, cells = [], [], []
+            at, region, radius = [], [], []
             for i, row in enumerate(_matrix(batch.column("vector"), model.value.width)):
-                visited = np.sort(np.array(visit(*model.value.distances(row), counts.value, wanted), np.int32))
-                cuts = np.flatnonzero(np.diff(region_of[visited], prepend=-1))
-                for part in np.split(visited, cuts[1:]):
-                    at.append(i)
-                    region.append(int(region_of[part[0]]))
-                    cells.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(at)), batch.column("vector").take(pa.array(at)), pa.array(region, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["name", "vector", "region", "cells"])
+                first, second = model.value.distances(row)
+                visited = np.array(visit(first, second, counts.value, wanted), np.int64)
+                met = np.unique(region_of[visited])
+                at += [i] * len(met)
+                region.append(met)
+                radius += [float(sums(first, second, visited).max())] * len(met)
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(at)), batch.column("vector").take(pa.array(at)), pa.array(np.concatenate(region).astype(np.int32)), pa.array(radius)], ["name", "vector", "region", "radius"])
 
     return run
 
@@ -217,7 +224,15 @@ def _deal(regions):
     return run
 
 
-def _group(width: int, k: int):
+def _group(model, k: int):
+    """The k best entries of a group for each of its queries, by exact cosine and then by their smallest id.
+
+    The first pass is a product of matrices, whose last digits are those of another formula: every entry whose value may
+    reach the k-th, by the error that such sums can have, is scored exactly, however many are equal.
+    """
+    width = model.value.width
+    error = 8 * (width + 8) * np.finfo(np.float64).eps
+
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"name": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
         if not entries.num_rows or not queries.num_rows:
@@ -225,17 +240,20 @@ def _group(width: int, k: int):
         asked, rows = (_matrix(x.column("vector").combine_chunks(), width) for x in (queries, entries))
         cells, local = np.unique(entries.column("cell").to_numpy(), return_inverse=True)
         near = _unit(asked) @ _unit(rows).T
-        lists = queries.column("cells").combine_chunks()
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        wanted = lists.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
-        held = cells[at] == wanted
-        visited = np.zeros((len(lists), len(cells)), bool)
-        visited[owner[held], at[held]] = True
+        radius = queries.column("radius").to_numpy()
+        visited = np.stack([sums(*model.value.distances(q), cells) <= r for q, r in zip(asked, radius, strict=True)])
         near[~visited[:, local]] = -np.inf
-        best = _best(near, k + 4)  # a few more than wanted, as the last digits are those of another formula
+        ids = entries.column("ids").combine_chunks()
+        smallest = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+        best, score = [], []
+        for q, row in zip(asked, near, strict=True):
+            last = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+            likely = np.flatnonzero((row >= last - error) & (row > -np.inf))
+            exact = cosines(q, rows[likely])
+            order = np.lexsort((smallest[likely], -exact))[:k]
+            best.append(likely[order])
+            score.append(exact[order])
         which = np.concatenate(best).astype(np.int64)
-        score = [cosines(q, rows[b]) for q, b in zip(asked, best, strict=True) if len(b)]
         names = queries.column("name").take(pa.array(np.repeat(np.arange(len(best)), [len(b) for b in best])))
         return pa.table({"name": names, "ids": entries.column("ids").take(pa.array(which)), "score": pa.array(np.concatenate(score) if score else np.zeros(0))})
 
@@ -287,7 +305,7 @@ class Index:
         """query_id, rank, vec_id, score of the rows that ask."""
         asking = common.scratch(self.entered.where("asks").select("id", "name").distinct(), "asking")
         queries = self.entries.join(asking.select("name").distinct(), "name").select("name", "vector")
-        probes = common.scratch(queries.mapInArrow(_probe(self.model, self.counts, self.regions, self.wanted), "name binary, vector array<double>, region int, cells array<int>"), "probes")
+        probes = common.scratch(queries.mapInArrow(_probe(self.model, self.counts, self.regions, self.wanted), "name binary, vector array<double>, region int, radius double"), "probes")
         crowds = probes.groupBy("region").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("crowds"))
         parts = self.regions.value[1]
         most = int(parts.max())
@@ -300,7 +318,7 @@ class Index:
         entries = self.entries.mapInArrow(_deal(self.regions), "name binary, cell int, ids array<long>, vector array<double>, region int, part int")
         entries = entries.join(crowds, "region").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds", "name")
         keys = ("region", "part", "crowd")
-        found = entries.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_group(self.width, self.k + 1), "name binary, ids array<long>, score double")
+        found = entries.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_group(self.model, self.k + 1), "name binary, ids array<long>, score double")
         best = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
         listed = found.select("name", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= self.k + 1)
         mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
