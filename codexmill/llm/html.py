@@ -2,11 +2,15 @@
 
 A page's tree is made of slots: an element, or a run of siblings of one label that stand for a list (paragraphs,
 items, inline marks, elements of equal shape), so that lists of different lengths align. Pages of one host are
-aligned with one of them, the host's reference, by simple tree matching; what it lacks is a slot by its path.
-Over all pages of the host a slot is template if most of its text recurs on pages that differ otherwise (menus,
-footers, adverts that rotate), and so is a text that stands in a slot on most pages that have it (notices, lines
-to share). Slots whose texts vary are content. A page's text is that of its article, or main part, or body,
-without template, and without the elements that HTML itself defines as no content.
+aligned with one of them, the host's reference, by simple tree matching; what it lacks is a slot by its path. A slot
+goes by its path of labels on all hosts, so hosts of one layout tell each other what their slots are.
+
+Over all pages a slot is template if its texts recur on pages that differ otherwise (menus, footers, adverts that rotate),
+as often as the draws from a pool of texts would that are repeated at the rate seen: so few pages and many are judged alike.
+On a host, a text is template that stands in a slot on most pages that have it (notices, lines to share). Slots
+whose texts vary are content. A page's text is that of its body without template, and without the elements that HTML
+itself defines as no content. Where too few pages are there to tell a varying slot from a rotating one, and only there, it
+counts whether the slot is in an article or main part that holds the page's text.
 """
 
 from __future__ import annotations
@@ -25,10 +29,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A text recurs if at least so many pages have it in a slot, and among them so many, as a share, differ in their longest other text.
-LEAST_PAGES, DIFFERING = 4, 0.6
-#: A slot is template if this share of its characters recurs; a recurring text if this share of the slot's pages has it.
-RECURRING, SAME_SHARE = 0.5, 0.8
+#: A text recurs if of the pairs of pages that have it in a slot so many, as a share, differ in their longest other texts.
+DIFFERING = 0.6
+#: A slot is template if this share of its characters recurs, at least, and this share of what a pool of texts would show.
+LEAST_SHARE, RECURRING = 0.3, 0.8
+#: A recurring text is template on a host if this share of the slot's pages has it, unless more than COPIED of the slot recurs there, as with copies.
+SAME_SHARE, COPIED = 0.8, 0.4
+#: Of so many pages' texts 0.3 or more would recur if they were drawn from a pool of up to 800: a slot whose texts don't is told to vary.
+TOLD_PAGES = 300
+#: Undecided text outside of an article or main part goes if that holds at least this part of it.
+REGION_PART = 0.05
 #: References are broadcast up to this size, and joined by host beyond it.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,13 +55,12 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = frozenset("ul ol dl table body html div section article main nav footer aside header form blockquote select".split())
 LISTED = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 blockquote pre figure hr br wbr a b i u s q em strong small span sub sup code abbr cite time mark img input label font".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar comment".split())
-COMMENT_NAMES = frozenset("comment comments commentlist comment-list disqus_thread".split())
+COMMENT_NAMES = re.compile(r"(?<![a-z])(?:comment|comments|commentlist|disqus|respond)(?![a-z])")
 
 _TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?")
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
-_PART = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
@@ -82,7 +91,7 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in BOILERPLATE_ROLES:
             return True
-        if name in ("class", "id") and not COMMENT_NAMES.isdisjoint(value.split()):
+        if name in ("class", "id") and COMMENT_NAMES.search(value):
             return True
     return False
 
@@ -339,28 +348,38 @@ def align(a: Slot, b: Slot, memo: dict | None = None) -> list[tuple[Slot, Slot]]
     return out
 
 
-def _regions(root: Node) -> list[Node]:
-    """The outermost articles that aren't boilerplate, else main parts, else all."""
+def _outside(root: Node, muted: set[int], told: set[int]) -> set[int]:
+    """Of the elements that hold text those outside of the page's articles, or main parts, and not told to vary.
+
+    Articles or main parts count, whichever hold more text; none if they hold less than REGION_PART of what is
+    untold outside of them. Text that is muted or boilerplate by its name counts nowhere.
+    """
+    best: tuple[int, set[int]] = (0, set())
     for tag in ("article", "main"):
-        found, stack = [], [root]
+        inside, untold, out = 0, 0, set()
+        stack = [(root, False)]
         while stack:
-            x = stack.pop()
+            x, within = stack.pop()
             if x.dropped:
                 continue
-            if x.tag == tag:
-                found.append(x)
-            else:
-                stack += reversed(x.elements)
-        if found:
-            return found
-    return [root]
+            within = within or x.tag == tag
+            size = len(own_text(x)) if id(x) not in muted else 0
+            if within:
+                inside += size
+            elif size and id(x) not in told:
+                untold += size
+                out.add(id(x))
+            stack += [(k, within) for k in x.elements]
+        if inside > best[0] and inside >= REGION_PART * untold:
+            best = inside, out
+    return best[1]
 
 
 def text_of(root: Node, template: frozenset[int] | set[int] = frozenset(), by_name: bool = True) -> str:
     """The main text: blocks in page order joined by a line feed.
 
     template: ids of elements whose own text is left out. Without by_name only scripts, styles and their like are
-    left out besides, and the whole page counts.
+    left out besides.
     """
     blocks: list[str] = []
     words: list[str] = []
@@ -371,28 +390,27 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset(), by_na
             blocks.append(line)
         words.clear()
 
-    for region in _regions(root) if by_name else [root]:
-        stack: list[tuple] = [(region, False)]
-        while stack:
-            x, ends = stack.pop()
-            if type(x) is str:
-                words.append(x)
-                continue
-            if ends:
-                end_block()
-                continue
-            if x.dropped if by_name else x.tag in RAW:
-                if x.tag in BLOCK:  # what goes still parts what stands before it from what follows
-                    end_block()
-                continue
-            if x.tag in BLOCK:
+    stack: list[tuple] = [(root, False)]
+    while stack:
+        x, ends = stack.pop()
+        if type(x) is str:
+            words.append(x)
+            continue
+        if ends:
+            end_block()
+            continue
+        if x.dropped if by_name else x.tag in RAW:
+            if x.tag in BLOCK:  # what goes still parts what stands before it from what follows
                 end_block()
-                stack.append((x, True))
-            elif x.tag in ("td", "th"):
-                words.append(" ")
-            muted = id(x) in template
-            stack += [(k, False) for k in reversed(x.kids) if not (muted and type(k) is str)]
-        end_block()
+            continue
+        if x.tag in BLOCK:
+            end_block()
+            stack.append((x, True))
+        elif x.tag in ("td", "th"):
+            words.append(" ")
+        muted = id(x) in template
+        stack += [(k, False) for k in reversed(x.kids) if not (muted and type(k) is str)]
+    end_block()
     return "\n".join(blocks)
 
 
@@ -401,40 +419,54 @@ def _key(text: str) -> int:
 
 
 class Reference:
-    """A host's reference page: its slots by number, and which slots and which texts in them are template."""
+    """A host's reference page: the paths of its slots, which slots and which texts in them are template, and which slots vary."""
 
-    def __init__(self, html: str, slots: list[int] | None = None, texts: list[dict] | None = None):
+    def __init__(self, html: str, slots: list[int] | None = None, texts: list[dict] | None = None, told: list[int] | None = None):
         self.html, self.top = html, slots_of(parse(html))
-        self.number = {id(x): i for i, x in enumerate(walk_slots(self.top))}
-        self.slots = frozenset(slots or ())
+        self.paths: dict[int, int] = {}
+        stack = [(self.top, 0)]
+        while stack:
+            x, above = stack.pop()
+            self.paths[id(x)] = path = _below(above, x)
+            stack += [(k, path) for k in x.kids]
+        self.slots, self.told = frozenset(slots or ()), frozenset(told or ())
         self.texts = frozenset((x["slot"], x["text"]) for x in texts or ())
         self.mixed = frozenset(x for x, _ in self.texts)
 
     def place(self, tree: Node) -> Iterator[tuple[Node, int]]:
-        """The elements of a page that hold text, each with its slot: the reference's by number, else one by path."""
+        """The elements of a page that hold text, each with its slot: the path of what it is aligned with in the reference, else its own."""
         top = slots_of(tree)
-        aligned = {id(y): self.number[id(x)] for x, y in align(self.top, top)}
+        aligned = {id(y): self.paths[id(x)] for x, y in align(self.top, top)}
         stack = [(top, 0)]
         while stack:
             x, above = stack.pop()
             if x.nodes[0].tag in RAW:
                 continue
-            path = xxhash.xxh3_64_intdigest(x.label, seed=above)
-            held = [n for n in x.nodes if own_text(n)]
-            if held:
-                slot = aligned[id(x)] if id(x) in aligned else path - (1 << 63)
-                for n in held:
-                    yield n, slot
+            path = aligned[id(x)] if id(x) in aligned else _below(above, x)
+            for n in x.nodes:
+                if own_text(n):
+                    yield n, path
             stack += [(k, path) for k in x.kids]
 
-    def extract(self, html: str | None, by_name: bool = True) -> str:
+    def extract(self, html: str | None, name: str = "", by_name: bool = True) -> str:
+        """The text of a page of the host of this name."""
         tree = parse(html or "")
-        out: set[int] = set()
-        if self.slots or self.texts:
-            out = {id(n) for n, slot in self.place(tree) if slot in self.slots or slot in self.mixed and (slot, _key(own_text(n))) in self.texts}
+        placed = list(self.place(tree))
+        out = {id(n) for n, slot in placed if slot in self.slots or slot in self.mixed and (slot, _key(_masked(own_text(n), name))) in self.texts}
+        if by_name:
+            out |= _outside(tree, out, {id(n) for n, slot in placed if slot in self.told})
         return text_of(tree, out, by_name)
 
 
+def _below(path: int, slot: Slot) -> int:
+    return xxhash.xxh3_64_intdigest(slot.label, seed=path & (1 << 64) - 1) - (1 << 63)
+
+
+def _masked(text: str, name: str) -> str:
+    """A text without its host's name, which footers of one kind differ in."""
+    return text.replace(name, "\0") if name else text
+
+
 class _References:
     """The latest hosts' references; a worker keeps few at a time, and reads them once from the rows that carry them."""
 
@@ -446,7 +478,7 @@ class _References:
         if host not in self.kept:
             if len(self.kept) >= self.most:
                 self.kept.clear()
-            html, *template = (batch.column(k)[i].as_py() for k in ("reference", "slots", "texts") if k in batch.schema.names)
+            html, *template = (batch.column(k)[i].as_py() for k in ("reference", "slots", "texts", "told") if k in batch.schema.names)
             self.kept[host] = Reference(html or "", *template)
         return self.kept[host]
 
@@ -455,19 +487,25 @@ _COUNTED = "host long, slot long, text long, other long, chars int, n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages by host, slot, text, and the longest text beside it; and by host and slot alone."""
+    """Pages by host, slot, text, and what tells the page beside it; and by host and slot alone.
+
+    A page is told by its longest other text or the second longest, whichever has the smaller hash, so that near copies
+    of a page mostly count as that page.
+    """
     references, counts = _References(), Counter()
     for batch in batches:
-        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+        for i, (host, name, html) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("host", "name", "html")), strict=True)):
             if not html:
                 continue
             placed = [(slot, own_text(n)) for n, slot in references.get(batch, i, host).place(parse(html))]
             if not placed:
                 continue
-            longest = sorted({t for _, t in placed}, key=lambda t: (-len(t), t))[:2]
-            keys = [_key(t) for t in longest] + [0]
+            longest = sorted({t for _, t in placed}, key=lambda t: (-len(t), t))[:3]
+            keys = {t: _key(t) for t in longest}
+            whole = min(list(keys.values())[:2])
             for slot, text in set(placed):
-                counts[host, slot, _key(text), keys[1] if text == longest[0] else keys[0], len(text)] += 1
+                other = min([keys[t] for t in longest if t != text][:2], default=0) if text in keys else whole
+                counts[host, slot, _key(_masked(text, name or "")), other, len(text)] += 1
             for slot in {slot for slot, _ in placed}:
                 counts[host, slot, None, None, None] += 1
             if len(counts) > 100_000:
@@ -486,51 +524,80 @@ def _extract(by_name: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = _References()
         for batch in batches:
-            rows = enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True))
-            texts = [references.get(batch, i, host).extract(x, by_name) for i, (host, x) in rows]
+            rows = enumerate(zip(*(batch.column(x).to_pylist() for x in ("host", "name", "html")), strict=True))
+            texts = [references.get(batch, i, host).extract(x, name or "", by_name) for i, (host, name, x) in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
+def _by_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same by names alone, without any wrapper."""
+    for batch in batches:
+        texts = [text_of(parse(x or "")) for x in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _repeated(counted: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, chars and recurs of each text: whether pairs of the pages that have it differ otherwise for DIFFERING of them."""
+    by_other = counted.where("text IS NOT NULL").groupBy(*keys, "text", "other").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    n, same = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    return by_other.groupBy(*keys, "text").agg(n.alias("n"), F.max("chars").alias("chars"), ((n > 1) & (n * n - same >= DIFFERING * n * (n - 1))).alias("recurs"))
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """A row per host: host, reference (html), slots (template slots), texts (template texts: slot, text).
+    """A row per host: host, reference (html), slots (template slots), texts (template texts: slot, text), told (slots that vary).
 
-    Takes rows of host (a number), html. The reference is the host's page with the smallest hash. Texts go by their
-    hashes, summed in each task before the shuffle. Pages that are copies of one another agree in their longest
-    other text too, so what they share doesn't recur and stays content.
+    Takes rows of host (a number), name, html. The reference is the host's page with the smallest hash. Texts go by their
+    hashes, the host's name masked, summed in each task before the shuffle. Pages that are copies of one another agree in their
+    longest other texts too, so what they share doesn't recur and stays content.
     """
     refs = pages.where("html IS NOT NULL").groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("m")).select("host", F.col("m.html").alias("reference"))
     refs = common.scratch(refs, "references")
     counted = _with_references(pages, refs).mapInArrow(common.resting(_count), _COUNTED)
-    held = counted.groupBy("host", "slot", "text", "other", "chars").agg(F.sum("n").alias("n"))
-    texts = common.scratch(held.groupBy("host", "slot", "text").agg(F.max("chars").alias("chars"), F.sum("n").alias("n"), F.count("*").alias("others")), "slot-texts")
-    recurs = (F.col("n") >= LEAST_PAGES) & (F.col("others") >= DIFFERING * F.col("n"))
-    weight = F.col("n") * F.col("chars")
-    totals = texts.groupBy("host", "slot").agg(F.max(F.when(F.col("text").isNull(), F.col("n"))).alias("pages"), F.sum(weight).alias("all"), F.coalesce(F.sum(F.when(recurs & F.col("text").isNotNull(), weight)), F.lit(0)).alias("recurring"))
-    judged = texts.where(recurs & F.col("text").isNotNull()).join(totals, ["host", "slot"])
-    whole = F.col("recurring") >= RECURRING * F.col("all")
-    template = judged.where(whole | (F.col("n") >= SAME_SHARE * F.col("pages"))).groupBy("host").agg(
-        F.sort_array(F.collect_set(F.when(whole, F.col("slot")))).alias("slots"), F.sort_array(F.collect_list(F.when(~whole, F.struct("slot", "text")))).alias("texts")
-    )
+    counted = common.scratch(counted.groupBy("host", "slot", "text", "other").agg(F.max("chars").alias("chars"), F.sum("n").alias("n")), "slot-texts")
+    held = counted.where("text IS NULL").select("host", "slot", F.col("n").alias("pages"))
+    # how much of a slot recurs over all hosts, and how much would if its texts were drawn from a pool that repeats them at this rate
+    weight, pairs = F.col("n") * F.col("chars"), F.col("n") * F.col("chars") * (F.col("n") - 1)
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("recurs"), x)), F.lit(0))
+    slots = _repeated(counted, "slot").groupBy("slot").agg(F.sum(weight).alias("all"), of(weight).alias("recurring"), of(pairs).alias("pairs"))
+    slots = slots.join(held.groupBy("slot").agg(F.sum("pages").alias("pages")), "slot")
+    share, rate = F.col("recurring") / F.col("all"), F.col("pairs") / (F.col("all") * F.greatest(F.col("pages") - 1, F.lit(1)))
+    expected = 1 - F.pow(F.greatest(1 - rate, F.lit(0.0)), F.col("pages") - 1)
+    judged = slots.select("slot", ((share >= LEAST_SHARE) & (share >= RECURRING * expected)).alias("whole"), (F.col("pages") >= TOLD_PAGES).alias("told"))
+    # a host's texts in slots that vary
+    own = _repeated(counted, "host", "slot")
+    mine = own.groupBy("host", "slot").agg((of(weight) <= COPIED * F.sum(weight)).alias("varied"))
+    placed = held.join(judged, "slot").join(mine, ["host", "slot"])
+    texts = own.where("recurs").join(placed.where("NOT whole AND varied"), ["host", "slot"]).where(F.col("n") >= SAME_SHARE * F.col("pages"))
+    none = F.lit(None).cast("struct<slot: bigint, text: bigint>")
+    both = placed.where("whole OR told").select("host", "slot", "whole", none.alias("text")).unionByName(texts.select("host", "slot", F.lit(None).cast("boolean").alias("whole"), F.struct("slot", "text").alias("text")))
+    template = both.groupBy("host").agg(
+        F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("slot")))).alias("slots"), F.sort_array(F.collect_list("text")).alias("texts"), F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("slot")))).alias("told")
+    )
     return common.scratch(refs.join(template, "host", "left"), "wrappers")
 
 
 def _with_references(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    size = refs.agg(F.sum(F.length("reference") + F.lit(64))).first()[0] or 0
+    """Pages beside their host's row, which is broadcast if all of them are small: html in bytes, lists by their elements."""
+    lists = sum((F.coalesce(F.size(x), F.lit(0)) * bytes_ for x, bytes_ in (("slots", 16), ("texts", 32), ("told", 16)) if x in refs.columns), F.lit(64))
+    size = refs.agg(F.sum(F.coalesce(F.octet_length("reference"), F.lit(0)).cast("long") + lists)).first()[0] or 0
     return pages.join(F.broadcast(refs) if size <= BROADCAST_BYTES else refs, "host", "left")
 
 
-def extract(pages: DataFrame, by_name: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, by_name: bool = True, wrapper: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     The host is the url's between // and the next /, ?, # or port, lower-cased; null urls form a group of
     their own. Null and empty html give an empty text; repeated rows are each extracted; an empty table
     gives no rows. Pages are shuffled only when the hosts' references are too large to broadcast. Without
-    by_name the induced wrapper alone decides. Matching takes time by the product of the numbers of different
-    shapes that two pages' lists of unlike siblings have.
+    by_name the induced wrapper alone decides; without wrapper HTML's own names do. Matching takes time by the product of
+    the numbers of different shapes that two pages' lists of unlike siblings have.
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     key = F.xxhash64(F.lit("host"), host)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("host"))
-    return _with_references(rows, induce(rows.select("host", "html"))).mapInArrow(common.resting(_extract(by_name)), "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("host"), host.alias("name"))
+    schema = "page_id long, url string, text string, n_chars long"
+    if not wrapper:
+        return rows.mapInArrow(common.resting(_by_hosts), schema)
+    return _with_references(rows, induce(rows.select("host", "name", "html"))).mapInArrow(common.resting(_extract(by_name)), schema)
