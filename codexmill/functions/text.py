@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import codecs
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,14 +138,37 @@ def paragraph_count(text: Column) -> Column:
     return F.size(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n\n"))
 
 
+_SPARK_ENCODINGS = frozenset("iso-8859-1 utf-16 utf-16be utf-16le utf-32".split())
+
+
+def _known(encoding: str) -> bool:
+    try:
+        return codecs.lookup(encoding)._is_text_encoding
+    except (LookupError, ValueError):
+        return False
+
+
+def _by_codec(content: Column, encoding: str) -> Column:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda x: None if x is None else bytes(x).decode(encoding, "ignore"))
+
+    return F.pandas_udf(run, "string")(content)
+
+
 def decode_lenient(content: Column, encoding: str = "utf-8") -> Column:
-    """Bytes as text without what isn't valid in the encoding (utf-8, us-ascii, iso-8859-1, utf-16, utf-16be, utf-16le or utf-32)."""
+    """Bytes as text without what isn't valid in the encoding; an encoding that nobody knows gives way to utf-8.
+
+    utf-8, us-ascii, iso-8859-1 and those of 16 and 32 bits are Spark's own; others, as gbk and cp1252, are decoded by Python in Arrow batches.
+    """
     name = {"latin1": "iso-8859-1", "latin-1": "iso-8859-1", "ascii": "us-ascii", "utf8": "utf-8"}.get(encoding.lower(), encoding.lower())
     if name == "utf-8":
         return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
     if name == "us-ascii":
         # ISO-8859-1 maps each byte to the character of its number, so none is lost before the filter
         return F.regexp_replace(F.decode(content, "iso-8859-1"), r"[^\x00-\x7f]", "")
+    if name not in _SPARK_ENCODINGS:
+        return _by_codec(content, name) if _known(name) else decode_lenient(content)
     if name in ("utf-16", "utf-16be", "utf-16le"):
         content = F.substring(content, F.lit(1), (F.octet_length(content) - F.octet_length(content) % 2).cast("int"))  # half a unit at the end
     return F.try_validate_utf8(F.decode(content, name))

@@ -182,7 +182,7 @@ def dependency_graph(target: str, functions: DataFrame, pairs: DataFrame, max_de
 
 def builder_info() -> dict:
     """What the call-tree builder offers."""
-    return {"type": "relational", "advanced_available": True, "features": {"basic_call_trees": True, "dependency_graph": True, "visualization": False, "mermaid_export": False}}
+    return {"type": "relational", "advanced_available": False, "features": {"basic_call_trees": True, "dependency_graph": True, "visualization": False, "mermaid_export": False}}
 
 
 def names(functions: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ SELECT substr(sha256(path), 1, 16) || '_chunk_' || chunk_order AS chunk_id, chun
 SELECT substr(sha256(path), 1, 16) || '_chunk_' || chunk_order AS chunk_id, path AS original_file, chunk_order, chunk_size, substr(chunk_text, 1, 200) AS preview
 FROM ({_WORD_CHUNKS}) JOIN (SELECT doc_id, source || '/' || doc_id || '.' || lang AS path FROM documents) USING (doc_id) ORDER BY path, chunk_order LIMIT 3""",
     "presets": """
-SELECT * FROM (VALUES ('default', 'word', 800, 200, 1000, 10.0::DOUBLE, 0, 6, false), ('code_project', 'word', 1000, 250, 1000, 20.0, 0, 36, false), ('long_text', 'passage', 8, 3, 500, 200.0, 12, 3, true), ('academic', 'passage', 6, 2, 1000, 100.0, 6, 6, true),
+SELECT *, CASE WHEN n_included > 0 THEN 0 ELSE (SELECT count(*) FROM documents WHERE strlen(text) <= max_mb * 1048576) END AS n_files FROM (VALUES ('default', 'word', 800, 200, 1000, 10.0::DOUBLE, 0, 6, false), ('code_project', 'word', 1000, 250, 1000, 20.0, 0, 36, false), ('long_text', 'passage', 8, 3, 500, 200.0, 12, 3, true), ('academic', 'passage', 6, 2, 1000, 100.0, 6, 6, true),
  ('tech_docs', 'passage', 5, 2, 1000, 50.0, 5, 3, true), ('precise', 'sentence', 3, 1, 1000, 10.0, 0, 5, false), ('large_context', 'passage', 12, 4, 1000, 500.0, 0, 3, true), ('token_based', 'token', 512, 50, 1000, 100.0, 0, 5, false))
  v(name, split_by, chunk_size, chunk_overlap, batch_size, max_mb, n_included, n_excluded, long_text)""",
     "path_columns": r"""

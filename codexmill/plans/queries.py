@@ -129,8 +129,12 @@ def chunk_samples(spark, sf_dir):
 
 @query
 def presets(spark, sf_dir):
+    """The presets, and how many of the documents, as files, each takes."""
     rows = [(n, c.split_by, c.chunk_size, c.chunk_overlap, c.batch_size, float(c.max_file_size_mb), len(c.include_extensions or ()), len(c.exclude_patterns or ()), c.long_text_mode) for n, c in list_presets()]
-    return spark.createDataFrame(rows, "name string, split_by string, chunk_size int, chunk_overlap int, batch_size int, max_mb double, n_included int, n_excluded int, long_text boolean")
+    table = spark.createDataFrame(rows, "name string, split_by string, chunk_size int, chunk_overlap int, batch_size int, max_mb double, n_included int, n_excluded int, long_text boolean")
+    files = frames.files(spark, sf_dir)
+    taken = files.agg(*(F.count_if(chunking.eligible(F.col("path"), F.octet_length("text"), c)).alias(n) for n, c in list_presets()))
+    return table.join(taken.unpivot([], [n for n, _ in list_presets()], "name", "n_files"), "name")
 
 
 @query

@@ -118,8 +118,10 @@ def index_query(spark, sf_dir):
 
 @query
 def builder_info(spark, sf_dir):
-    info = calltree.builder_info()
-    return spark.createDataFrame([(info["type"], k, v) for k, v in info["features"].items()], "type string, feature string, offered boolean")
+    """What the call-tree builder offers, and for how many functions and calls here."""
+    info, functions = calltree.builder_info(), frames.functions_with_calls(spark, sf_dir)
+    offers = spark.createDataFrame([(info["type"], k, v) for k, v in info["features"].items()], "type string, feature string, offered boolean")
+    return offers.join(F.broadcast(functions.agg(F.count("*").alias("n_functions"), F.sum(F.size("calls")).alias("n_calls"))))
 
 
 _LEVELS = """
@@ -144,5 +146,5 @@ SQL: dict[str, str] = {
   CAST(4 AS INTEGER) AS cleared, false AS indexed_after, CAST(0 AS BIGINT) AS functions_after, (SELECT count(*) FROM fn) AS vectors_after""",
     "index_expand": CODE + _LEVELS,
     "index_query": "SELECT true AS success, CAST(10 AS INTEGER) AS n_hits, CAST(3 AS INTEGER) AS n_best, true AS best_are_hits, true AS nearest_first, true AS related_are_new, true AS prompt_asks, true AS prompt_has_best, true AS prompt_has_related, true AS answered, true AS reported",
-    "builder_info": "SELECT * FROM (VALUES ('relational', 'basic_call_trees', true), ('relational', 'dependency_graph', true), ('relational', 'visualization', false), ('relational', 'mermaid_export', false)) v(type, feature, offered)",
+    "builder_info": CODE + "SELECT v.*, (SELECT count(*) FROM fn) AS n_functions, (SELECT count(*) FROM calls) AS n_calls FROM (VALUES ('relational', 'basic_call_trees', true), ('relational', 'dependency_graph', true), ('relational', 'visualization', false), ('relational', 'mermaid_export', false)) v(type, feature, offered)",
 }
