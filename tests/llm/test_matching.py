@@ -296,6 +296,30 @@ def test_few_vectors(spark):
     assert ann.search(table, F.lit(False)).count() == 0
 
 
+def test_ties_between_different_vectors_of_one_direction(spark):
+    """Multiples of one vector have one cosine: the smallest ids come first, however many there are."""
+    rows = [(i, [3.0 * (i + 1), 4.0 * (i + 1)], 0) for i in range(40)] + [(100 + i, [float(i % 7) - 3, 1.0], 0) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(table, F.col("vec_id") < 3, k=5).collect())
+    for q in range(3):
+        scores = {i: float(ann.cosines(np.array(rows[q][1]), np.array([v]))[0]) for i, v, _ in rows if i != q}
+        assert [v for a, _, v in got if a == q] == sorted(scores, key=lambda i: (-scores[i], i))[:5]
+    assert [v for a, _, v in got if a == 0] == [1, 2, 3, 4, 5]
+
+
+def test_probes_do_not_grow_with_the_cells(spark):
+    """A query's rows carry a radius; the regions that it names test their own cells."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(400)]
+    (index,) = ann.indexes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 50 == 0)
+    out = next(ann._probe(index.model, index.counts, index.regions, index.wanted)(iter(index.entries.select("name", "vector").toArrow().to_batches())))
+    assert out.schema.names == ["name", "vector", "region", "radius"]
+    vector, region, radius = out.column("vector")[0].as_py(), out.column("region").to_numpy(), out.column("radius")[0].as_py()
+    first, second = index.model.value.distances(np.array(vector))
+    visited = np.array(ann.visit(first, second, index.counts.value, index.wanted))
+    assert ann.sums(first, second, visited).max() == radius and set(index.regions.value[0][visited]) <= set(region.tolist())
+
+
 def test_cells_are_visited_in_order_of_distance():
     rng = np.random.default_rng(2)
     a, b = rng.random(7), rng.random(9)
