@@ -34,7 +34,7 @@ DIFFERING = 0.6
 #: A slot is template if this share of its characters recurs, at least, and this share of what a pool of texts would show.
 LEAST_SHARE, RECURRING = 0.3, 0.8
 #: A recurring text is template on a host if this share of the slot's pages has it, unless more than COPIED of the slot recurs there, as with copies.
-SAME_SHARE, COPIED = 0.8, 0.4
+SAME_SHARE, COPIED = 0.8, 0.5
 #: Of so many pages' texts 0.3 or more would recur if they were drawn from a pool of up to 800: a slot whose texts don't is told to vary.
 TOLD_PAGES = 300
 #: Undecided text outside of an article or main part goes if that holds at least this part of it.
@@ -489,23 +489,21 @@ _COUNTED = "host long, slot long, text long, other long, chars int, n long"
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages by host, slot, text, and what tells the page beside it; and by host and slot alone.
 
-    A page is told by its longest other text or the second longest, whichever has the smaller hash, so that near copies
-    of a page mostly count as that page.
+    A page is told by its two longest other texts together: one may be a standing text of the host.
     """
     references, counts = _References(), Counter()
     for batch in batches:
         for i, (host, name, html) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("host", "name", "html")), strict=True)):
             if not html:
                 continue
-            placed = [(slot, own_text(n)) for n, slot in references.get(batch, i, host).place(parse(html))]
+            placed = [(slot, _masked(own_text(n), name or "")) for n, slot in references.get(batch, i, host).place(parse(html))]
             if not placed:
                 continue
             longest = sorted({t for _, t in placed}, key=lambda t: (-len(t), t))[:3]
-            keys = {t: _key(t) for t in longest}
-            whole = min(list(keys.values())[:2])
+            whole = _key("\0".join(longest[:2]))
             for slot, text in set(placed):
-                other = min([keys[t] for t in longest if t != text][:2], default=0) if text in keys else whole
-                counts[host, slot, _key(_masked(text, name or "")), other, len(text)] += 1
+                other = _key("\0".join([t for t in longest if t != text][:2])) if text in longest else whole
+                counts[host, slot, _key(text), other, len(text)] += 1
             for slot in {slot for slot, _ in placed}:
                 counts[host, slot, None, None, None] += 1
             if len(counts) > 100_000:

@@ -1,10 +1,13 @@
 import random
+import re
 import time
+from html import unescape
 
+import pytest
 from helpers import LONG
 from pyspark.sql import functions as F
 
-from codexmill.llm import html
+from codexmill.llm import html, queries
 
 
 def test_parts_that_are_not_the_article():
@@ -21,10 +24,21 @@ def test_odd_markup():
     assert text("<p>a<p>b</article></div>c") == "a\nbc"
     assert text("<!-- <p>x</p>") == "" and text("<script>x") == "" and text("<p title='>'>y") == "y"
     assert text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
-    assert text("<main><p>m</main><p>outside") == "m"
+    assert text("<main><p>m</main><p>outside") == "m\noutside"
     assert len(text(f"<p>{LONG}</p>")) == len(LONG) - 1
 
 
+def test_regions_go_by_what_they_hold():
+    """Of a page alone: an article or main part counts if it holds the page's text, and never hides a longer one."""
+    alone = lambda x: html.Reference(x).extract(x)
+    long = "words " * 200
+    assert alone("<main><p>m</main><p>outside") == "m" and alone("<article></article><div><p>real text</div>") == "real text"
+    assert alone(f"<article class=teaser><p>tease</p></article><main>{long}</main>") == long.strip()
+    assert alone(f"<article class=teaser><p>tease</p></article><div><p>{long}</div>") == f"tease\n{long.strip()}"
+    assert alone(f"<article><p>{long}</p></article><div class=promo>Buy now</div>") == long.strip()
+    assert alone(f"<main>{long}</main><div class='comments-area'>me</div><section id=comments><p>I</p></section><ol class='commentlist'><li>they</ol><p class='commentary'>kept</p>".replace("</main>", "", 1)) == f"{long.strip()}\nkept"
+
+
 def test_real_text_in_elements_with_telling_names():
     page = "<article><div class='share-price'>Acme 12</div><div class='login-tutorial'>Log in so</div><div id='related-work'>Work before</div><p class='ad-hoc notice'>Kept</p></article>"
     assert html.text_of(html.parse(page)) == "Acme 12\nLog in so\nWork before\nKept"
@@ -104,22 +118,36 @@ def test_columns_with_clashing_names(spark):
     assert sorted(map(tuple, html.extract(clashing).collect()), key=repr) == sorted(map(tuple, html.extract(plain).collect()), key=repr)
 
 
-def test_the_wrapper_alone_finds_articles(spark):
-    """By no name but the scripts': on large hosts menus, adverts and footers, which rotate, go, and the articles stay."""
-    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    rows = {r.page_id: r for r in table.collect()}
-    hosts = {i: r.url.split("/")[2] for i, r in rows.items()}
-    size = {h: list(hosts.values()).count(h) for h in set(hosts.values())}
-    induced = {r.page_id: r.text for r in html.extract(table, by_name=False).collect()}
-    plain = {i: html.text_of(html.parse(r.html), by_name=False) for i, r in rows.items()}
-    wanted = {i: html.text_of(html.parse(r.html)) for i, r in rows.items()}
-    changed = [i for i in rows if induced[i] != plain[i]]
-    large = [i for i in rows if size[hosts[i]] >= 240]
-    exact = sum(induced[i] == wanted[i] for i in large)
-    print(f"pages changed by the wrapper: {len(changed)} of {len(rows)}; of {len(large)} on large hosts the article alone: {exact}")
-    assert large and len(changed) >= len(large) and exact >= 0.95 * len(large)
-    # nothing of an article goes
-    lost = [i for i in rows if not set(wanted[i].split()) <= set(induced[i].split())]
-    assert not lost, (len(lost), lost[:5])
-    by_name = {r.page_id: r.text for r in html.extract(table).collect()}
-    assert by_name == wanted
+def article(page):
+    """A page's article by its tags alone, as the driver's pages write them."""
+    blocks = re.split(r"</?(?:p|h1|h2|article)>", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+    lines = (" ".join(unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_wrapper_decides_the_result(spark, scale):
+    """The query's texts are the articles; without the wrapper they aren't on any host, without any name they are once pages tell."""
+    table = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
+    wanted = {r.page_id: article(r.html) for r in table.collect()}
+    got = {r.page_id: r.text for r in queries.op4_html_extraction(spark, f"/root/testdata/{scale}").collect()}
+    assert got == wanted
+    without = {r.page_id: r.text for r in html.extract(table, wrapper=False).collect()}
+    assert not [i for i in wanted if without[i] == wanted[i]]
+    if scale != "sf0.001":  # of whose sixty adverts none stands on two pages
+        assert {r.page_id: r.text for r in html.extract(table, by_name=False).collect()} == wanted
+
+
+@pytest.mark.parametrize("n", [3, 12, 40])
+def test_few_pages_are_judged_like_many(spark, n):
+    """A box that all pages of a host have goes from three pages as from forty, without any name or region telling."""
+    rows = [(i, f"http://a.example/{i}", f"<div class=x>Buy now</div><div class=y><p>Text {i} of its own, words {i * 7} long</p></div>") for i in range(n)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Text {r.page_id} of its own, words {r.page_id * 7} long" for r in got)
+
+
+def test_hosts_of_one_layout_tell_each_other(spark):
+    """Each host has one page; their boxes rotate, and name the host."""
+    rows = [(i, f"http://h{i}.example/", f"<div class=x>Advert {i % 5}</div><div class=y><h1>T{i}</h1><p>Text {i} of its own {i * 7}</p></div><div class=z>By h{i}.example</div>") for i in range(40)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), by_name=False).collect()
+    assert all(r.text == f"T{r.page_id}\nText {r.page_id} of its own {r.page_id * 7}" for r in got)

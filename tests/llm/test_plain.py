@@ -116,63 +116,98 @@ def test_quality_scores_are_the_model_s(spark):
 # ------------------------------------------------------------------ pages
 
 
-def plain_wrappers(pages):
-    """For each page the texts (by element) that are template, counted page by page with plain sets."""
-    hosts = defaultdict(list)
+def plain_extraction(pages, first):
+    """The query's texts, page by page with plain lists and sets: pages by id (host, html), and each host's reference page."""
+    placed = {}
     for i, (host, page) in pages.items():
-        hosts[host].append((i, page))
+        reference, tree = (html.slots_of(html.parse(x)) for x in (pages[first[host]][1], page))
+
+        def paths(slot, above=()):
+            yield slot, (*above, slot.label)
+            for kid in slot.kids:
+                yield from paths(kid, (*above, slot.label))
+
+        of = {id(x): path for x, path in paths(reference)}
+        aligned = {id(y): of[id(x)] for x, y in html.align(reference, tree)}
+        placed[i] = []
+
+        def go(slot, above):
+            if slot.nodes[0].tag not in html.RAW:
+                path = aligned.get(id(slot), (*above, slot.label))
+                placed[i].extend((path, html.own_text(n).replace(host, "\0")) for n in slot.nodes if html.own_text(n))
+                for kid in slot.kids:
+                    go(kid, path)
+
+        go(tree, ())
+    rows = []  # page, host, slot, text, what tells the page beside it
+    for i, found in placed.items():
+        for slot, text in set(found):
+            rest = sorted({t for _, t in found} - {text}, key=lambda t: (-len(t), t))[:2]
+            rows.append((i, pages[i][0], slot, text, tuple(rest)))
+
+    def recurs(some):
+        pairs = [(a[4], b[4]) for a in some for b in some if a[0] != b[0]]
+        return len(some) > 1 and sum(x != y for x, y in pairs) >= html.DIFFERING * len(pairs)
+
+    def groups(keys):
+        out = defaultdict(list)
+        for r in rows:
+            out[tuple(r[k] for k in keys)].append(r)
+        return out
+
+    whole = set()
+    by_text, pages_of = groups((2, 3)), {k[0]: len({r[0] for r in v}) for k, v in groups((2,)).items()}
+    for slot, n in pages_of.items():
+        texts = [(len(t), v) for (s, t), v in by_text.items() if s == slot]
+        size = sum(c * len(v) for c, v in texts)
+        share = sum(c * len(v) for c, v in texts if recurs(v)) / size
+        rate = sum(c * len(v) * (len(v) - 1) for c, v in texts if recurs(v)) / size / max(1, n - 1)
+        if share >= html.LEAST_SHARE and share >= html.RECURRING * (1 - max(0, 1 - rate) ** (n - 1)):
+            whole.add(slot)
+    single = set()
+    on_host, slot_pages = groups((1, 2, 3)), {k: len({r[0] for r in v}) for k, v in groups((1, 2)).items()}
+    for (host, slot), n in slot_pages.items():
+        texts = {t: v for (h, s, t), v in on_host.items() if (h, s) == (host, slot)}
+        if slot not in whole and sum(len(t) * len(v) for t, v in texts.items() if recurs(v)) <= html.COPIED * sum(len(t) * len(v) for t, v in texts.items()):
+            single |= {(host, slot, t) for t, v in texts.items() if recurs(v) and len(v) >= html.SAME_SHARE * n}
     out = {}
-    for rows in hosts.values():
-        first = html.slots_of(html.parse(rows[0][1]))
-        number = {id(x): i for i, x in enumerate(html.walk_slots(first))}
-        held = {}
-        for i, page in rows:
-            tree = html.slots_of(html.parse(page))
-            aligned = {id(y): number[id(x)] for x, y in html.align(first, tree)}
-            held[i], stack = [], [(tree, ())]
-            while stack:
-                x, above = stack.pop()
-                if x.nodes[0].tag not in html.RAW:
-                    held[i] += [(aligned.get(id(x), (*above, x.label)), html.own_text(n)) for n in x.nodes if html.own_text(n)]
-                    stack += [(k, (*above, x.label)) for k in x.kids]
-        others = defaultdict(list)
-        for placed in held.values():
-            for slot, text in set(placed):
-                rest = sorted({t for _, t in placed} - {text}, key=lambda t: (-len(t), t))
-                others[slot, text].append(rest[0] if rest else None)
-        recurs = {k for k, v in others.items() if len(v) >= html.LEAST_PAGES and len(set(v)) >= html.DIFFERING * len(v)}
-        having = Counter(slot for placed in held.values() for slot in {s for s, _ in placed})
-        weight, whole = Counter(), Counter()
-        for (slot, text), v in others.items():
-            whole[slot] += len(v) * len(text)
-            weight[slot] += len(v) * len(text) * ((slot, text) in recurs)
-        slots = {s for s in whole if weight[s] >= html.RECURRING * whole[s] and weight[s]}
-        for i, placed in held.items():
-            out[i] = sorted(t for s, t in placed if s in slots or (s, t) in recurs and len(others[s, t]) >= html.SAME_SHARE * having[s])
+    for i, (host, page) in pages.items():
+        gone = {t for s, t in placed[i] if s in whole or (host, s, t) in single}
+        told = {t for s, t in placed[i] if pages_of[s] >= html.TOLD_PAGES}
+        tree, inside, outside = html.parse(page), [], []
+
+        def visit(node, within):
+            if not node.dropped:
+                within = within or node.tag == "article"
+                text = html.own_text(node).replace(host, "\0")
+                if text and text not in gone:
+                    (inside if within else outside).append(text)
+                for kid in node.elements:
+                    visit(kid, within)
+
+        visit(tree, False)
+        untold = [t for t in outside if t not in told]
+        if inside and sum(map(len, inside)) >= html.REGION_PART * sum(map(len, untold)):
+            gone |= set(untold)
+        out[i] = html.text_of(tree, {id(n) for n in html.walk(tree) if html.own_text(n).replace(host, "\0") in gone})
     return out
 
 
-def test_templates_are_those_of_the_plain_count(spark):
+def test_texts_are_those_of_the_plain_extraction(spark):
     pages = {}
     for i in range(60):
-        extra = f"<section><h2>More {i % 3}</h2><p>Shared words {i % 7}</p></section>" if i % 2 else ""
-        pages[i] = ("a.example", f"<div class=m{i}><a>Home</a><a>Item {i % 4}</a></div><h1>Title {i}</h1><p>Body of {i} with words</p><p>Passage {i % 9} repeats</p>{extra}<div>Foot</div>")
+        extra = f"<section><h2>More {i % 3} of these</h2><p>Shared words {i % 7} apart</p></section>" if i % 2 else ""
+        pages[i] = ("a.example", f"<div class=m{i}><a>Home</a><a>Item {i % 4}</a></div><article><h1>Title {i} own</h1><p>Body of {i} with words</p><p>Passage {i % 9} repeats</p>{extra}</article><div>Foot of a.example</div><div class=q>Loose {i} text</div>")
     for i in range(60, 90):
         pages[i] = ("b.example", f"<ul>{'<li>x' * (i % 5)}<li>Line {i % 2}</ul><div><p>Text {i // 3} of b</p></div><p>Ad {i % 6}</p>")
+    for i in range(90, 100):
+        pages[i] = (f"c{i}.example", f"<article><h1>Only {i} here</h1><p>Share me</p></article><div>Foot of c{i}.example</div>")
     rows = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in pages.items()], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract(rows, by_name=False).collect()}
+    got = {r.page_id: r.text for r in html.extract(rows).collect()}
     # the plain version takes the same page of each host as its reference
-    first = {h: spark.createDataFrame([(i, x) for i, (g, x) in pages.items() if g == h], "k int, html string").selectExpr("min_by(k, xxhash64(html)) AS k").first().k for h in ("a.example", "b.example")}
-    wanted = plain_wrappers({**{first[h]: pages[first[h]] for h in first}, **pages})
-    for i, (_, page) in pages.items():
-        texts = [t for t in wanted[i]]
-        tree = html.parse(page)
-        muted = set()
-        for node in html.walk(tree):
-            if html.own_text(node) in texts:
-                muted.add(id(node))
-        assert got[i] == html.text_of(tree, muted, by_name=False), i
-    assert all("Home" not in x and "Foot" not in x for i, x in got.items() if i < 60) and all(f"Body of {i} with words" in got[i] for i in range(60))
+    first = {r.h: r.k for r in spark.createDataFrame([(i, h, x) for i, (h, x) in pages.items()], "k int, h string, html string").groupBy("h").agg(F.min_by("k", F.xxhash64("html")).alias("k")).collect()}
+    assert got == plain_extraction(pages, first)
+    assert all("Home" not in x and "Foot" not in x for x in got.values()) and all(f"Body of {i} with words" in got[i] for i in range(60))
 
 
 def test_equally_near_languages(spark):
