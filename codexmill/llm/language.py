@@ -169,11 +169,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with all their columns; null texts and those without a letter go. No shuffle.
+    """The rows whose text has a language, with all their columns. No shuffle.
 
-    The language column, if there is one, gets the prediction where it is null and stays as it is elsewhere. If no
-    language was learned, nothing can be told apart or filled in, and the texts with letters stay. Rows decide each
-    for itself, repeated ones too; an empty table stays empty.
+    Null texts and those without a letter go. So do texts that the decoder flags as ambiguous, unless the language
+    column bears out the nearest codeword: what two languages may be is none if nothing else says which. That column, if there is one, gets
+    the prediction where it is null and stays as it is elsewhere. If no language was learned, nothing can be
+    told apart or filled in, and the texts with letters stay. Rows decide each for itself, repeated ones too; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fills = lang_col in docs.columns
@@ -183,13 +184,17 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
         for batch in batches:
             for part in common.text_slices(batch, "__bytes", 1 << 20):
                 texts = [x or b"" for x in part.column("__bytes").to_pylist()]
-                known = pa.array([has_letter(x) for x in texts], pa.bool_())
+                known = np.array([has_letter(x) for x in texts], bool)
                 rows = part.drop_columns(["__bytes"])
-                if fills and model.languages:
-                    at = rows.schema.get_field_index(lang_col)
-                    best, _ = model.decode(model.margins(texts))
-                    names = pa.array([model.languages[b] for b in best], pa.string())
-                    rows = rows.set_column(at, rows.schema.field(at), pc.coalesce(rows.column(at), names))
-                yield rows.filter(known)
+                if model.languages:
+                    best, score = model.decode(model.margins(texts))
+                    names = [model.languages[b] for b in best]
+                    stated = rows.column(lang_col).to_pylist() if fills else [None] * len(names)
+                    borne_out = np.array([a == b for a, b in zip(stated, names, strict=True)], bool)
+                    known &= borne_out | (score >= AMBIGUOUS)
+                    if fills:
+                        at = rows.schema.get_field_index(lang_col)
+                        rows = rows.set_column(at, rows.schema.field(at), pc.coalesce(rows.column(at), pa.array(names, pa.string())))
+                yield rows.filter(pa.array(known))
 
     return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(common.resting(run), docs.schema)

@@ -42,12 +42,21 @@ def test_run(spark, folder):
     assert {r.doc_id for r in rows} == {1, 3, 8, 9} and all(len(r.ids) == r.length for r in rows)
 
 
+def test_the_decoder_decides_what_goes(spark):
+    """Two languages learned from the same texts: every text is ambiguous, and stays only where its row bears out the nearest codeword."""
+    rows = [(i, "some words and others", lang, "src0", 1) for i, lang in enumerate(["aa", "zz", "aa", "zz", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {0, 2}
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, nothing, "").count() == 5
+
+
 def test_the_benchmark_rule():
     assert len(decontamination.windows_of(decontamination.words(BENCH.encode()))) == 10
 
 
 def test_every_operator_has_its_query():
-    assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 14))
 
 
 def write(spark, out, rows, bench):
