@@ -14,7 +14,7 @@ from codexmill.llm import common, decontamination, language, minhash, packing, p
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or no letter) go; a null language is filled in.
+    """Documents without a language go: null, no letter, or ambiguous by the decoder and not borne out by their column; a null language is filled in.
 
     Each row decides for itself, repeated ones too. Without any language to learn from none is filled in.
     """
