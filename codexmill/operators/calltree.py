@@ -15,7 +15,8 @@ def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
 
     A match ends in a run without white space or parenthesis, right before the parenthesis, so a content is
     cut into these runs and names are found among the runs' ends by an equi-join: no pair of functions that
-    don't share one is formed. Of a run's ends only those as long as some name are kept. A name that holds
+    don't share one is formed. Each different run of all contents is looked up once, however often it is called, and of its
+    ends only those as long as some name of the same last letter. A name that holds
     white space or a parenthesis itself is joined by its own last run, and the content is looked through only
     for what that join gives; names of such marks alone match nothing. Callers are given by `key`, which tells
     functions of one name apart; a function doesn't call its own name.
@@ -23,13 +24,16 @@ def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
     f = functions.select(F.col(key).alias("caller"), "name", F.lower("content").alias("content")).where("name IS NOT NULL AND name <> ''")
     last = F.regexp_extract(F.lower("name"), r"([^\s(]+)[\s(]*$", 1)
     names = f.select(F.col("name").alias("callee"), last.alias("low"), (F.lower("name") != last).alias("odd")).distinct().where("low <> ''")
-    lengths = names.agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
-    runs = f.select("caller", "name", F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1)).alias("runs"))
-    of = lambda run: F.transform(F.filter("lengths", lambda n: n <= F.length(run)), lambda n: F.substring(run, F.length(run) - n + 1, n))
-    ends = runs.crossJoin(F.broadcast(lengths)).select("caller", "name", F.explode(F.array_distinct(F.flatten(F.transform("runs", of)))).alias("low"))
-    found = ends.join(names.where("NOT odd"), "low").select("caller", "name", "callee")
+    by_letter = names.groupBy(F.right("low", F.lit(1)).alias("letter")).agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
+    lengths = by_letter.agg(F.map_from_entries(F.collect_list(F.struct("letter", "lengths"))).alias("lengths"))
+    cut = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1))
+    runs = scratch(f.select("caller", "name", F.explode(cut).alias("run")), "runs")
+    run, size = F.col("run"), F.length("run")
+    own = F.filter(F.element_at("lengths", F.right(run, F.lit(1))), lambda n: n <= size)
+    ends = runs.select("run").distinct().crossJoin(F.broadcast(lengths)).select("run", F.explode(F.transform(own, lambda n: F.substring(run, size - n + 1, n))).alias("low"))
+    found = runs.join(ends.join(names.where("NOT odd"), "low").select("run", "callee"), "run").select("caller", "name", "callee")
     if not names.where("odd").isEmpty():
-        likely = ends.join(names.where("odd"), "low").select("caller", "name", "callee").distinct()
+        likely = runs.join(ends.join(names.where("odd"), "low").select("run", "callee"), "run").select("caller", "name", "callee").distinct()
         held = likely.join(f.select("caller", "content"), "caller").where(T.called_in(F.col("callee"), F.col("content")))
         found = found.union(held.select("caller", "name", "callee"))
     return found.where("name <> callee").select("caller", "callee").distinct()

@@ -10,7 +10,7 @@ def _strip(x: str) -> str:
     return _STRIP.format(x=x)
 
 
-def _words(x: str) -> str:
+def words_of(x: str) -> str:
     return _WORDS.format(x=x)
 
 
@@ -28,8 +28,8 @@ def _windows(units: str, size: int, step: int, join: str) -> str:
     return f"[array_to_string({units}[i + 1 : i + {size}], {join}) for i in range(0, len({units}), {step})]"
 
 
-_WORD_UNITS = f"SELECT doc_id, lang, {_words('t')} AS u FROM ({_KEPT})"
-_WORD_CHUNKS = _pieces(_WORD_UNITS, "doc_id, lang", _windows("u", 1000, 750, "' '"), f", CAST(len({_words('chunk_text')}) AS INTEGER) AS chunk_size")
+_WORD_UNITS = f"SELECT doc_id, lang, {words_of('t')} AS u FROM ({_KEPT})"
+_WORD_CHUNKS = _pieces(_WORD_UNITS, "doc_id, lang", _windows("u", 1000, 750, "' '"), f", CAST(len({words_of('chunk_text')}) AS INTEGER) AS chunk_size")
 _CHARS = ", CAST(length(chunk_text) AS INTEGER) AS chunk_size"
 
 _EDGES = "SELECT DISTINCT l_partkey AS src, dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND l_partkey <> dst"
@@ -141,7 +141,7 @@ SELECT doc_id, coalesce(n_chars <= 4194 AND lang <> 'de' AND NOT contains(source
         rf"SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: {_strip('x')} <> '') AS u FROM documents", "doc_id", _windows("u", 5, 3, "chr(10) || chr(10)"), ""
     ),
     "code_split_overlap": f"""
-WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS node_id, text, {_words("text")} AS u FROM documents),
+WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS node_id, text, {words_of("text")} AS u FROM documents),
 p AS (SELECT node_id, text, CASE WHEN len(u) > 1000 THEN [array_to_string(u[i + 1 : i + 1000], ' ') for i in range(0, len(u) - 100, 900)] ELSE [text] END AS p FROM w),
 e AS (SELECT node_id, len(p) > 1 AS several, node_id || ':' || substr(sha256(node_id || text), 1, 8) AS parent, unnest(p) AS code, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS n FROM p)
 SELECT node_id, CASE WHEN several THEN parent ELSE '' END AS parent_doc_id, CASE WHEN several THEN parent || '_chunk_' || n ELSE '' END AS chunk_id, n AS chunk_order, code FROM e""",
@@ -242,6 +242,10 @@ SELECT DISTINCT a.doc_id AS caller, b.name AS callee FROM f a JOIN (SELECT DISTI
     + r""", called AS (SELECT fn.short AS name, cshort, lower(call) || ' (x)' AS content FROM k JOIN fn ON fn.seq = k.src)
 SELECT DISTINCT a.name AS caller, b.short AS callee FROM called a JOIN (SELECT DISTINCT short FROM fn) b ON a.name <> b.short AND (a.cshort = b.short OR regexp_matches(a.content, regexp_escape(lower(b.short)) || '\s*\('))""",
     "call_list_lookup": CODE + "SELECT DISTINCT fn.short AS caller, cshort AS callee FROM k JOIN fn ON fn.seq = k.src WHERE cshort IN (SELECT short FROM fn) AND fn.short <> cshort",
+    "call_cycles": CODE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, p AS (SELECT DISTINCT fn.short AS caller, cshort AS callee FROM k JOIN fn ON fn.seq = k.src WHERE cshort IN (SELECT short FROM fn) AND fn.short <> cshort),
+reached(a, b) AS (SELECT caller, callee FROM p UNION SELECT reached.a, p.callee FROM reached JOIN p ON p.caller = reached.b)
+SELECT x.a AS name, min(x.b) AS component FROM reached x JOIN reached y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
     "call_tree_paths": f"""
 WITH RECURSIVE e AS ({_TRADES}), t(root, depth, node, path) AS (
   SELECT name, 0, name, [name] FROM ({_TRADERS}) UNION ALL SELECT root, depth + 1, callee, list_append(path, callee) FROM t JOIN e ON caller = node WHERE NOT list_contains(path, callee))
@@ -280,8 +284,8 @@ SELECT CAST(row_number() OVER (ORDER BY string_split(path, '>')) - 1 AS INTEGER)
     + """SELECT seq, (['constructor', 'receive', 'public', 'fallback'])[seq % 4 + 1] AS visibility, path || (['.sol', '.rs', '.go'])[seq % 3 + 1] AS file_path FROM fn WHERE seq % 3 = 1 OR seq % 4 = 2""",
     "knn_l2": f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings, {_QUERY_VECTOR} ORDER BY {_DISTANCE}, vec_id LIMIT 10",
     "rerank_overlap": rf"""
-SELECT doc_id, round(len(list_intersect(list_distinct({_words("lower(text)")}), ['the', 'of', 'and'])) / 3, 6) AS score FROM documents
-ORDER BY len(list_intersect(list_distinct({_words("lower(text)")}), ['the', 'of', 'and'])) DESC, doc_id LIMIT 10""",
+SELECT doc_id, round(len(list_intersect(list_distinct({words_of("lower(text)")}), ['the', 'of', 'and'])) / 3, 6) AS score FROM documents
+ORDER BY len(list_intersect(list_distinct({words_of("lower(text)")}), ['the', 'of', 'and'])) DESC, doc_id LIMIT 10""",
     "prompt_assembly": f"""
 SELECT conv_id, array_to_string(['{_PROMPT_HEAD}', '', '--- PRIMARY MATCHES ---', {_section("user", "Chunk", "No primary matches found.")}, '--- RELATED CODE (Dependencies) ---',
   {_section("assistant", "Dep", "No related code found.")}, 'Question: ' || conv_id], chr(10)) AS prompt FROM (SELECT DISTINCT conv_id FROM conversations) c""",
@@ -291,3 +295,6 @@ x AS ({_expanded("hits s")})
 SELECT 'Chunk' AS section, CAST(o AS INTEGER) AS number, CAST(k AS VARCHAR) AS node_id, '' AS relationship, coalesce(p_name, '') AS content FROM hits LEFT JOIN part ON p_partkey = k
 UNION ALL SELECT 'Dep', CAST(row_number() OVER (ORDER BY place, CAST(k AS VARCHAR)) AS INTEGER), CAST(k AS VARCHAR), relationship, {_CONTENT} FROM x JOIN part ON p_partkey = k WHERE {_CONTENT} IS NOT NULL""",
 }
+SQL["streamed_answer"] = f"""
+SELECT conv_id, CAST(place AS INTEGER) AS place, piece || chr(10) AS piece
+FROM (SELECT conv_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS place FROM (SELECT conv_id, string_split(left(answer, length(answer) - 1), chr(10)) AS pieces FROM ({SQL["generate_answer"]})))"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from codexmill.config import ChunkConfig, list_presets, preset
 from codexmill.functions import text as T
 from codexmill.operators import calltree, chunking, graph, retrieval
 from codexmill.plans import frames
-from codexmill.services import ExtractiveGenerator, HashEmbedder, embed_column, generate_column
+from codexmill.services import ExtractiveGenerator, HashEmbedder, embed_column, generate_column, stream_answer
 from codexmill.sources.parser import RECORDS, parse_batches
 from codexmill.sources.scratch import scratch
 
@@ -400,6 +401,13 @@ def call_tree_paths_up(spark, sf_dir):
     return paths.select("root", "depth", F.array_join("path", ">").alias("path"))
 
 
+@query
+def call_cycles(spark, sf_dir):
+    """Suppliers under their short names that call one another in a circle, by the calls of the call table."""
+    f = frames.functions_with_calls(spark, sf_dir)
+    return calltree.cycles(calltree.called_by_list(f.select(T.short_name(F.col("name")).alias("name"), "calls")))
+
+
 @query
 def dependency_graph(spark, sf_dir):
     return calltree.dependency_graph("p0", frames.traders(spark, sf_dir), frames.trades(spark, sf_dir), 2)
@@ -496,12 +504,12 @@ def retrieve_expand_prompt(spark, sf_dir):
     names = frames.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node_id"), "p_name")
     primary = seeds.join(names, "node_id", "left").select(F.lit("Chunk").alias("section"), F.col("seed_seq").cast("int").alias("number"), "node_id", F.lit("").alias("relationship"), F.coalesce("p_name", F.lit("")).alias("content"))
     found = _part_content(spark, sf_dir, graph.expand(frames.part_calls(spark, sf_dir), seeds))
-    secondary = found.select(F.lit("Dep").alias("section"), F.row_number().over(_by("place", "node_id")).cast("int").alias("number"), "node_id", "relationship", "content")
+    secondary = retrieval.numbered(found, "number", "place", "node_id").select(F.lit("Dep").alias("section"), F.col("number").cast("int").alias("number"), "node_id", "relationship", "content")
     return primary.unionByName(secondary)
 
 
 def _by(*columns):
-    # the rows that are numbered are a handful: seeds, or what one hop from them gives
+    # the rows that are numbered are a handful of seeds
     from pyspark.sql import Window
 
     return Window.orderBy(*columns)
@@ -525,6 +533,18 @@ def embed_udf(spark, sf_dir):
     return embedded.select("doc_id", F.size("vector").alias("dimension"), F.size(held).alias("n_held"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 
+@query
+def streamed_answer(spark, sf_dir):
+    """The pieces of each prompt's answer, as they are streamed."""
+
+    def run(parts):
+        for part in parts:
+            rows = [(c, i, x) for c, p in zip(part["conv_id"], part["prompt"], strict=True) for i, x in enumerate(stream_answer(ExtractiveGenerator(), p), 1)]
+            yield pd.DataFrame(rows, columns=["conv_id", "place", "piece"])
+
+    return prompt_assembly(spark, sf_dir).select("conv_id", "prompt").mapInPandas(run, "conv_id long, place int, piece string")
+
+
 @query
 def generate_answer(spark, sf_dir):
     prompts = prompt_assembly(spark, sf_dir)

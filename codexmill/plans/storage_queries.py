@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
-from codexmill.operators import calltree, graph
+from codexmill.operators import calltree, graph, retrieval
 from codexmill.plans import frames
 from codexmill.plans.index import Engine, report
-from codexmill.plans.oracle import CODE
+from codexmill.plans.oracle import CODE, words_of
+from codexmill.plans.oracle import SQL as CORE_SQL
 from codexmill.services import HashEmbedder, embed_column
 from codexmill.sources import store
 from codexmill.sources.scratch import scratch, scratch_path
@@ -54,6 +55,24 @@ def chunks_json_roundtrip(spark, sf_dir):
     return back.select("file_path", "function_name", "node_id", "defined_in", F.array_join("calls", "|").alias("calls"), F.array_join("called_by", "|").alias("called_by"), "code", "chunk_id", "chunk_order")
 
 
+@query
+def node_link_document(spark, sf_dir):
+    """The same by one JSON document, which the tasks write and the commit joins."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    path = scratch_path(spark, "node-link-document")
+    store.write_node_link_document(scratch(nodes, "nodes"), scratch(edges, "edges"), path)
+    back, links = store.read_node_link(spark, path)
+    return back.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("type").alias("b"), "name").unionByName(links.select(F.lit("link").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation").alias("name")))
+
+
+@query
+def functions_json_list(spark, sf_dir):
+    """Functions as one JSON list, written by the tasks of several partitions."""
+    path = scratch_path(spark, "functions-list")
+    store.write_json_list(frames.functions_with_calls(spark, sf_dir).repartition(5, "seq"), path)
+    return store.read_json(spark, path, "functions").select("seq", "name", "content", "file_path", "line_number", F.array_join("modifiers", "|").alias("modifiers"), F.size("calls").alias("n_calls"), "signature")
+
+
 @query
 def functions_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "functions-json")
@@ -116,6 +135,38 @@ def index_query(spark, sf_dir):
     return spark.createDataFrame([row], ", ".join(f"{n} {'int' if n.startswith('n_') else 'boolean'}" for n in names))
 
 
+class LetterEmbedder:
+    """How often each of some letters stands in a text: whole numbers, so that SQL gives the same distances."""
+
+    def __init__(self, letters: str = "aeimnrst"):
+        self.letters, self.dimension = letters, len(letters)
+
+    def embed(self, texts: list[str], kind: str = "document") -> list[list[float]]:
+        return [[float(x.count(letter)) for letter in self.letters] for x in texts]
+
+
+_QUESTION = "which function of this contract calls m1 and is called by m3 in another file and where is it defined"
+
+
+@query
+def index_search(spark, sf_dir):
+    """The ten chunks of an index that are nearest to a question, with their texts."""
+    engine = Engine(spark, scratch_path(spark, "index"), embedder=LetterEmbedder())
+    engine.index_functions(frames.functions_with_calls(spark, sf_dir))
+    hits = engine.search(_QUESTION, 10)
+    return retrieval.numbered(hits, "rank", "distance", "node_id").select(F.col("rank").cast("int").alias("rank"), "node_id", F.round("distance", 6).alias("distance"), "text")
+
+
+@query
+def index_context(spark, sf_dir):
+    """What of an index goes into the answer of a question: the best three of the ten nearest chunks, and what they call and are called by."""
+    engine = Engine(spark, scratch_path(spark, "index"), embedder=LetterEmbedder())
+    engine.index_functions(frames.functions_with_calls(spark, sf_dir))
+    found = engine.query(_QUESTION, rerank_top_k=3, search_limit=10)
+    rows = [("match", i, x["node_id"], "", x["text"]) for i, x in enumerate(found.reranked, 1)] + [("related", 0, x["node_id"], x["relationship"], x["content"].split("[CODE]\n")[-1]) for x in found.expanded]
+    return spark.createDataFrame(rows, "section string, number int, node_id string, relationship string, content string")
+
+
 @query
 def builder_info(spark, sf_dir):
     """What the call-tree builder offers, and for how many functions and calls here."""
@@ -148,3 +199,21 @@ SQL: dict[str, str] = {
     "index_query": "SELECT true AS success, CAST(10 AS INTEGER) AS n_hits, CAST(3 AS INTEGER) AS n_best, true AS best_are_hits, true AS nearest_first, true AS related_are_new, true AS prompt_asks, true AS prompt_has_best, true AS prompt_has_related, true AS answered, true AS reported",
     "builder_info": CODE + "SELECT v.*, (SELECT count(*) FROM fn) AS n_functions, (SELECT count(*) FROM calls) AS n_calls FROM (VALUES ('relational', 'basic_call_trees', true), ('relational', 'dependency_graph', true), ('relational', 'visualization', false), ('relational', 'mermaid_export', false)) v(type, feature, offered)",
 }
+
+_LETTERS = "[" + ", ".join(f"length(x) - length(replace(x, '{letter}', ''))" for letter in LetterEmbedder().letters) + "]"
+SQL["index_search"] = f"""
+WITH t AS ({CORE_SQL["enriched_chunks"]}),
+v AS (SELECT node_id, text, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(a, b)]) AS d FROM (SELECT node_id, x AS text, {_LETTERS} AS a FROM (SELECT node_id, text AS x FROM t)), (SELECT {_LETTERS} AS b FROM (SELECT '{_QUESTION}' AS x)))
+SELECT CAST(row_number() OVER (ORDER BY d, node_id) AS INTEGER) AS rank, node_id, round(CAST(d AS DOUBLE), 6) AS distance, text FROM v ORDER BY d, node_id LIMIT 10"""
+_NEAR, _FAR = _LEVELS.split("s AS (")[0], _LEVELS[_LEVELS.index("x1 AS") : _LEVELS.index("x2 AS")].rstrip().rstrip(",")
+SQL["index_context"] = CODE + f"""{_NEAR}
+t AS ({CORE_SQL["enriched_chunks"][len(CODE) :]}),
+v AS (SELECT node_id, text, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(a, b)]) AS d FROM (SELECT node_id, x AS text, {_LETTERS} AS a FROM (SELECT node_id, text AS x FROM t)), (SELECT {_LETTERS} AS b FROM (SELECT '{_QUESTION}' AS x))),
+hits AS (SELECT * FROM v ORDER BY d, node_id LIMIT 10),
+scored AS (SELECT *, len(list_intersect(list_distinct({words_of("lower(text)")}), list_distinct({words_of(f"lower('{_QUESTION}')")}))) AS score FROM hits),
+best AS (SELECT node_id AS k, text, row_number() OVER (ORDER BY score DESC, node_id) AS o FROM scored ORDER BY score DESC, node_id LIMIT 3),
+s AS (SELECT k, o FROM best),
+{_FAR}
+SELECT 'match' AS section, CAST(o AS INTEGER) AS number, k AS node_id, '' AS relationship, text AS content FROM best
+UNION ALL SELECT 'related', CAST(0 AS INTEGER), k, rel, 'body of ' || short FROM x1 JOIN fn ON fn.id = x1.k"""
+SQL["node_link_document"], SQL["functions_json_list"] = SQL["node_link_roundtrip"], SQL["functions_json_roundtrip"]

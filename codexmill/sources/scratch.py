@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths of the innermost temporary()", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written to the shared folder inside are deleted at the end, for work whose result is stored elsewhere."""
+    made: list[str] = []
+    outer = _PATHS.set(made)
+    try:
+        yield
+    finally:
+        _PATHS.reset(outer)
+        for path in made:
+            forget(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which is made the context's checkpoint folder too; unset, an own folder in local mode only."""
     path, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
@@ -21,12 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's JVM ends."""
+    """A fresh path in the shared folder, deleted when temporary() around it ends, at the latest with the session's JVM."""
     folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(jpath)  # only what exists can be marked for deletion
     store.deleteOnExit(jpath)
+    made = _PATHS.get()
+    if made is not None:
+        made.append(f"{folder}/data")
     return f"{folder}/data"
 
 
