@@ -35,7 +35,7 @@ NARROW = 1 << 30
 LIMB = 40
 LONGEST = (1 << 63) - 1
 
-_STATE = "vec_id long, label int, vector array<{}>, code binary, upper array<float>, lower array<float>, error long"
+_STATE = "vec_id long, label {}, vector array<{}>, code binary, upper array<float>, lower array<float>, error long"
 _SUMS = "slot int, limb int, part_sum long"
 #: Slot of the number of distances that were worked out.
 _WORK = -1
@@ -277,9 +277,10 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """
     spark = vectors.sparkSession
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    named = vectors.schema[label_col].dataType.simpleString()
     value = F.col(vector_col).cast(f"array<{kind}>")
     fine = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = vectors.where(value.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), value.alias("vector"))
+    kept = vectors.where(value.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), value.alias("vector"))
     first = [r["vector"] for r in kept.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(ENTRIES).collect()]
     if not first:
         return Coded(kept.select("vec_id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error")), None, [])
@@ -292,7 +293,7 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     state, old, moved, work = kept.where(same), None, None, []
     for r in range(rounds + 1):
         path = common.scratch_path(spark, "codes")
-        out = state.mapInArrow(common.resting(_step(books, moved, r == rounds)), f"{_STATE.format(kind)}, {_SUMS}")
+        out = state.mapInArrow(common.resting(_step(books, moved, r == rounds)), f"{_STATE.format(named, kind)}, {_SUMS}")
         out.write.option("compression", "zstd").parquet(path)
         table = spark.read.schema(out.schema).parquet(path)
         if old:

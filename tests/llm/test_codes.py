@@ -79,5 +79,7 @@ def test_edges(spark):
     assert set(got) == {1, None, 6, 7} and got[1].error == 0 and got[None].label_error == 0
     assert got[6].code is None and got[7].error is None and got[6].label_error is None
     assert codes.with_label_errors(codes.encode(table.where("false"))).collect() == []
+    words = codes.with_label_errors(codes.encode(spark.createDataFrame([(i, [float(i)] * 8, "ab"[i % 2]) for i in range(40)], "vec_id int, embedding array<float>, label string"))).collect()
+    assert {r.label_error for r in words} == {sum(r.error for r in words if r.vec_id % 2 == k) for k in (0, 1)}
     empty = spark.createDataFrame([(1, [], 0), (2, [], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted(tuple(r)[:3] for r in codes.with_label_errors(codes.encode(empty)).collect()) == [(1, "00" * 8, 0), (2, "00" * 8, 0)]
