@@ -90,6 +90,21 @@ def test_deduplicate_decides_by_row(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (3, c), (None, "x y"), (7, ""), (7, ""), (None, None)], key=repr)
 
 
+def test_links_at_the_threshold_in_a_crowd_cut_by_further_bands(spark, monkeypatch):
+    """Texts that share a passage crowd its buckets; pairs of exactly 0.85 among them are found, those just below aren't links."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(minhash, "OUTSIDE_BLOCKS", 1)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        own = passage + [f"w{rng.randrange(10**9)}" for _ in range(44)]  # 100 shingles
+        texts += [" ".join(own), " ".join(own[: 89 if k % 2 else 88])]  # 85 or 84 of them
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert found == {2 * k + j: 2 * k + (0 if k % 2 else j) for k in range(60) for j in (0, 1)}
+    assert found == {i: c for i, _, c in brute_components(list(enumerate(texts)), 85)}
+
+
 def test_a_mass_of_copies_is_compared_in_proportion(spark, monkeypatch):
     """Blocks tie a large group together, and only what stays outside of it meets the rest."""
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", 50)
