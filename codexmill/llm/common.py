@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.sources.scratch import scratch, scratch_path, shared_dir  # noqa: F401
@@ -79,6 +79,18 @@ def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return rested
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is run inside gets Arrow batches of about so many bytes, which JVM and workers hold whole beside what they make of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `limit` bytes together, one row at least."""
     if batch.num_rows == 0:

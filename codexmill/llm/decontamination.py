@@ -105,7 +105,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     h1, h2 = common.text_hashes(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("binary").alias("text"))
-    return common.scratch(rows.mapInArrow(common.resting(_builder(SEGMENT_BYTES, SEGMENT_DOCS)), INDEX_SCHEMA), "positional-index")
+    with common.batches_of(docs.sparkSession, common.SLICE_BYTES):
+        return common.scratch(rows.mapInArrow(common.resting(_builder(SEGMENT_BYTES, SEGMENT_DOCS)), INDEX_SCHEMA), "positional-index")
 
 
 def windows_of(found: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
