@@ -172,7 +172,7 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
     """The rows whose text has a language, with all their columns. No shuffle.
 
     Null texts and those without a letter go. So do texts that the decoder flags as ambiguous, unless the language
-    column bears out the nearest codeword: what two languages may be is none if nothing else says which. That column, if there is one, gets
+    column bears out the nearest codeword, or names a language that wasn't learned: what two languages may be is none if nothing else says which. That column, if there is one, gets
     the prediction where it is null and stays as it is elsewhere. If no language was learned, nothing can be
     told apart or filled in, and the texts with letters stay. Rows decide each for itself, repeated ones too; an empty table stays empty.
     """
@@ -181,6 +181,7 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        learned = set(model.languages)
         for batch in batches:
             for part in common.text_slices(batch, "__bytes", 1 << 20):
                 texts = [x or b"" for x in part.column("__bytes").to_pylist()]
@@ -190,7 +191,7 @@ def keep_identified(docs: DataFrame, model: Model, lang_col: str = "lang", text_
                     best, score = model.decode(model.margins(texts))
                     names = [model.languages[b] for b in best]
                     stated = rows.column(lang_col).to_pylist() if fills else [None] * len(names)
-                    borne_out = np.array([a == b for a, b in zip(stated, names, strict=True)], bool)
+                    borne_out = np.array([a == b or a is not None and a not in learned for a, b in zip(stated, names, strict=True)], bool)
                     known &= borne_out | (score >= AMBIGUOUS)
                     if fills:
                         at = rows.schema.get_field_index(lang_col)
