@@ -27,7 +27,7 @@ def called_by_text(functions: DataFrame, key: str = "name") -> DataFrame:
     by_letter = names.groupBy(F.right("low", F.lit(1)).alias("letter")).agg(F.array_sort(F.collect_set(F.length("low"))).alias("lengths"))
     lengths = by_letter.agg(F.map_from_entries(F.collect_list(F.struct("letter", "lengths"))).alias("lengths"))
     cut = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\s(]+)\s*\("), 1))
-    runs = scratch(f.select("caller", "name", F.explode(cut).alias("run")), "runs")
+    runs = f.select("caller", "name", F.explode(cut).alias("run"))
     run, size = F.col("run"), F.length("run")
     own = F.filter(F.element_at("lengths", F.right(run, F.lit(1))), lambda n: n <= size)
     ends = runs.select("run").distinct().crossJoin(F.broadcast(lengths)).select("run", F.explode(F.transform(own, lambda n: F.substring(run, size - n + 1, n))).alias("low"))
