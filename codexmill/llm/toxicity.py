@@ -132,7 +132,9 @@ class Measure:
             bare = "".join(_WORDS.findall(found.translate(DISGUISES)))
             disguised += bare in self.words and found not in self.words
         spaced = _SPACED.findall(lowered) if sum(map((1).__eq__, map(len, words))) > 2 else []
-        disguised += sum("".join(_WORDS.findall(x)) in self.words for x in spaced)
+        for found in spaced:  # a word of one letter may stand before or behind
+            bare = "".join(_WORDS.findall(found))
+            disguised += bare in self.words or bare[1:] in self.words or bare[:-1] in self.words
         near, least = 0.0, 100.0
         if you and (own or start):
             places, at = np.array(you), np.array(sorted({i for i, _ in own} | {i for i, _ in start}))
