@@ -33,6 +33,16 @@ def test_call_trees_with_cycles(spark):
     assert sorted(">".join(r.path) for r in calltree.call_trees(roots, pairs).collect()) == ["a", "a>b", "a>b>c", "d"]
 
 
+def test_many_paths_without_cycles_are_no_explosion(spark):
+    # a ladder of nine levels of three functions: 3 + 9 + ... + 3^9 paths from the first level alone
+    pairs = spark.createDataFrame([(f"{i}{a}", f"{i + 1}{b}") for i in range(8) for a in "abc" for b in "abc"], "caller string, callee string")
+    roots = spark.createDataFrame([("0a",), ("8b",), ("none",)], "name string")
+    for direction, first in (("downstream", "0a"), ("upstream", "8b")):
+        got = calltree.call_trees(roots, pairs, direction=direction, most_paths=100)
+        assert got.count() == 2 + sum(3**i for i in range(9)) and got.distinct().count() == got.count()
+        assert got.where(f"depth = 8 AND root = '{first}'").count() == 3**8
+
+
 def test_text_search_keeps_every_document(spark):
     rows = [(8, "x go", "x pay ("), (9, "pay (", "pay (  ("), (10, "( ", "x go("), (1, "go", "go now(. "), (2, "go", "go and pay(. "), (3, "pay", "pay or go (x"), (4, "a", "a pay(. "), (5, "pay", "pay a(. "), (6, None, None), (7, "", " ")]
     f = spark.createDataFrame(rows, "doc_id long, name string, content string")
