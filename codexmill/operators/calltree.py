@@ -68,12 +68,12 @@ def statistics(counted: DataFrame) -> DataFrame:
 
 def entry_points(functions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Functions that nothing calls."""
-    return functions.join(pairs.select(F.col("callee").alias("name")), "name", "left_anti")
+    return functions.join(pairs.select(F.col("callee").alias("name")).distinct(), "name", "left_anti")
 
 
 def leaves(functions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Functions that call nothing."""
-    return functions.join(pairs.select(F.col("caller").alias("name")), "name", "left_anti")
+    """Functions that call nothing; the callers alone are made different, before pairs are."""
+    return functions.join(pairs.select(F.col("caller").alias("name")).distinct(), "name", "left_anti")
 
 
 class PathExplosion(Exception):

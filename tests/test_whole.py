@@ -43,6 +43,14 @@ def test_many_paths_without_cycles_are_no_explosion(spark):
         assert got.where(f"depth = 8 AND root = '{first}'").count() == 3**8
 
 
+def test_leaves_and_entry_points_hold_no_pairs(spark):
+    """Only names are grouped, not pairs, though the pairs are different ones."""
+    for name, column in (("leaf_functions", "callee"), ("entry_points", "caller")):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        grouped = [line for line in plan.split("\n") if "Aggregate [" in line]
+        assert grouped and not any(column in line for line in grouped), plan
+
+
 def test_text_search_keeps_every_document(spark):
     rows = [(8, "x go", "x pay ("), (9, "pay (", "pay (  ("), (10, "( ", "x go("), (1, "go", "go now(. "), (2, "go", "go and pay(. "), (3, "pay", "pay or go (x"), (4, "a", "a pay(. "), (5, "pay", "pay a(. "), (6, None, None), (7, "", " ")]
     f = spark.createDataFrame(rows, "doc_id long, name string, content string")
