@@ -51,6 +51,15 @@ def test_leaves_and_entry_points_hold_no_pairs(spark):
         assert grouped and not any(column in line for line in grouped), plan
 
 
+def test_graph_statistics_of_nulls_and_nothing(spark):
+    edges = spark.createDataFrame([("a", "b", "go", "x"), ("a", "c", None, "x"), ("b", "c", "go", None)], "caller string, callee string, language string, call_type string")
+    want = {"total_edges": 3, "language:go": 2, "language:": 1, "call_type:x": 2, "call_type:": 1, "unique_functions_count": 3}
+    assert {r.key: r.n for r in calltree.graph_statistics(edges).collect()} == want
+    assert [tuple(r) for r in calltree.graph_statistics(edges.where("false")).collect()] == [("total_edges", 0)]
+    found = calltree.graph_statistics(edges.repartition(3))._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("Aggregate [language") >= 3  # one plan, which its three readers share
+
+
 def test_text_search_keeps_every_document(spark):
     rows = [(8, "x go", "x pay ("), (9, "pay (", "pay (  ("), (10, "( ", "x go("), (1, "go", "go now(. "), (2, "go", "go and pay(. "), (3, "pay", "pay or go (x"), (4, "a", "a pay(. "), (5, "pay", "pay a(. "), (6, None, None), (7, "", " ")]
     f = spark.createDataFrame(rows, "doc_id long, name string, content string")
