@@ -91,6 +91,17 @@ def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
+    """From here on the session's Arrow batches have about so many bytes, or fewer if it has so set.
+
+    For maps whose table is returned and runs later, as those take batches as the session has them then; nothing puts it back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if most <= 0 or most > size:
+        spark.conf.set(name, str(size))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `limit` bytes together, one row at least."""
     if batch.num_rows == 0:

@@ -1,7 +1,9 @@
 """The corpus pipeline: documents by way of five of the training-data operators to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep the columns of documents, and any
-further ones. An empty table passes through all stages. Long texts are taken whole.
+further ones. An empty table passes through all stages. Long texts are taken whole. A stage sets the session's Arrow
+batches to 4 MB, unless they are smaller, and leaves them so: its table runs after it has returned, and batches as Spark
+makes them otherwise lie whole in the JVM and in each Python worker.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Each row decides for itself, repeated ones too. Without any language to learn from none is filled in.
     """
+    common.bound_batches(spark)
     return language.keep_identified(docs, language.fit(docs))
 
 
@@ -26,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of repeated rows one stays. Texts without words, null among them, are in no group and stay.
     """
+    common.bound_batches(spark)
     return minhash.deduplicate(docs, percent=85)
 
 
@@ -35,17 +39,20 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows decide by id and text, so rows of one id, or of none, don't decide for each other. Null texts stay, and
     all rows do if the benchmark is empty.
     """
+    common.bound_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind and n_chars follows; every row stays, null texts as they are."""
+    common.bound_batches(spark)
     redacted = pii.redact_column(docs, "text")
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of binary length, none across documents; a null text is its end alone, repeated rows are packed each."""
+    common.bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 

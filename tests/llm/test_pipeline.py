@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from helpers import LONG
 from pyspark.sql import functions as F
@@ -90,3 +91,23 @@ def test_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
     assert seen["near_duplicates"] == sorted([(1, a), (1, b), (2, BENCH), (2, "a text beside a bad one"), (None, "one more text without an id")], key=repr)
     assert seen["decontamination"] == seen["pii"] == sorted([(1, a), (1, b), (2, "a text beside a bad one"), (None, "one more text without an id")], key=repr)
     assert corpus_pipeline.run(spark, out).where("start = 0").count() == 4
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_batches_of_bounded_size(spark, folder, name, stage):
+    """A stage's table runs after it has returned, and what it hands its workers then is some MB, not all rows of a task; nor is a smaller setting raised."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))  # 20 MB in one task
+    try:
+        for wanted, most in ((before, 5 << 20), (str(1 << 20), 2 << 20)):
+            spark.conf.set(setting, wanted)
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < most
+    finally:
+        spark.conf.set(setting, before)
