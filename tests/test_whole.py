@@ -76,3 +76,20 @@ def test_json_lists_over_lines(spark, tmp_path):
     for i, text in enumerate((json.dumps(rows), json.dumps(rows, indent=2), "[" + ",\n".join(map(json.dumps, rows)) + "]", "\n".join(map(json.dumps, rows)))):
         (tmp_path / f"{i}.json").write_text(text)
         assert sorted(r.name for r in store.read_json(spark, str(tmp_path / f"{i}.json"), name).collect()) == ["a", "b"], text
+
+
+def test_call_trees_deal_out_few_steps(spark, monkeypatch):
+    """Where all callers are roots, no first level and no sets of reached functions are written, in both directions; other roots, also repeated ones, get their paths too."""
+    from codexmill.operators import calltree
+
+    pairs = spark.createDataFrame([("c1", "p1"), ("c1", "p2"), ("c2", "p2"), ("p1", "s1"), ("p2", "s1"), ("p2", "s2"), ("x", "y")], "caller string, callee string")
+    roots = pairs.select(pairs.caller.alias("name")).union(pairs.select("callee")).distinct()
+    paths = lambda roots, **more: sorted(">".join(r.path) for r in calltree.call_trees(roots, pairs, **more).collect())
+    labels, write = [], calltree.scratch
+    monkeypatch.setattr(calltree, "scratch", lambda table, label: labels.append(label) or write(table, label))
+    down = ["c1", "c1>p1", "c1>p1>s1", "c1>p2", "c1>p2>s1", "c1>p2>s2", "c2", "c2>p2", "c2>p2>s1", "c2>p2>s2", "p1", "p1>s1", "p2", "p2>s1", "p2>s2", "s1", "s2", "x", "x>y", "y"]
+    assert paths(roots) == down
+    assert paths(roots, direction="upstream") == sorted(">".join(reversed(x.split(">"))) for x in down)
+    assert labels == ["steps", "inner", "steps", "inner"] * 2
+    some = spark.createDataFrame([("p2",), ("x",), ("x",), ("z",)], "name string")
+    assert paths(some) == ["p2", "p2>s1", "p2>s2", "x", "x", "x>y", "x>y", "z"]
