@@ -212,3 +212,28 @@ def test_services_over_http():
         services.HttpEmbedder(url, "m", 3).embed(["a"])
     assert "".join(services.HttpGenerator(url, "m", key="k").stream("hello")) == "m: hello Bearer k"
     server.shutdown()
+
+
+def test_an_update_writes_no_texts_but_its_tables(spark, tmp_path, monkeypatch):
+    """Known vectors are taken over on the way into their table: unchanged texts keep theirs, the others alone are embedded."""
+    from codexmill import Engine
+    from codexmill.plans import index
+
+    class Numbered:
+        dimension = 1
+
+        def __init__(self, number):
+            self.number = number
+
+        def embed(self, texts, kind="document"):
+            return [[float(self.number)] for _ in texts]
+
+    files = lambda **texts: spark.createDataFrame([(f"{k}.py", v) for k, v in texts.items()], "path string, text string")
+    engine = Engine(spark, f"{tmp_path}/i", embedder=Numbered(1))
+    engine.update(files(a="def f(): pass", b="def g(): pass"))
+    labels, write = [], index.scratch
+    monkeypatch.setattr(index, "scratch", lambda table, label: labels.append(label) or write(table, label))
+    engine.embedder = Numbered(2)
+    engine.update(files(b="def g(): return 1", c="def h(): pass"))
+    assert {r.filename: list(r.vector) for r in engine.vectors().collect()} == {"a.py": [1.0], "b.py": [2.0], "c.py": [2.0]}
+    assert labels == ["changes", "fresh"]
